@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, search, sharding
+from . import bpe, language, packing, search, sharding, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op6_warc": warc.op6_warc,
     "op7_topk": search.op7_topk,
     "op8_sharding": sharding.op8_sharding,
+    "op9_language": language.op9_language,
     "op10_bpe": bpe.op10_bpe,
 }
 
 SQL = {
+    "op6_warc": warc.SQL,
     "op7_topk": search.SQL,
 }
