@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, language, packing, search, sharding, warc
+from . import bpe, language, packing, quality, search, sharding, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op3_quality": quality.op3_quality,
     "op6_warc": warc.op6_warc,
     "op7_topk": search.op7_topk,
     "op8_sharding": sharding.op8_sharding,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_quality": quality.SQL,
     "op6_warc": warc.SQL,
     "op7_topk": search.SQL,
 }
