@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, language, packing, quality, search, sharding, warc
+from . import bpe, language, neardup, packing, pagetext, quality, search, sharding, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op3_quality": quality.op3_quality,
+    "op4_neardup": neardup.op4_neardup,
+    "op5_pagetext": pagetext.op5_pagetext,
     "op6_warc": warc.op6_warc,
     "op7_topk": search.op7_topk,
     "op8_sharding": sharding.op8_sharding,
@@ -16,6 +18,7 @@ QUERIES = {
 
 SQL = {
     "op3_quality": quality.SQL,
+    "op4_neardup": neardup.SQL,
     "op6_warc": warc.SQL,
     "op7_topk": search.SQL,
 }
