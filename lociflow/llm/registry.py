@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, language, neardup, packing, pagetext, quality, search, sharding, warc
+from . import bpe, language, neardup, packing, pagetext, quality, repeats, search, sharding, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_repeats": repeats.op2_repeats,
     "op3_quality": quality.op3_quality,
     "op4_neardup": neardup.op4_neardup,
     "op5_pagetext": pagetext.op5_pagetext,
