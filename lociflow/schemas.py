@@ -1,0 +1,27 @@
+"""Table schemas: signal, feature and annotation rows, zoom records, ranges, requests."""
+
+from pyspark.sql import types as T
+
+
+def _of(text: str) -> T.StructType:
+    return T.StructType.fromDDL(text)
+
+
+SIGNAL = _of("chr string, start int, end int, value float")
+FEATURE = _of("chr string, start int, end int, rest string")
+CCRE = _of("chr string, start int, end int, rest string, name string, score int, strand string, thick_start int, thick_end int, color string, class string")
+ZOOM = _of("chr string, start int, end int, valid_count bigint, min float, max float, sum float, sum_squares float, value float")
+PIXEL = _of("x int, max float, min float")
+GTF = _of("chrom string, source string, feature string, start int, end int, score string, strand string, frame string, attributes map<string,string>, ord bigint")
+RANGE = _of("key string, start bigint, end bigint")
+LAYOUT = _of("id string, row int")
+
+_COORDINATES = "struct<chrom:string,start:int,end:int>"
+EXON = f"struct<id:string,number:int,start:int,end:int,start_codon:{_COORDINATES},stop_codon:{_COORDINATES},utrs:array<{_COORDINATES}>,cdss:array<{_COORDINATES}>>"
+TRANSCRIPT = f"struct<name:string,id:string,start:int,end:int,canonical:boolean,tags:string,exons:array<{EXON}>>"
+GENE = _of(f"name string, id string, strand string, type string, chrom string, start int, end int, transcripts array<{TRANSCRIPT}>")
+
+#: A multi-track request as JSON; each track's config stays text until its type is known.
+BROWSER_REQUEST = _of("chrom string, start bigint, end bigint, tracks array<struct<id:string,type:string,config:string>>")
+SIGNAL_CONFIG = _of("url string, preRenderedWidth int")
+FEATURE_CONFIG = _of("url string, type string")

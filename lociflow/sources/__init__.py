@@ -1 +1,13 @@
+"""Readers of binary track files as Spark data sources, and of GTF text."""
 
+from .bigfile import BigBedSource, BigWigSource
+from .gtf import read_gtf
+
+
+def register(spark) -> None:
+    """Makes format("bigwig") and format("bigbed") known to the session."""
+    spark.dataSource.register(BigWigSource)
+    spark.dataSource.register(BigBedSource)
+
+
+__all__ = ["BigBedSource", "BigWigSource", "read_gtf", "register"]
