@@ -74,9 +74,10 @@ class Alphabet:
 class CrossParser:
     """Counts the phrases in which each language's automaton reads a text.
 
-    A phrase is the longest match that starts where the one before it ended. An
-    automaton becomes a table whose missing moves lead on from the root and
-    carry a mark that counts a phrase, so that many lanes of text step together.
+    A phrase is the longest match that starts where the one before it ended, or
+    one letter that the automaton doesn't know. An automaton becomes a table
+    whose missing moves lead on from the root and carry a mark that counts a
+    phrase, so that many lanes of text step together.
     """
 
     def __init__(self, samples: dict[str, list[str]]):
@@ -88,20 +89,20 @@ class CrossParser:
         for lang in self.langs:
             text = np.concatenate([np.zeros(0, np.int32), *(np.append(self.alphabet.symbols(t)[0], _FOREIGN) for t in lowered[lang])])
             moves = suffix_automaton(text.tolist())
-            own = np.empty((len(moves), a), np.int64)
-            root = np.zeros(a, np.int64)
+            dead = len(moves)  # before the first phrase, and after a letter that no phrase holds
+            root = np.full(a, dead, np.int64)
             for c, to in moves[0].items():
                 root[c] = to
-            own[:] = root | _BREAK
-            own[:, _FOREIGN] = _BREAK  # no match goes across the end of a labelled text
+            root[_FOREIGN] = dead  # no match goes across the end of a labelled text
+            own = np.tile(root | _BREAK, (dead + 1, 1))
             for at, out in enumerate(moves):
                 for c, to in out.items():
                     if c != _FOREIGN:
                         own[at, c] = to
-            own[:, _PAD] = np.arange(len(moves))
+            own[:, _PAD] = np.arange(dead + 1)
             tables.append(((own & (_BREAK - 1)) + states) * a + (own & _BREAK))
-            self.roots.append(states * a)
-            states += len(moves)
+            self.roots.append((states + dead) * a)
+            states += dead + 1
         whole = np.concatenate([np.zeros((0, a), np.int64), *tables])
         if whole.size >= _BREAK:
             raise ValueError("too many languages for one table")
@@ -119,7 +120,7 @@ class CrossParser:
             for j, (_, r) in enumerate(some):
                 grid[: len(r), j] = r
             state = np.repeat(np.array(self.roots, np.int32)[:, None], len(some), axis=1)
-            count = np.ones(state.shape, np.int32)
+            count = np.zeros(state.shape, np.int32)
             for c in grid:
                 state += c
                 step = self.table[state]
