@@ -89,7 +89,7 @@ class BigFile:
         return next((n for n, (i, _) in self.chroms.items() if i == chrom), None)
 
     def blocks(self, index_at: int, chrom: int | None, lo: int, hi: int) -> list[tuple[int, int]]:
-        """(offset, size) of the blocks that overlap, in file order."""
+        """(offset, size) of the blocks that overlap the range or end where it begins, in file order."""
         if self.unpack("I", read_range(self.path, index_at, INDEX_HEADER_BYTES))[0] != INDEX_MAGIC:
             raise ValueError(f"{self.path}: no index at {index_at}")
         found, todo = [], [index_at + INDEX_HEADER_BYTES]
@@ -102,7 +102,7 @@ class BigFile:
                 data = read_range(self.path, at, 4 + count * size)
             for i in range(count):
                 c0, b0, c1, b1, where = self.unpack("IIIIQ", data, 4 + i * size)
-                if chrom is not None and ((c1, b1) <= (chrom, lo) or (c0, b0) >= (chrom, hi)):
+                if chrom is not None and ((c1, b1) < (chrom, lo) or (c0, b0) >= (chrom, hi)):
                     continue
                 if leaf:
                     found.append((where, self.unpack("Q", data, 4 + i * size + 24)[0]))

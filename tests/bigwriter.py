@@ -1,0 +1,79 @@
+"""Writes small bigWig and bigBed files by the public layout, for round trips in tests."""
+
+import struct
+import zlib
+
+SIGNAL, FEATURE = 0x888FFC26, 0x8789F2EB
+
+
+def section(order, chrom, rows, kind, step=0, span=0):
+    """rows: (start, end, value)."""
+    head = struct.pack(order + "iiiiiBBH", chrom, rows[0][0], rows[-1][1], step, span, kind, 0, len(rows))
+    form = {1: "iif", 2: "if", 3: "f"}[kind]
+    pick = {1: lambda r: r, 2: lambda r: (r[0], r[2]), 3: lambda r: (r[2],)}[kind]
+    return head + b"".join(struct.pack(order + form, *pick(r)) for r in rows), (chrom, rows[0][0], chrom, max(r[1] for r in rows))
+
+
+def features(order, rows):
+    """rows: (chrom, start, end, rest)."""
+    body = b"".join(struct.pack(order + "iii", c, s, e) + rest.encode("latin-1") + b"\0" for c, s, e, rest in rows)
+    return body, (rows[0][0], rows[0][1], rows[-1][0], max(r[2] for r in rows))
+
+
+def zooms(order, rows):
+    """rows: (chrom, start, end, count, min, max, sum, squares)."""
+    return b"".join(struct.pack(order + "iiiIffff", *r) for r in rows), (rows[0][0], rows[0][1], rows[-1][0], rows[-1][2])
+
+
+def index(order, at, places, fan):
+    """An R+ tree over (bounds, offset, size) with fan items a node."""
+    leaves = [places[i : i + fan] for i in range(0, len(places), fan)]
+    head = struct.pack(order + "IIQIIIIQII", 0x2468ACE0, fan, len(places), 0, 0, 0, 0, 0, 1, 0)
+    if len(leaves) == 1:
+        return head + struct.pack(order + "BBH", 1, 0, len(leaves[0])) + b"".join(struct.pack(order + "IIIIQQ", *b, o, n) for b, o, n in leaves[0])
+    root = struct.pack(order + "BBH", 0, 0, len(leaves))
+    where = at + 48 + 4 + 24 * len(leaves)
+    out = b""
+    for leaf in leaves:
+        low, high = leaf[0][0][:2], max(b[2:] for b, _, _ in leaf)
+        root += struct.pack(order + "IIIIQ", *low, *high, where + len(out))
+        out += struct.pack(order + "BBH", 1, 0, len(leaf)) + b"".join(struct.pack(order + "IIIIQQ", *b, o, n) for b, o, n in leaf)
+    return head + root + out
+
+
+def write(path, magic, order, chroms, blocks, levels=(), compress=True, fan=2, summary=(0, 0.0, 0.0, 0.0, 0.0), sql="table x"):
+    """blocks: (bytes, bounds); levels: (reduction, blocks) from fine to coarse."""
+    pack = zlib.compress if compress else bytes
+    width = max(len(c) for c in chroms) + 2
+    sql_at = 64 + 24 * len(levels)
+    summary_at = sql_at + len(sql) + 1
+    chrom_at = summary_at + 40
+    items = b"".join(name.encode().ljust(width, b"\0") + struct.pack(order + "ii", i, size) for i, (name, size) in enumerate(chroms.items()))
+    tree = struct.pack(order + "IiiiQQ", 0x78CA8C91, len(chroms), width, 8, len(chroms), 0) + struct.pack(order + "BBH", 1, 0, len(chroms)) + items
+    data_at = chrom_at + len(tree)
+
+    def lay(at, some):
+        out, places = b"", []
+        for raw, bounds in some:
+            packed = pack(raw)
+            places.append((bounds, at + len(out), len(packed)))
+            out += packed
+        return out, places
+
+    data = struct.pack(order + "I", len(blocks))
+    body, places = lay(data_at + 4, blocks)
+    data += body
+    index_at = data_at + len(data)
+    data += index(order, index_at, places, fan)
+    heads = b""
+    for reduction, some in levels:
+        at = data_at + len(data)
+        body, places = lay(at + 4, some)
+        data += struct.pack(order + "I", len(some)) + body
+        where = data_at + len(data)
+        data += index(order, where, places, fan)
+        heads += struct.pack(order + "iiQQ", reduction, 0, at, where)
+    head = struct.pack(order + "IHHQQQHHQQiQ", magic, 4, len(levels), chrom_at, data_at, index_at, 0, 0, sql_at, summary_at, 32768 if compress else 0, 0)
+    assert len(head) == 64
+    with open(path, "wb") as f:
+        f.write(head + heads + sql.encode() + b"\0" + struct.pack(order + "Qdddd", *summary) + tree + data)
