@@ -16,6 +16,8 @@ WORDS, THRESHOLD = 5, 0.8
 TREES, LEVELS, RECALL = 32, 8, 0.999
 #: Texts of a candidate component that one task compares.
 BLOCK = 512
+#: Stands for a null doc_id, after all others.
+_NO_ID = (1 << 63) - 1
 #: Bytes of text that are hashed at a time.
 _CHUNK = 2 << 20
 
@@ -116,6 +118,10 @@ def chunked(texts: list[str]):
         at = end
 
 
+def _bodies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text).alias("text"))
+
+
 def forest(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, key (null without words) and the path through each trie."""
 
@@ -132,7 +138,7 @@ def forest(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                         keys[i], ways[i] = key, [p.tobytes() for p in way]
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(some)), pa.array(keys, pa.int64()), pa.array(ways, pa.list_(pa.binary()))], names=["doc_id", "key", "ways"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, key long, ways array<binary>")
+    return _bodies(docs, doc_id, text).mapInArrow(run, "doc_id long, key long, ways array<binary>")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -205,8 +211,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     chance `recall` (more alike ones nearly surely). Every candidate component
     is then compared whole and exactly, in blocks of BLOCK texts if it is larger.
 
-    A text without words (null, empty, symbols) is alone in its class. Repeated
-    rows are copies. An empty table gives no rows; other columns are ignored.
+    A text without words (null, empty, symbols) is alone in its class. A null
+    doc_id comes after all others. Repeated rows are copies. An empty table gives no rows; other columns are ignored.
 
     Returns doc_id, class_id (smallest doc_id of the class), n_links (different
     texts that are linked with this one), n_copies (rows of the same words).
@@ -225,8 +231,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     near = components(pairs, disk, "near")
     sizes = near.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = near.join(sizes, "root").join(texts.select("key", "doc_id"), near["node"] == texts["key"]).select("key", "doc_id", "root", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
-    body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    held = members.join(body, "doc_id").select("root", "blocks", "key", "text", F.col("block").alias("side"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("met"))
+    held = members.join(_bodies(docs, doc_id, text), "doc_id").select("root", "blocks", "key", "text", F.col("block").alias("side"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("met"))
     met = _of_key(held.select("root", "blocks", "key", "text", "side", F.least("side", "met").alias("left"), F.greatest("side", "met").alias("right")))
     verified = disk.write(met.groupBy("root", "left", "right").applyInPandas(_verify(threshold), _VERIFIED), "verified")
 
@@ -237,7 +242,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     lowest = rooted.join(texts, "key").groupBy("root").agg(F.min("doc_id").alias("class_id"))
     classes = texts.join(rooted, "key", "left").join(lowest, "root", "left").join(links, "key", "left")
     told = classes.select("key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
-    return ids.join(told, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
+    shown = lambda c: F.when(c != _NO_ID, c)
+    return ids.join(told, "key", "left").select(shown(F.col("doc_id")).alias("doc_id"), shown(F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
 
 
 def _of_key(held: DataFrame) -> DataFrame:
