@@ -186,7 +186,7 @@ def _merge(length: int, kernel: int):
         return list(merged(pdf["doc"].to_numpy()[row], pos, pos + length, length))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["hash", "doc", "pos"], ignore_index=True)
+        pdf = pdf.sort_values(["hash", "doc", "pos", "bytes"]).drop_duplicates(["hash", "doc", "pos"], ignore_index=True)
         new = np.flatnonzero(np.concatenate([[True], np.diff(pdf["hash"].to_numpy()) != 0]))
         cuts = [0]
         for at in [*new[1:], len(pdf)]:
