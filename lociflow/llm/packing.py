@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 from array import array
@@ -23,6 +24,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa0-\u024f\u2013\u2014\u2018-\u201d\u2022\u2026]*")
 
 
+#: Stands for a null doc_id inside.
+_NO_ID = -(1 << 63)
+
+
 class TokenIds:
     """Ids of whole texts under a byte-level tokenizers file.
 
@@ -32,9 +37,7 @@ class TokenIds:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.lib = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
         self.special = [t["content"] for t in whole["added_tokens"]]
@@ -46,6 +49,13 @@ class TokenIds:
             ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items()}
             self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def lib(self):
+        """Loaded when it is first needed, as most tasks don't and its memory counts for each worker."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> bytes:
         if self.fast and not any(s in text for s in self.special) and (text.isascii() or _PLAIN.fullmatch(text)):
             return array("I", self.fast.encode_ordinary(text)).tobytes()
@@ -150,10 +160,10 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, room: int, end_id: int, d
                     got = ids(text) + end
                     for i, (start, length) in enumerate(cut(len(got) // 4, room)):
                         crc = zlib.crc32(got[4 * start : 4 * (start + length)])
-                        rows.append((key, i, start, length, crc, (crc ^ i) % deals))
+                        rows.append((key, i, start, length, crc, zlib.crc32(b"%d %d" % (key, i)) % deals))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _PIECE, strict=True)], schema=_PIECE)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut_all, "doc_id long, piece int, start long, length long, ids_crc32 long, deal int")
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut_all, "doc_id long, piece int, start long, length long, ids_crc32 long, deal int")
 
 
 def pack(docs: DataFrame, vocabulary: str, room: int = 1024, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -164,8 +174,8 @@ def pack(docs: DataFrame, vocabulary: str, room: int = 1024, end_id: int = 2, do
     The plan is made from the number of pieces of each length (room numbers,
     the only thing sent to the driver) and is itself bounded by room; each piece
     then finds its place by its rank among those of its length, which is counted
-    in deals by content, so that a length of which there are very many pieces is
-    many tasks' work. Repeated rows are packed each; an empty table gives no
+    in deals by doc_id and piece, so that a length of which there are very many
+    pieces (copies of a text) is many tasks' work. Repeated rows are packed each; an empty table gives no
     rows; other columns are ignored.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
@@ -177,21 +187,22 @@ def pack(docs: DataFrame, vocabulary: str, room: int = 1024, end_id: int = 2, do
     per_deal = cuts.groupBy("length", "deal").agg(F.count("*").alias("n"))
     plan = best_fit_plan({r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count("*").alias("n")).collect()}, room)
     before = Window.partitionBy("length").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
-    bases = per_deal.select("length", "deal", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "deal").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = cuts.withColumn("rank", F.row_number().over(within) - 1).join(bases, ["length", "deal"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base", "deal")
+    bases = per_deal.select(F.col("length").alias("of_length"), F.col("deal").alias("of_deal"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
     starts = plan[np.lexsort((plan[:, 1], plan[:, 0]))] if len(plan) else plan
     reach = int(starts[:, 1].max(initial=0)) + 1 + int(starts[:, 2].max(initial=0))
-
-    def place(batches):
-        key = starts[:, 0] * reach + starts[:, 1]
-        for pdf in batches:
-            row = starts[np.searchsorted(key, pdf["length"].to_numpy() * reach + pdf["rank"].to_numpy(), side="right") - 1] if len(pdf) else starts[:0]
-            nth = pdf["rank"].to_numpy() - row[:, 1]
-            yield pd.DataFrame({c: pdf[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")} | {"sequence_id": row[:, 3] + nth // row[:, 4], "offset": row[:, 5] + nth % row[:, 4] * row[:, 0]})
-
-    return ranked.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+    def place(deal: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
+        deal = deal.sort_values(["length", "doc_id", "piece", "ids_crc32"], ignore_index=True)
+        length = deal["length"].to_numpy()
+        rank = deal.groupby("length").cumcount().to_numpy() + deal["length"].map(base.set_index("of_length")["base"]).to_numpy()
+        row = starts[np.searchsorted(starts[:, 0] * reach + starts[:, 1], length * reach + rank, side="right") - 1]
+        nth = rank - row[:, 1]
+        return deal[columns].assign(sequence_id=row[:, 3] + nth // row[:, 4], offset=row[:, 5] + nth % row[:, 4] * row[:, 0])
+
+    placed = cuts.groupBy("deal").cogroup(bases.groupBy("of_deal")).applyInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return placed.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
 
 
 def op1_packing(spark, sf_dir):
