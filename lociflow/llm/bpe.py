@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from array import array
@@ -12,7 +13,6 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from .common import read
 
@@ -46,7 +46,7 @@ class Bpe:
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
         model = whole["model"]
-        self.lib = Tokenizer.from_file(path)  # for the normaliser and the splitting of unusual characters only
+        self.path = path
         self.suffix = model.get("end_of_word_suffix") or ""
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in whole["added_tokens"]}
@@ -77,6 +77,13 @@ class Bpe:
             self.texts[i] = t
         self.automaton.make_automaton()
 
+    @functools.cached_property
+    def lib(self):
+        """The library's normaliser and splitter, for unusual characters only; loaded when first needed."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _right(self, token: int) -> list[tuple[int, float]]:
         """The tokens at the right border of one, as they follow each other, and the rank that ends each."""
         out, ends = [], float("inf")
