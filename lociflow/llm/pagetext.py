@@ -24,9 +24,9 @@ _DROPPED = frozenset("head nav header footer aside form button select menu dialo
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of class and id names that say the same.
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|side-?bar\w*|aside|ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|banner\w*|"
-    r"notices?|cookies?|consent\w*|gdpr|popup\w*|modal\w*|overlay|newsletter|subscri\w*|signup|login|forms?|search\w*|"
-    r"comments?|disqus|respond|replies|share|sharing|social\w*|related\w*|recommend\w*|teasers?|widgets?|toolbar|pagination|pager|copyright|skip|hidden|sr-only)(?=$|[\s_-])",
+    r"(?:^|\s|(?<!with)(?<!has)(?<!no)[_-])(?:nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|side-?bar\w*|aside|ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|banner\w*|"
+    r"notices?|notif\w*|alerts?|announce\w*|cookies?|consent\w*|gdpr|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|signup|login|forms?|search\w*|"
+    r"comment\w*|disqus|respond|replies|share|sharing|social\w*|related\w*|recommend\w*|teasers?|widgets?|toolbar|pagination|pager|copyright|skip|hidden|sr-only)(?=$|[\s_-])",
     re.I,
 )
 _BLOCK = frozenset(
