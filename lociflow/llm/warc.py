@@ -21,6 +21,8 @@ from .common import Scratch, read, utf8
 #: Raw bytes that a shard holds about, compressed bytes after which a file is closed, and the least payload that is revisited.
 SHARD_BYTES, FILE_BYTES, REVISIT_BYTES = 16 << 20, 4 << 20, 1000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Stands for a null page_id inside.
+_NO_ID = -(1 << 63)
 _READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string"
 
 
@@ -243,16 +245,17 @@ def write_archive(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, f
         at = np.maximum(np.searchsorted(firsts, page_id.fillna(firsts[0]).to_numpy().astype(np.int64), side="right") - 1, 0)
         return pd.Series(base[at] + spread.to_numpy() % subs[at])
 
-    spread = F.crc32(F.col("digest"))
+    spread, known = F.crc32(F.col("digest")), F.coalesce("page_id", F.lit(_NO_ID)).alias("page_id")
     keeper = facts.where(F.col("bytes") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    verdict = facts.select("page_id", "digest").distinct().join(keeper, "digest").where("page_id IS NULL OR page_id <> keeper").select(shard_of(F.col("page_id"), spread).alias("shard"), "page_id", "digest", "keeper")
-    placed = rows.select(shard_of(F.col("page_id"), spread).alias("shard"), "page_id", "url", "payload", "digest")
+    verdict = facts.select("page_id", "digest").distinct().join(keeper, "digest").where("page_id IS NULL OR page_id <> keeper").select(shard_of(F.col("page_id"), spread).alias("shard"), known, "digest", "keeper")
+    placed = rows.select(shard_of(F.col("page_id"), spread).alias("shard"), known, "url", "payload", "digest")
 
     def order(page: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        refers = {(None if pd.isna(p) else int(p), d): int(k) for p, d, k in zip(told["page_id"], told["digest"], told["keeper"], strict=True)}
-        ids = [None if pd.isna(p) else int(p) for p in page["page_id"]]
+        refers = {(p, d): k for p, d, k in zip(told["page_id"].tolist(), told["digest"], told["keeper"].tolist(), strict=True)}
+        ids = page["page_id"].tolist()
         to = [refers.get((p, d)) for p, d in zip(ids, page["digest"], strict=True)]
-        page = page.assign(page_id=pd.array(ids, "Int64"), refers_to=pd.array(to, "Int64")).sort_values(["page_id", "digest", "url"], na_position="first", kind="stable")
+        page = page.assign(refers_to=pd.array(to, "Int64")).sort_values(["page_id", "digest", "url"], na_position="first", kind="stable")
+        page["page_id"] = pd.array([None if p == _NO_ID else p for p in page["page_id"].tolist()], "Int64")
         return page[["shard", "page_id", "url", "payload", "refers_to"]]
 
     ready = placed.groupBy("shard").cogroup(verdict.groupBy("shard")).applyInPandas(order, "shard long, page_id long, url string, payload binary, refers_to long")
