@@ -20,7 +20,11 @@ _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*
 _ATTRIBUTE = re.compile(r"([\w:-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold main text.
-_DROPPED = frozenset("head nav header footer aside form button select menu dialog audio video fieldset".split())
+_DROPPED = frozenset("head nav header footer aside button select menu dialog audio video fieldset".split())
+#: What goes inside a form; the rest of what a form wraps is a page's text like any other.
+_CONTROLS = frozenset("label legend option optgroup datalist output meter progress".split())
+#: Says of a form no more than that it is one.
+_FORM = re.compile(r"(?:^|(?<=[\s_-]))forms?(?=$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of class and id names that say the same.
 _NAMES = re.compile(
@@ -49,10 +53,10 @@ def _is_dropped(tag: str, attributes: str) -> bool:
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            if _NAMES.search(value):
+            if _NAMES.search(_FORM.sub("", value) if tag == "form" else value):
                 return True
         elif name == "role":
-            if value.lower() in _ROLES:
+            if value.lower() in _ROLES and (tag, value.lower()) != ("form", "form"):
                 return True
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
@@ -60,19 +64,19 @@ def _is_dropped(tag: str, attributes: str) -> bool:
 
 
 class _Open:
-    __slots__ = ("tag", "out", "heads", "first", "hash", "whole", "within")
+    __slots__ = ("tag", "out", "heads", "first", "hash", "whole", "within", "form", "lifts")
 
-    def __init__(self, tag, out, heads, first, within):
-        self.tag, self.out, self.heads, self.first, self.within = tag, out, heads, first, within
+    def __init__(self, tag, out, heads, first, within, form=False, lifts=False):
+        self.tag, self.out, self.heads, self.first, self.within, self.form, self.lifts = tag, out, heads, first, within, form, lifts
         self.hash, self.whole = xxhash.xxh64(tag), tag in _WHOLE or tag in _HEADINGS and not within
 
 
-def blocks_of(page: str) -> list[tuple[str, list[int]]]:
-    """(text, hashes of the subtrees around it) of each block outside menus, notices and the like.
+def candidates_of(page: str) -> list[tuple[str, list[int], int]]:
+    """(text, hashes of the subtrees around it, place) of each block outside menus, notices and the like.
 
-    If the page has article elements the blocks are theirs; else those of main;
-    else all that are left. A subtree's hash covers its tags and texts. Subtrees
-    that hold the article are not listed.
+    The place is 2 inside an article element, 1 inside main alone, else 0. A
+    subtree's hash covers its tags and texts. Subtrees that hold the article are
+    not listed.
     """
     stack: list[_Open] = [_Open("", False, False, 0, 0)]
     blocks: list[tuple[str, list[int], int]] = []
@@ -92,13 +96,14 @@ def blocks_of(page: str) -> list[tuple[str, list[int]]]:
             flush()
         stack.pop()
         over = stack[-1]
-        if at.out:
+        if at.out and len(blocks) == at.first:
             return
+        # what is dropped but for an article or headings inside counts for those around it
         digest = at.hash.intdigest()
         over.hash.update(digest.to_bytes(8, "little"))
         if at.whole:
             over.whole = True
-        elif not (at.within and at.tag in _RUNNING):
+        elif not at.out and not (at.within and at.tag in _RUNNING):
             signed = digest - (1 << 64) if digest >> 63 else digest
             for b in blocks[at.first :]:
                 b[1].append(signed)
@@ -144,17 +149,18 @@ def blocks_of(page: str) -> list[tuple[str, list[int]]]:
             if not stack[-1].out:
                 flush()
         over = stack[-1]
-        within = 2 if tag == "article" else max(over.within, tag == "main")
-        heads = over.heads
+        within = 2 if tag == "article" else max(over.within, int(tag == "main"))
+        heads, form = over.heads, over.form or tag == "form"
         if over.out:
-            # a form around the whole article, and headings of an article's own header, are no boilerplate
-            out = not (tag in ("article", "main") and over.tag == "form" or heads and tag in _HEADINGS)
+            # an article anywhere in a form that goes by its name, and headings of an article's own header, are no boilerplate
+            lifts = over.lifts and not _is_dropped(tag, m[4])
+            out = not (lifts and tag in ("article", "main") or heads and tag in _HEADINGS)
             if not out and tag in ("article", "main"):
                 heads = False
         else:
-            out = _is_dropped(tag, m[4])
-            heads = out and tag == "header" and within > 0
-        stack.append(_Open(tag, out, heads, len(blocks), within))
+            out = form and tag in _CONTROLS or _is_dropped(tag, m[4])
+            heads, lifts = out and tag == "header" and within > 0, out and tag == "form"
+        stack.append(_Open(tag, out, heads, len(blocks), within, form, lifts))
         if m[4].endswith("/") and tag not in _BLOCK:
             close()
     if pos < len(page) and not stack[-1].out:
@@ -162,11 +168,18 @@ def blocks_of(page: str) -> list[tuple[str, list[int]]]:
     while len(stack) > 1:
         close()
     flush()
-    best = max((b[2] for b in blocks), default=0)
-    return [(b[0], b[1]) for b in blocks if b[2] == best]
+    return blocks
+
 
+def blocks_of(page: str) -> list[tuple[str, list[int]]]:
+    """(text, hashes) of the main text of one page that has no host: extract() chooses like this after it deletes templates."""
+    blocks = candidates_of(page)
+    size = [sum(len(b[0]) for b in blocks if b[2] >= least) for least in (0, 1, 2)]
+    least = next((k for k in (2, 1) if 2 * size[k] > size[0]), 0)
+    return [(b[0], b[1]) for b in blocks if b[2] >= least]
 
-_BLOCKS = "key long, page_id long, url string, host string, page long, texts array<string>, trees array<array<long>>"
+
+_BLOCKS = "key long, page_id long, url string, host string, page long, texts array<string>, trees array<array<long>>, places array<int>"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -181,10 +194,11 @@ def parsed(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [blocks_of(h) for h in batch.column("html").to_pylist()]
+            found = [candidates_of(h) for h in batch.column("html").to_pylist()]
+            kinds = [pa.string(), pa.list_(pa.int64()), pa.int32()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:5], pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string())), pa.array([[h for _, h in f] for f in found], pa.list_(pa.list_(pa.int64())))],
-                names=["key", "page_id", "url", "host", "page", "texts", "trees"],
+                [*batch.columns[:5], *(pa.array([[b[i] for b in f] for f in found], pa.list_(kind)) for i, kind in enumerate(kinds))],
+                names=["key", "page_id", "url", "host", "page", "texts", "trees", "places"],
             )
 
     return rows.mapInArrow(run, _BLOCKS)
@@ -193,10 +207,12 @@ def parsed(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
     """The main text of every row.
 
-    Menus, headers, footers, sidebars, notices, adverts, forms, comments,
-    scripts and styles go by what their elements are or are named; then every
-    subtree that more than least_pages and more than `share` of its host's
-    distinct pages hold is deleted. Copies of a page count once, and neither an
+    Menus, headers, footers, sidebars, notices, adverts, controls of forms,
+    comments, scripts and styles go by what their elements are or are named;
+    then every subtree that more than least_pages and more than `share` of its
+    host's distinct pages hold is deleted. Of what is left the text is that of
+    article elements if they hold more than half of its characters, else that
+    of main and article if these do, else all. Copies of a page count once, and neither an
     article (or main, or body) itself nor a paragraph inside one is a template,
     as many pages may quote it. A null html is empty and gives an empty text; a
     null url belongs to one host of its own; repeated rows give the same text
@@ -214,10 +230,16 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHA
     hosts = blocks.groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages"))
     templates = often.join(hosts, "host").where(F.col("n") > F.col("pages") * share).select("host", "tree")
     gone = disk.write(around.join(templates, ["host", "tree"]).groupBy("key").agg(F.collect_set("tree").alias("gone")), "gone")
-    left = F.filter(F.arrays_zip("texts", "trees"), lambda b: ~F.coalesce(F.arrays_overlap(b["trees"], F.col("gone")), F.lit(False)))
-    joined = blocks.join(gone, "key", "left").select("page_id", "url", F.size("texts").alias("n"), F.transform(left, lambda b: b["texts"]).alias("kept"))
+    left = F.filter(F.arrays_zip("texts", "trees", "places"), lambda b: ~F.coalesce(F.arrays_overlap(b["trees"], F.col("gone")), F.lit(False)))
+    own = F.transform(left, lambda b: F.struct(b["texts"].alias("text"), b["places"].alias("place")))
+    joined = blocks.join(gone, "key", "left").select("page_id", "url", F.size("texts").alias("n"), own.alias("left"))
+    size = lambda least: F.aggregate("left", F.lit(0).cast("long"), lambda n, b: n + F.when(b["place"] >= least, F.length(b["text"])).otherwise(0))
+    sized = joined.withColumn("least", F.when(2 * size(2) > size(0), 2).when(2 * size(1) > size(0), 1).otherwise(0))
+    chosen = F.transform(F.filter("left", lambda b: b["place"] >= F.col("least")), lambda b: b["text"])
     text = F.array_join("kept", "\n")
-    return joined.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.size("kept").alias("n_blocks"), (F.col("n") - F.size("kept")).alias("n_template"))
+    return sized.select("page_id", "url", (F.col("n") - F.size("left")).alias("n_template"), chosen.alias("kept")).select(
+        "page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.size("kept").alias("n_blocks"), "n_template"
+    )
 
 
 def op5_pagetext(spark, sf_dir):

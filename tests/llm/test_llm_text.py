@@ -196,3 +196,22 @@ def test_templates_of_a_site_go(spark):
     assert got[3]["text"] == "Text 3\nQuoted by all" and got[3]["n_template"] == 1 and got[None]["text"] == "Text 77\nQuoted by all"
     assert got[100]["text"].endswith("Follow our site")  # copies of one page are one page
     assert got[200]["text"] == got[201]["text"] == "" and got[3]["n_chars"] == len(got[3]["text"])
+
+
+def test_text_outside_a_teaser_article_and_inside_forms_stays(spark):
+    long = lambda i: f"<h1>Title {i}</h1><p>Long story {i} " + f"word{i} " * 40 + "</p>"
+    teaser, chrome = "<article><p>Read this next</p></article>", "<div><p>One of our sites</p></div>"
+    shapes = [
+        lambda i: f"<body>{chrome}<div class=content>{long(i)}</div>{teaser}</body>",
+        lambda i: f"<body>{chrome}<main>{long(i)}{teaser}</main></body>",
+        lambda i: f"<body>{chrome}<form id=form1 role=form><div><label>Name</label><input><article>{long(i)}</article></div></form></body>",
+        lambda i: f"<body><div><form class=form>{chrome}<div>{long(i)}</div><button>Go</button></form></div></body>",
+        lambda i: f"<body><div><form class=search-page><div><article>{long(i)}</article></div></form></div></body>",
+    ]
+    rows = [(100 * k + i, f"http://h{k}.example/{i}", shape(i)) for k, shape in enumerate(shapes) for i in range(30)]
+    got = {g["page_id"]: g["text"] for g in pagetext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(len(shapes)):
+        for i in range(30):
+            text = got[100 * k + i]
+            assert text.startswith(f"Title {i}\nLong story {i} word{i}"), (k, text)
+            assert not any(x in text for x in ("One of our sites", "Name", "Go")), (k, text)
