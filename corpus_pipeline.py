@@ -31,10 +31,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what fails the base rules and documents depleted of their own lines."""
-    kept = apply_rules(docs).where("kept").select("row_key").distinct()
+    """Removes the lines that many documents of a host hold; rejects what fails the base rules and documents depleted of their own lines."""
+    kept = apply_rules(docs).where("kept").select("row_key", F.col("text").alias("cleaned")).dropDuplicates(["row_key"])
     key = F.xxhash64("doc_id", "source", F.coalesce("text", F.lit("")))
-    return docs.withColumn("row_key", key).join(kept, "row_key", "left_semi").select(*docs.columns)
+    rest = docs.withColumn("row_key", key).drop("text", "n_chars").join(kept, "row_key")
+    return rest.withColumn("text", F.col("cleaned")).withColumn("n_chars", F.length("cleaned").cast("long")).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,13 +89,14 @@ def normal_line(line: Column) -> Column:
 
 
 def apply_rules(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, share: float = SHARE, left: float = LEFT, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """Statistics and the verdict of every row.
+    """Statistics, the verdict and the cleaned text of every row.
 
     Lines are compared without case and with runs of white space as one space.
     A line is removed where more than least_documents and more than `share` of
     its host's distinct documents hold it; a document of which there are copies
     counts once, and the host's first document (smallest doc_id) with the line
-    keeps it. A document of which less than `left` of the words are left is
+    keeps it. The text is what the other lines, blank ones too, give when joined
+    again. A document of which less than `left` of the words are left is
     depleted. A null text has no words; a null host is a host of its own;
     repeated rows get the same verdict each; an empty table gives no rows.
 
@@ -104,13 +105,14 @@ def apply_rules(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, share:
     meet in one task before they are one row a task.
 
     Returns doc_id, row_key (hash of doc_id, host and text), n_words, word_chars,
-    n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept.
+    n_symbols, n_dup_lines, n_repeat_words, text (cleaned; the statistics are of
+    the whole text), removed_words, base_failed, kept.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     key = F.xxhash64(F.col(doc_id), F.col(host), body)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host), F.lit("")).alias("host"), body.alias("text"), F.xxhash64(body).alias("document"), key.alias("row_key"))
-    lines = rows.select("doc_id", "host", "document", "row_key", F.posexplode(F.filter(F.split("text", "\n"), lambda x: without(x, SPACE) != "")).alias("at", "line")).select(
-        "doc_id", "host", "document", "row_key", "at", F.xxhash64(normal_line(F.col("line"))).alias("line"), F.size(words_of(F.col("line"))).cast("long").alias("words")
+    lines = rows.select("doc_id", "host", "document", "row_key", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(without(F.col("line"), SPACE) != "").select(
+        "doc_id", "host", "document", "row_key", "at", F.xxhash64(normal_line(F.col("line"))).alias("line")
     )
     held = lines.groupBy("host", "line", "document").agg(F.min("doc_id").alias("first"))
     often = held.groupBy("host", "line").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") > least_documents)
@@ -119,18 +121,19 @@ def apply_rules(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, share:
     gone = (
         lines.join(limits, ["host", "line"])
         .where(~F.col("doc_id").eqNullSafe(F.col("first")))
-        .groupBy("row_key", "at")
-        .agg(F.first("words").alias("words"))
         .groupBy("row_key")
-        .agg(F.sum("words").alias("removed_words"))
+        .agg(F.collect_set("at").alias("gone"))
     )
-    told = rows.select("doc_id", "row_key", base_rules(F.col("text")).alias("b")).select(
-        "doc_id", "row_key", "b.c.n_words", "b.word_chars", "b.n_symbols", "b.n_dup_lines", "b.c.n_repeat_words"
+    told = rows.select("doc_id", "row_key", "text", base_rules(F.col("text")).alias("b")).select(
+        "doc_id", "row_key", "text", "b.c.n_words", "b.word_chars", "b.n_symbols", "b.n_dup_lines", "b.c.n_repeat_words"
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    cleaned = F.array_join(F.filter(F.split("text", "\n"), lambda x, at: ~F.array_contains("gone", at)), "\n")
     return (
         told.join(gone, "row_key", "left")
-        .withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
+        .withColumn("text", F.when(F.col("gone").isNotNull(), cleaned).otherwise(F.col("text")))
+        .withColumn("removed_words", F.when(F.col("gone").isNotNull(), F.col("n_words") - F.size(words_of(F.col("text")))).otherwise(0).cast("long"))
+        .drop("gone")
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & ~(F.col("n_words") - F.col("removed_words") < left * F.col("n_words")))
     )

@@ -60,3 +60,12 @@ def test_packed_rows_hold_every_kept_token(spark, tmp_path):
 def test_an_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_quality_stage_passes_cleaned_texts_on(spark):
+    r = random.Random(12)
+    own = [words(r, "abcdefg", 60) for _ in range(30)]
+    rows = [(i, f"{own[i]}\nAll rights reserved", "en", "src0", None) for i in range(30)]
+    got = {d["doc_id"]: d for d in corpus_pipeline.good_quality(spark, spark.createDataFrame(rows + rows[5:6], COLUMNS), "").collect()}
+    assert got[0]["text"] == rows[0][1]
+    assert all((got[i]["text"], got[i]["n_chars"]) == (own[i], len(own[i])) for i in range(1, 30))

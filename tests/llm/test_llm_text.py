@@ -215,3 +215,13 @@ def test_text_outside_a_teaser_article_and_inside_forms_stays(spark):
             text = got[100 * k + i]
             assert text.startswith(f"Title {i}\nLong story {i} word{i}"), (k, text)
             assert not any(x in text for x in ("One of our sites", "Name", "Go")), (k, text)
+
+
+def test_lines_over_the_limits_are_cut_from_the_text(spark):
+    own = lambda i: "\n\n".join(" ".join(f"w{i}x{k}y{j}" for k in range(20)) for j in range(3))
+    rows = [(i, f" Read  our Terms\n{own(i)}\nread our terms\n \n", "h") for i in range(30)] + [(50, f"{own(50)}\nread our terms", "other")]
+    df = spark.createDataFrame(rows + rows[3:4], "doc_id long, text string, source string")
+    got = {g["doc_id"]: g for g in quality.apply_rules(df).collect()}
+    assert got[0]["text"] == rows[0][1] and got[50]["text"] == rows[30][1] and got[50]["removed_words"] == 0
+    for i in range(1, 30):
+        assert (got[i]["text"], got[i]["removed_words"], got[i]["kept"]) == (f"{own(i)}\n \n", 6, True)
