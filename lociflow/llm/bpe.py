@@ -182,7 +182,7 @@ class Bpe:
         for part in self.split_special.split(text) if "<|" in text and self.split_special else (text,):
             if part in self.special:
                 out.append(np.array([self.special[part]], "<u4").tobytes())
-            elif part.isascii() or _PLAIN.fullmatch(part):
+            elif part.isascii() and not _CONTROL.search(part) or _PLAIN.fullmatch(part):
                 out += [known_of(w) or learn(w) for w in part.lower().split()]
             else:
                 out += [self.spelt(w) for w, _ in self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(part))]
@@ -195,6 +195,8 @@ class Bpe:
 
 #: Characters that Python and the library normalise and split alike; other texts are normalised and split by the library.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa0-\u024f\u2013\u2014\u2018-\u201d\u2022\u2026]*")
+#: ASCII that they do not: to Python, some of these separate words.
+_CONTROL = regex.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 
 _loaded: dict[str, Bpe] = {}
 

@@ -225,3 +225,14 @@ def test_lines_over_the_limits_are_cut_from_the_text(spark):
     assert got[0]["text"] == rows[0][1] and got[50]["text"] == rows[30][1] and got[50]["removed_words"] == 0
     for i in range(1, 30):
         assert (got[i]["text"], got[i]["removed_words"], got[i]["kept"]) == (f"{own(i)}\n \n", 6, True)
+
+
+def test_bpe_on_ascii_controls():
+    lib, own, r = library(WORD_BPE), bpe.loaded(WORD_BPE), random.Random(5)
+    texts = ["alpha\x1cbeta", "x\x1d\x1ey", *(f"a{chr(c)}b {chr(c)}" for c in range(128))]
+    texts += ["".join(r.choice("abc \x00\x0b\x0c\x1c\x1d\x1e\x1f\x7f") for _ in range(80)) for _ in range(40)]
+    for t in texts:
+        ids = own.encode(t)
+        expected = lib.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == expected, repr(t)
+        assert own.decode(ids) == lib.decode(expected, skip_special_tokens=False)
