@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import hashlib
 import json
 from array import array
 
@@ -207,32 +206,34 @@ def loaded(path: str) -> Bpe:
     return _loaded[path]
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def tokenised(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes every row's whole text and decodes the ids again, as the tokenizers library does.
 
-    A null text counts as empty: no tokens, and the digests of no bytes. The
-    strings of special tokens are special tokens. Rows are independent, so
+    A null text counts as empty: no tokens and an empty text. The strings of special tokens are special tokens. Rows are independent, so
     repeated rows and an empty table need no care; other columns are ignored.
     A worker keeps at most WORDS words and PAIRS pairs.
 
-    Returns doc_id, n_tokens, ids_sha256, decoded_sha256.
+    Returns doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded.
     """
 
     def run(batches):
         bpe = loaded(vocabulary)
         for batch in batches:
-            ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(i) // 4 for i in ids], pa.int64()),
-                    pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
-                    pa.array([hashlib.sha256(bpe.decode(i).encode()).hexdigest() for i in ids], pa.string()),
-                ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for at in range(0, len(batch), 1000):
+                some = batch.slice(at, 1000)
+                ids = [bpe.encode(t or "") for t in some.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(i) for i in ids], pa.string())],
+                    names=["doc_id", "n_tokens", "ids", "decoded"],
+                )
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+
+
+def encode_decode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Digests of tokenised(): doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    got = tokenised(docs, vocabulary, doc_id, text)
+    return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op10_bpe(spark, sf_dir):

@@ -144,10 +144,10 @@ def best_fit_plan(sizes: dict[int, int], room: int) -> np.ndarray:
     return np.array(rows, np.int64).reshape(-1, 6)
 
 
-_PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("deal", pa.int32())])
+_PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("mix", pa.int64())])
 
 
-def tokenised_pieces(docs: DataFrame, vocabulary: str, room: int, end_id: int, deals: int, doc_id: str, text: str) -> DataFrame:
+def tokenised_pieces(docs: DataFrame, vocabulary: str, room: int, end_id: int, doc_id: str, text: str) -> DataFrame:
     end = np.array([end_id], "<u4").tobytes()
 
     def cut_all(batches):
@@ -159,11 +159,12 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, room: int, end_id: int, d
                 for key, text in zip(keys[at : at + 256], texts[at : at + 256], strict=True):
                     got = ids(text) + end
                     for i, (start, length) in enumerate(cut(len(got) // 4, room)):
-                        crc = zlib.crc32(got[4 * start : 4 * (start + length)])
-                        rows.append((key, i, start, length, crc, zlib.crc32(b"%d %d" % (key, i)) % deals))
+                        own = got[4 * start : 4 * (start + length)]
+                        crc = zlib.crc32(own)
+                        rows.append((key, i, start, length, crc, own, zlib.crc32(b"%d %d %d" % (key, i, crc))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _PIECE, strict=True)], schema=_PIECE)
 
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut_all, "doc_id long, piece int, start long, length long, ids_crc32 long, deal int")
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut_all, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, mix long")
 
 
 def pack(docs: DataFrame, vocabulary: str, room: int = 1024, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -178,12 +179,16 @@ def pack(docs: DataFrame, vocabulary: str, room: int = 1024, end_id: int = 2, do
     pieces (copies of a text) is many tasks' work. Repeated rows are packed each; an empty table gives no
     rows; other columns are ignored.
 
-    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    Deals are of some thousand pieces, as their ids are with them.
+
+    Returns doc_id, piece, start, length, ids_crc32, ids (little-endian unsigned
+    32-bit), sequence_id, offset; sequences() puts the ids of each sequence together.
     """
     spark = docs.sparkSession
     disk = Scratch(spark, "pack")
-    deals = 4 * max(parts(spark), pieces_of(docs.count(), 50_000))
-    cuts = disk.write(tokenised_pieces(docs, vocabulary, room, end_id, deals, doc_id, text), "pieces")
+    cuts = disk.write(tokenised_pieces(docs, vocabulary, room, end_id, doc_id, text), "pieces")
+    deals = 4 * max(parts(spark), pieces_of(cuts.count(), 20_000))
+    cuts = cuts.withColumn("deal", F.pmod("mix", F.lit(deals)).cast("int")).drop("mix")
     per_deal = cuts.groupBy("length", "deal").agg(F.count("*").alias("n"))
     plan = best_fit_plan({r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count("*").alias("n")).collect()}, room)
     before = Window.partitionBy("length").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
@@ -191,7 +196,7 @@ def pack(docs: DataFrame, vocabulary: str, room: int = 1024, end_id: int = 2, do
 
     starts = plan[np.lexsort((plan[:, 1], plan[:, 0]))] if len(plan) else plan
     reach = int(starts[:, 1].max(initial=0)) + 1 + int(starts[:, 2].max(initial=0))
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
 
     def place(deal: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
         deal = deal.sort_values(["length", "doc_id", "piece", "ids_crc32"], ignore_index=True)
@@ -201,11 +206,19 @@ def pack(docs: DataFrame, vocabulary: str, room: int = 1024, end_id: int = 2, do
         nth = rank - row[:, 1]
         return deal[columns].assign(sequence_id=row[:, 3] + nth // row[:, 4], offset=row[:, 5] + nth % row[:, 4] * row[:, 0])
 
-    placed = cuts.groupBy("deal").cogroup(bases.groupBy("of_deal")).applyInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = cuts.groupBy("deal").cogroup(bases.groupBy("of_deal")).applyInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long")
     return placed.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
 
 
+def sequences(placed: DataFrame) -> DataFrame:
+    """The packed sequences of pack(): sequence_id, n_tokens, n_pieces, ids (little-endian unsigned 32-bit, in the order of offsets)."""
+    pieces = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    got = placed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.count("*").alias("n_pieces"), pieces.alias("p"))
+    return got.select("sequence_id", "n_tokens", "n_pieces", F.aggregate("p", F.lit(b""), lambda all, x: F.concat(all, x["ids"])).alias("ids"))
+
+
 def op1_packing(spark, sf_dir):
     import public_tokenizers
 
-    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    got = pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return got.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")

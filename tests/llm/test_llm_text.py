@@ -236,3 +236,24 @@ def test_bpe_on_ascii_controls():
         expected = lib.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == expected, repr(t)
         assert own.decode(ids) == lib.decode(expected, skip_special_tokens=False)
+
+
+def test_ids_and_decoded_texts_come_out(spark):
+    lib = library(WORD_BPE)
+    rows = odd(spark).collect()
+    got = bpe.tokenised(odd(spark), WORD_BPE).collect()
+    ids = [lib.encode(r["text"] or "", add_special_tokens=False).ids for r in rows]
+    expected = [(r["doc_id"], i, lib.decode(i, skip_special_tokens=False)) for r, i in zip(rows, ids, strict=True)]
+    assert sorted(map(str, expected)) == sorted(str((g["doc_id"], np.frombuffer(g["ids"], "<u4").tolist(), g["decoded"])) for g in got)
+
+
+def test_sequences_hold_the_ids_of_every_text(spark):
+    lib, placed = library(BYTE_BPE), packing.pack(odd(spark), BYTE_BPE, room=16)
+    got = {g["sequence_id"]: np.frombuffer(g["ids"], "<u4").tolist() for g in packing.sequences(placed).collect()}
+    assert max(map(len, got.values())) <= 16
+    texts = {}
+    for p in placed.where("doc_id >= 4").orderBy("doc_id", "piece").collect():
+        own = got[p["sequence_id"]][p["offset"] : p["offset"] + p["length"]]
+        assert own == np.frombuffer(p["ids"], "<u4").tolist()
+        texts.setdefault(p["doc_id"], []).extend(own)
+    assert texts == {i: [*lib.encode(ODD[i], add_special_tokens=False).ids, 2] for i in range(4, len(ODD))}
