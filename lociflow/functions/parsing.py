@@ -15,23 +15,35 @@ def parse_region(text: Column) -> Column:
     return F.when(good, F.struct(F.regexp_extract(text, form, 1).alias("chrom"), number(2).try_cast("bigint").alias("start"), number(3).try_cast("bigint").alias("end")))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with these columns, each computed once a row however often and wherever it is used later.
+
+    A projection is merged into those above it and into pushed filters, which
+    then repeat its expressions; a generator is not.
+    """
+    for name, value in columns.items():
+        df = df.select("*", F.explode(F.array(value)).alias(name))
+    return df
+
+
 def attribute_map(text: Column, strict: bool = False) -> Column:
     """GTF's ninth column as a map. Values of a repeated key are joined by commas, quotes do not protect a semicolon.
 
-    A pair without a value raises where strict, and is left out where not.
+    A pair without a value raises where strict, and is left out where not. To
+    read several keys of a map, make it with once().
     """
     items = F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: x != "")
-    broken = F.exists(items, lambda x: F.instr(x, " ") == 0)
-    pairs = F.transform(
-        F.filter(items, lambda x: F.instr(x, " ") > 0),
-        lambda x: F.struct(F.substring_index(x, " ", 1).alias("k"), F.btrim(F.regexp_extract(x, r"(?s)^[^ ]* (.*)$", 1), F.lit('"')).alias("v")),
-    )
+    pair = lambda x: F.struct(F.substring_index(x, " ", 1).alias("k"), F.btrim(F.substr(x, F.instr(x, " ") + 1), F.lit('"')).alias("v"))
 
-    def fold(all_pairs: Column) -> Column:
-        keys = F.array_distinct(F.transform(all_pairs, lambda p: p["k"]))
-        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.array_join(F.transform(F.filter(all_pairs, lambda p: p["k"] == k), lambda p: p["v"]), ",")))
+    def fold(p: Column) -> Column:
+        keys, values = p["p"]["k"], p["p"]["v"]
+        joined = F.transform(p["d"], lambda k: F.array_join(F.filter(values, lambda v, i: F.get(keys, i) == k), ","))
+        return F.when(F.size(p["d"]) == F.size(p["p"]), F.map_from_arrays(keys, values)).otherwise(F.map_from_arrays(p["d"], joined))
 
-    folded = F.transform(F.array(pairs), fold)[0]
+    # a lambda's variable is computed once
+    pairs = F.transform(F.array(items), lambda i: F.transform(F.filter(i, lambda x: F.instr(x, " ") > 0), pair))
+    folded = F.transform(F.transform(pairs, lambda p: F.struct(p.alias("p"), F.array_distinct(p["k"]).alias("d"))), fold)[0]
+    broken = F.exists(items, lambda x: F.instr(x, " ") == 0)
     return F.when(broken, F.raise_error(F.concat(F.lit("invalid attribute pair in: "), text)).cast("map<string,string>")).otherwise(folded) if strict else folded
 
 
@@ -45,15 +57,15 @@ def with_ccre_columns(features: DataFrame, strict: bool = True) -> DataFrame:
 
     Too few fields or a bad number raise where strict; else the row's new columns are null.
     """
-    fields = F.split("rest", "\t")
+    split = once(features, __fields=F.split("rest", "\t", 8))
+    fields, enough = F.col("__fields"), F.size("__fields") >= 7
     number = (lambda i: fields[i].cast("int")) if strict else (lambda i: fields[i].try_cast("int"))
-    enough = F.size(fields) >= 7
     if strict:
-        features = features.where(F.when(enough, True).otherwise(F.raise_error(F.lit("too few fields in rest")).cast("boolean")))
+        split = split.where(F.when(enough, True).otherwise(F.raise_error(F.lit("too few fields in rest")).cast("boolean")))
     pick = lambda x: F.when(enough, x)
-    return features.select(
+    return split.select(
         *(c for c in features.columns if c != "rest"),
-        pick(F.array_join(F.slice(fields, 8, F.greatest(F.size(fields) - 7, F.lit(0))), "\t")).alias("rest"),
+        pick(F.coalesce(F.get(fields, F.lit(7)), F.lit(""))).alias("rest"),
         pick(F.get(fields, F.lit(0))).alias("name"),
         pick(number(1)).alias("score"),
         pick(F.get(fields, F.lit(2))).alias("strand"),

@@ -15,18 +15,30 @@ RECORDS = 50_000
 
 
 def first_fit(starts, ends) -> list[int]:
-    """Row of each interval, in the given order: the lowest row whose last end is not beyond its start."""
-    reached: list = []
+    """Row of each interval, in the given order: the lowest row whose last end is not beyond its start.
+
+    A tree over the rows keeps the least end below each node, so the lowest row
+    that is free is found in as many steps as the tree is deep.
+    """
+    free = float("-inf")  # of rows that are not open yet
+    leaves, least = 1, [free, free]
     out = []
     for s, e in zip(starts, ends, strict=True):
-        for row, end in enumerate(reached):
-            if s >= end:
-                reached[row] = e
-                break
-        else:
-            row = len(reached)
-            reached.append(e)
-        out.append(row)
+        if least[1] > s:
+            ends_of, leaves = least[leaves:] + [free] * leaves, 2 * leaves
+            least = [free] * leaves + ends_of
+            for node in range(leaves - 1, 0, -1):
+                least[node] = min(least[2 * node], least[2 * node + 1])
+        node = 1
+        while node < leaves:
+            node *= 2
+            if least[node] > s:
+                node += 1
+        out.append(node - leaves)
+        least[node] = e
+        while node > 1:
+            node >>= 1
+            least[node] = min(least[2 * node], least[2 * node + 1])
     return out
 
 

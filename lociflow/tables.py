@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.parsing import attribute_map
-
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,33 +37,38 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(chrom_of("l_suppkey").alias("chr"), "start", "end", rest.alias("rest"), "l_orderkey", "l_linenumber", "l_suppkey")
 
 
+def _attributes(**values) -> Column:
+    """A record's attributes, as parsing its ninth column gives them; a null value is an absent key for those who look it up."""
+    return F.create_map(*(x for name, value in values.items() for x in (F.lit(name), value.cast("string"))))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as genes, orders as transcripts, line items as exons, UTRs and CDSs: annotation records."""
-    gene = lambda key: F.concat(F.lit('gene_id "G'), key, F.lit('"; gene_name "N'), key, F.lit('"; '))
-    transcript = lambda key: F.concat(F.lit('transcript_id "X'), key, F.lit('"; transcript_name "T'), key, F.lit('"; '))
+    """Customers as genes, orders as transcripts, line items as exons, UTRs and CDSs: annotation records.
+
+    The tables have columns already, so no attribute text is made and parsed.
+    """
+    named = lambda letter, key: F.concat(F.lit(letter), F.col(key))
     customers = read(spark, sf_dir, "customer").select(
         chrom_of("c_custkey").alias("chrom"), F.lit("gene").alias("feature"), F.lit(1).alias("start"), F.lit(40_000).alias("end"), F.when(F.col("c_nationkey") % 2 == 0, "+").otherwise("-").alias("strand"),
-        F.concat(gene(F.col("c_custkey")), F.lit('gene_type "'), "c_mktsegment", F.lit('";')).alias("text"), (F.col("c_custkey") * 10).alias("ord"),
+        _attributes(gene_id=named("G", "c_custkey"), gene_name=named("N", "c_custkey"), gene_type=F.col("c_mktsegment")).alias("attributes"), (F.col("c_custkey") * 10).alias("ord"),
     )
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", (_days("o_orderdate") * 10 + 1).alias("start"))
-    names = F.concat(gene(F.col("o_custkey")), transcript(F.col("o_orderkey")))
+    of = {"gene_id": named("G", "o_custkey"), "gene_name": named("N", "o_custkey"), "transcript_id": named("X", "o_orderkey"), "transcript_name": named("T", "o_orderkey")}
     base = F.lit(10_000_000_000) + F.col("o_orderkey") * 1000
     heads = orders.select(
         chrom_of("o_custkey").alias("chrom"), F.lit("transcript").alias("feature"), "start", (F.col("start") + 499).alias("end"), F.lit("+").alias("strand"),
-        F.concat(names, F.lit('tag "basic"; '), F.when(F.col("o_orderpriority") == "1-URGENT", F.lit('tag "MANE_Select";')).otherwise(F.lit(""))).alias("text"), base.alias("ord"),
+        _attributes(**of, tag=F.when(F.col("o_orderpriority") == "1-URGENT", "basic,MANE_Select").otherwise("basic")).alias("attributes"), base.alias("ord"),
     )
     codons = orders.where("o_orderstatus = 'F'").select("*", F.explode(F.array(F.lit("start_codon"), F.lit("stop_codon"))).alias("feature"))
     codons = codons.select(
-        chrom_of("o_custkey").alias("chrom"), "feature", (F.col("start") + F.when(F.col("feature") == "start_codon", 10).otherwise(400)).alias("start"), (F.col("start") + F.when(F.col("feature") == "start_codon", 12).otherwise(402)).alias("end"), F.lit("+").alias("strand"), names.alias("text"), (base + 1).alias("ord"),
+        chrom_of("o_custkey").alias("chrom"), "feature", (F.col("start") + F.when(F.col("feature") == "start_codon", 10).otherwise(400)).alias("start"), (F.col("start") + F.when(F.col("feature") == "start_codon", 12).otherwise(402)).alias("end"), F.lit("+").alias("strand"), _attributes(**of).alias("attributes"), (base + 1).alias("ord"),
     )
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", (_days("l_shipdate") * 10).alias("at"), F.floor("l_quantity").cast("int").alias("q"))
-    own = lines.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    exon = own.groupBy("o_orderkey", "o_custkey", "l_linenumber").agg(F.min("at").alias("at"), F.max("q").alias("q"), F.lit("exon").alias("feature"))
-    inner = own.where("l_returnflag IN ('R', 'A')").select("o_orderkey", "o_custkey", "l_linenumber", "at", "q", F.when(F.col("l_returnflag") == "R", "UTR").otherwise("CDS").alias("feature"))
-    number = F.concat(F.lit("exon_number "), F.col("l_linenumber").cast("string"), F.lit("; "))
-    parts = exon.unionByName(inner).select(
-        chrom_of("o_custkey").alias("chrom"), "feature", "at", (F.col("at") + F.col("q")).alias("end"), F.lit("+").alias("strand"),
-        F.concat(names, number, F.lit('exon_id "E'), F.col("o_orderkey"), F.lit("."), F.col("l_linenumber"), F.lit('";')).alias("text"), (base + 10 * F.col("l_linenumber")).alias("ord"),
-    ).withColumnRenamed("at", "start")
+    exon = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("at").alias("at"), F.max("q").alias("q")).withColumn("feature", F.lit("exon"))
+    inner = lines.where("l_returnflag IN ('R', 'A')").select("l_orderkey", "l_linenumber", "at", "q", F.when(F.col("l_returnflag") == "R", "UTR").otherwise("CDS").alias("feature"))
+    parts = exon.unionByName(inner).join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        chrom_of("o_custkey").alias("chrom"), "feature", F.col("at").alias("start"), (F.col("at") + F.col("q")).alias("end"), F.lit("+").alias("strand"),
+        _attributes(**of, exon_number=F.col("l_linenumber"), exon_id=F.concat(F.lit("E"), "o_orderkey", F.lit("."), "l_linenumber")).alias("attributes"), (base + 10 * F.col("l_linenumber")).alias("ord"),
+    )
     every = customers.unionByName(heads).unionByName(codons).unionByName(parts)
-    return every.select("chrom", F.lit("table").alias("source"), "feature", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.lit(".").alias("score"), "strand", F.lit(".").alias("frame"), attribute_map(F.col("text")).alias("attributes"), F.col("ord").cast("bigint").alias("ord"))
+    return every.select("chrom", F.lit("table").alias("source"), "feature", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.lit(".").alias("score"), "strand", F.lit(".").alias("frame"), "attributes", F.col("ord").cast("bigint").alias("ord"))
