@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from .common import read
 
 #: White space of the rules (fixed value): space and code points 9 to 13.
-SPACE = " \t\n\x0b\x0c\r"
 _RUN = r"[\x20\x09-\x0D]+"
 #: Characters counted as symbols (fixed value).
-SYMBOLS = "#*$%&|<>"
+SYMBOL = r"[#*$%&|<>]"
 #: A line of a host is removed if more of its distinct documents hold it than both of these.
 LEAST_DOCUMENTS, SHARE = 20, 0.02
 #: A document is depleted if less than this part of its words is left.
@@ -35,8 +34,8 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, _RUN), lambda w: w != "")
 
 
-def without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def has_word(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
 def repeated_words(words: Column) -> Column:
@@ -44,7 +43,9 @@ def repeated_words(words: Column) -> Column:
 
     A window is one long: its hash above its position, with as many bits for
     positions as the text needs. Sorted, equal windows are neighbours, and
-    neighbours are compared word by word.
+    neighbours of equal hash are compared word by word. Where two neighbours
+    share a hash but not their words, which the fewer bits of a very long text
+    make likelier, the windows are sorted by their words instead.
     """
     last = F.size(words) - 3
 
@@ -54,18 +55,34 @@ def repeated_words(words: Column) -> Column:
         packed = F.transform(F.sequence(F.lit(0), last), lambda i: up(F.xxhash64(hashes[i], hashes[i + 1], hashes[i + 2]), bits).bitwiseOR(i.cast("long")))
         return let(F.sort_array(packed), lambda s: let(bits, lambda b: let(low, lambda m: doubles(s, b, m))))
 
+    def alike(p: Column, q: Column) -> Column:
+        return (words[p] == words[q]) & (words[p + 1] == words[q + 1]) & (words[p + 2] == words[q + 2])
+
     def doubles(s: Column, bits: Column, low: Column) -> Column:
-        def alike(a: Column, b: Column) -> Column:
-            p, q = a.bitwiseAND(low).cast("int"), b.bitwiseAND(low).cast("int")
-            return (down(a, bits) == down(b, bits)) & (words[p] == words[q]) & (words[p + 1] == words[q + 1]) & (words[p + 2] == words[q + 2])
+        place = lambda j: s[j].bitwiseAND(low).cast("int")
+        # of each window and the one before it: 1 if they are equal, 2 if only their hashes are
+        kinds = F.transform(F.sequence(F.lit(1), last), lambda j: F.when(down(s[j], bits) != down(s[j - 1], bits), 0).when(alike(place(j), place(j - 1)), 1).otherwise(2))
+        return let(
+            kinds,
+            lambda k: F.when(F.array_contains(k, 2), by_words())
+            .when(F.array_contains(k, 1), covered(F.transform(both(k), place)))
+            .otherwise(F.lit(0).cast("long")),
+        )
+
+    def both(kinds: Column) -> Column:
+        """Which of the sorted windows equal a neighbour."""
+        return F.filter(F.sequence(F.lit(0), last), lambda j: (F.get(kinds, j - 1) == 1) | (F.get(kinds, j) == 1))
+
+    def by_words() -> Column:
+        windows = F.sort_array(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.slice(words, i + 1, F.lit(3)).alias("w"), i.alias("i"))))
+        return let(windows, lambda s: let(F.transform(F.sequence(F.lit(1), last), lambda j: (s[j]["w"] == s[j - 1]["w"]).cast("int")), lambda k: covered(F.transform(both(k), lambda j: s[j]["i"]))))
 
-        flagged = F.filter(F.sequence(F.lit(0), last), lambda j: ((j > 0) & alike(s[j], s[F.greatest(j - 1, F.lit(0))])) | ((j < last) & alike(s[j], s[F.least(j + 1, last)])))
-        at = F.sort_array(F.transform(flagged, lambda j: s[j].bitwiseAND(low)))
+    def covered(places: Column) -> Column:
         return let(
-            at,
+            F.sort_array(places),
             lambda p: F.when(
                 F.size(p) > 0,
-                F.aggregate(F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: F.least(b - a, F.lit(3).cast("long"))), F.lit(3).cast("long"), lambda n, x: n + x),
+                F.aggregate(F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: F.least(b - a, F.lit(3))), F.lit(3).cast("long"), lambda n, x: n + x),
             ).otherwise(F.lit(0).cast("long")),
         )
 
@@ -74,18 +91,17 @@ def repeated_words(words: Column) -> Column:
 
 def base_rules(text: Column) -> Column:
     """The statistics of one text as a struct."""
-    lines = F.filter(F.split(text, "\n"), lambda x: without(x, SPACE) != "")
-    counts = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
+    lines = F.filter(F.split(text, "\n"), has_word)
+    counts = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words")))
     return F.struct(
         counts.alias("c"),
-        F.length(without(text, SPACE)).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(without(text, SYMBOLS))).cast("long").alias("n_symbols"),
+        (F.size(F.split(text, SYMBOL)) - 1).cast("long").alias("n_symbols"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
     )
 
 
 def normal_line(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, _RUN, " ")))
+    return F.lower(F.trim(F.when(line.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(line, _RUN, " ")).otherwise(line)))
 
 
 def apply_rules(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, share: float = SHARE, left: float = LEFT, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
@@ -102,7 +118,8 @@ def apply_rules(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, share:
 
     Each line is counted by its 64-bit hash with the document's, first by
     (host, line, document) and then by (host, line), so that no line's documents
-    meet in one task before they are one row a task.
+    meet in one task before they are one row a task. A caller that doesn't read
+    the cleaned text shuffles no text.
 
     Returns doc_id, row_key (hash of doc_id, host and text), n_words, word_chars,
     n_symbols, n_dup_lines, n_repeat_words, text (cleaned; the statistics are of
@@ -110,9 +127,9 @@ def apply_rules(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, share:
     """
     body = F.coalesce(F.col(text), F.lit(""))
     key = F.xxhash64(F.col(doc_id), F.col(host), body)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host), F.lit("")).alias("host"), body.alias("text"), F.xxhash64(body).alias("document"), key.alias("row_key"))
-    lines = rows.select("doc_id", "host", "document", "row_key", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(without(F.col("line"), SPACE) != "").select(
-        "doc_id", "host", "document", "row_key", "at", F.xxhash64(normal_line(F.col("line"))).alias("line")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("")).alias("host"), body.alias("text"), F.xxhash64(body).alias("document"), key.alias("row_key"))
+    lines = rows.select("doc_id", "host", "document", "row_key", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(has_word(F.col("line"))).select(
+        "doc_id", "host", "document", "row_key", "at", F.size(words_of(F.col("line"))).alias("words"), F.xxhash64(normal_line(F.col("line"))).alias("line")
     )
     held = lines.groupBy("host", "line", "document").agg(F.min("doc_id").alias("first"))
     often = held.groupBy("host", "line").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") > least_documents)
@@ -122,17 +139,17 @@ def apply_rules(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, share:
         lines.join(limits, ["host", "line"])
         .where(~F.col("doc_id").eqNullSafe(F.col("first")))
         .groupBy("row_key")
-        .agg(F.collect_set("at").alias("gone"))
+        .agg(F.collect_set(F.struct("at", "words")).alias("gone"))
     )
     told = rows.select("doc_id", "row_key", "text", base_rules(F.col("text")).alias("b")).select(
-        "doc_id", "row_key", "text", "b.c.n_words", "b.word_chars", "b.n_symbols", "b.n_dup_lines", "b.c.n_repeat_words"
+        "doc_id", "row_key", "text", "b.c.n_words", "b.c.word_chars", "b.n_symbols", "b.n_dup_lines", "b.c.n_repeat_words"
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    cleaned = F.array_join(F.filter(F.split("text", "\n"), lambda x, at: ~F.array_contains("gone", at)), "\n")
+    cleaned = F.array_join(F.filter(F.split("text", "\n"), lambda x, at: ~F.array_contains("gone.at", at)), "\n")
     return (
         told.join(gone, "row_key", "left")
         .withColumn("text", F.when(F.col("gone").isNotNull(), cleaned).otherwise(F.col("text")))
-        .withColumn("removed_words", F.when(F.col("gone").isNotNull(), F.col("n_words") - F.size(words_of(F.col("text")))).otherwise(0).cast("long"))
+        .withColumn("removed_words", F.when(F.col("gone").isNotNull(), F.aggregate("gone.words", F.lit(0).cast("long"), lambda n, x: n + x)).otherwise(F.lit(0).cast("long")))
         .drop("gone")
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & ~(F.col("n_words") - F.col("removed_words") < left * F.col("n_words")))
@@ -145,7 +162,7 @@ def op3_quality(spark, sf_dir):
 
 
 SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
 win AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM (
   SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w))),

@@ -11,6 +11,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from lociflow.llm import bpe, language, packing, pagetext, quality  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
+SPACE = " \t\n\x0b\x0c\r"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, shard string"
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 ODD = [None, "", " ", "a", "é" * 300, "ΑΣ İ ñ 你好 😀", "it's  a <|endoftext|> b", "x\n\ny \n z", "word " * 3000, "%%% ***", "aaaaaaa aaa"]
@@ -139,15 +140,15 @@ def test_language_of_odd_rows(spark):
 
 
 def brute_rules(text):
-    words = [w for w in "".join(c if c not in quality.SPACE else " " for c in text or "").split(" ") if w]
+    words = [w for w in "".join(c if c not in SPACE else " " for c in text or "").split(" ") if w]
     seen, covered = {}, set()
     for i in range(len(words) - 2):
         seen.setdefault(tuple(words[i : i + 3]), []).append(i)
     for at in seen.values():
         if len(at) > 1:
             covered |= {i + k for i in at for k in range(3)}
-    lines = [x for x in (text or "").split("\n") if x.strip(quality.SPACE)]
-    return len(words), sum(map(len, words)), sum(c in quality.SYMBOLS for c in text or ""), len(lines) - len(set(lines)), len(covered)
+    lines = [x for x in (text or "").split("\n") if x.strip(SPACE)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
 
 
 def test_base_rules(spark):
@@ -257,3 +258,23 @@ def test_sequences_hold_the_ids_of_every_text(spark):
         assert own == np.frombuffer(p["ids"], "<u4").tolist()
         texts.setdefault(p["doc_id"], []).extend(own)
     assert texts == {i: [*lib.encode(ODD[i], add_special_tokens=False).ids, 2] for i in range(4, len(ODD))}
+
+
+def test_windows_that_only_hash_alike_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(quality, "down", lambda value, bits: F.call_function("shiftright", F.call_function("shiftright", value, bits), F.lit(50)))
+    random.seed(5)
+    texts = [" ".join(random.choices("abcdef", k=n)) for n in (3, 40, 120, 400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(quality.repeated_words(quality.words_of(F.col("t")))).collect()]
+    expected = []
+    for t in texts:
+        w = t.split()
+        windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        expected.append(len({i + k for i, x in enumerate(windows) if windows.count(x) > 1 for k in range(3)}))
+    assert got == expected
+
+
+def test_a_null_host_is_not_the_empty_one(spark):
+    rows = [(i, f"the same line on all of them\nown {i} " + "word " * 9, "en", host, 1, 1, "x") for i, host in enumerate([None] * 15 + [""] * 15)]
+    got = quality.apply_rules(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r["removed_words"] for r in got} == {0}
