@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-#: The bound of the sample that the automata are made from: texts a language, and characters of each.
-TEXTS, EXCERPT = 64, 320
+#: The bound of the sample that the automata are made from: texts a language that are looked at, shorter ones than
+#: the second number first, and UTF-8 bytes of whole texts that are learned.
+TEXTS, SHORT, BYTES = 64, 2048, 24_576
 #: Symbols of a lane; lanes that step together.
-LANE, LANES = 512, 4096
+LANE, LANES = 512, 2048
 _FOREIGN, _SPACE, _PAD = 0, 1, 2
 _BREAK = 1 << 30
 
@@ -49,7 +50,7 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class Alphabet:
-    """Letters of the labelled texts; all that is not a letter is one space, and other letters are foreign."""
+    """UTF-8 bytes of the labelled texts' letters; all that is not a letter is one space, and other bytes of letters are foreign."""
 
     letters: np.ndarray | None = None
 
@@ -57,14 +58,22 @@ class Alphabet:
         cls = type(self)
         if cls.letters is None:
             cls.letters = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-        known = sorted({c for t in texts for c in t if c.isalpha()})
+            cls.ascii = bytes(c if cls.letters[c] else 32 for c in range(128)) + bytes(range(128, 256))
+        known = sorted(set(b"".join(map(self._raw, texts))) - {32})
         self.size = len(known) + 3
-        self.of = np.where(cls.letters, _FOREIGN, _SPACE).astype(np.int32)
-        self.of[[ord(c) for c in known]] = np.arange(3, self.size)
+        self.of = np.full(256, _FOREIGN, np.int32)
+        self.of[32] = _SPACE
+        self.of[known] = np.arange(3, self.size)
+
+    def _raw(self, text: str) -> bytes:
+        if text.isascii():
+            return text.encode().translate(self.ascii)
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        return np.where(self.letters[code], code, 32).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
 
     def symbols(self, text: str) -> tuple[np.ndarray, bool]:
         """The text's symbols, runs of spaces as one; whether it holds a letter."""
-        s = self.of[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        s = self.of[np.frombuffer(self._raw(text), np.uint8)]
         space = s == _SPACE
         keep = ~space
         keep[1:] |= ~space[:-1]
@@ -75,9 +84,11 @@ class CrossParser:
     """Counts the phrases in which each language's automaton reads a text.
 
     A phrase is the longest match that starts where the one before it ended, or
-    one letter that the automaton doesn't know. An automaton becomes a table
-    whose missing moves lead on from the root and carry a mark that counts a
-    phrase, so that many lanes of text step together.
+    one byte of a letter that the automaton doesn't know. An automaton becomes a
+    table whose missing moves lead on from the root and carry a mark that counts
+    a phrase, so that many lanes of text step together. The table has a column
+    for each byte that letters of the samples hold, so its size is bounded by
+    BYTES and the number of languages, whatever their scripts.
     """
 
     def __init__(self, samples: dict[str, list[str]]):
@@ -85,12 +96,13 @@ class CrossParser:
         lowered = {lang: [t.lower() for t in samples[lang]] for lang in self.langs}
         self.alphabet = Alphabet([t for texts in lowered.values() for t in texts])
         a = self.alphabet.size
-        tables, self.roots, states = [], [], 0
+        tables, self.roots, sizes, states = [], [], [], 0
         for lang in self.langs:
             text = np.concatenate([np.zeros(0, np.int32), *(np.append(self.alphabet.symbols(t)[0], _FOREIGN) for t in lowered[lang])])
+            sizes.append(len(text))
             moves = suffix_automaton(text.tolist())
             dead = len(moves)  # before the first phrase, and after a letter that no phrase holds
-            root = np.full(a, dead, np.int64)
+            root = np.full(a, dead, np.int32)
             for c, to in moves[0].items():
                 root[c] = to
             root[_FOREIGN] = dead  # no match goes across the end of a labelled text
@@ -100,35 +112,83 @@ class CrossParser:
                     if c != _FOREIGN:
                         own[at, c] = to
             own[:, _PAD] = np.arange(dead + 1)
-            tables.append(((own & (_BREAK - 1)) + states) * a + (own & _BREAK))
+            if (states + dead + 1) * a >= _BREAK:
+                raise ValueError("too many languages for one table")
+            mark = own & np.int32(_BREAK)
+            own ^= mark
+            own += np.int32(states)
+            own *= np.int32(a)
+            own |= mark
+            tables.append(own)
             self.roots.append((states + dead) * a)
             states += dead + 1
-        whole = np.concatenate([np.zeros((0, a), np.int64), *tables])
-        if whole.size >= _BREAK:
-            raise ValueError("too many languages for one table")
-        self.table = whole.astype(np.int32).ravel()
+        self.table = np.concatenate([np.zeros((0, a), np.int32), *tables]).ravel()
+        #: A phrase of a larger sample says where it stands in more bits.
+        self.bits = np.log2(np.array(sizes, np.float64) + 2)
 
     def phrases(self, rows: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each row (rows x languages). A long row is parsed in lanes, which end a phrase."""
-        lanes = [(i, r[at : at + LANE]) for i, r in enumerate(rows) for at in range(0, len(r), LANE)]
-        lanes.sort(key=lambda x: -len(x[1]))
+        """Phrases of each whole row (rows x languages).
+
+        Long rows are parsed in lanes side by side, each as if a phrase began
+        with it. Lanes are then parsed again from the state in which the lane
+        before ended, up to where both ways meet (longest matches soon end at
+        the same place), so the counts are those of one pass over the row.
+        """
         out = np.zeros((len(rows), len(self.langs)), np.int64)
+        if not self.langs:
+            return out
+        by_size = sorted(range(len(rows)), key=lambda i: len(rows[i]))
+        lanes = [(i, rows[i][at : at + LANE]) for i in by_size for at in range(0, len(rows[i]), LANE)]
+        carried = None
         for at in range(0, len(lanes), LANES):
             some = lanes[at : at + LANES]
-            width = len(some[0][1])
-            grid = np.full((width, len(some)), _PAD, np.int32)
-            for j, (_, r) in enumerate(some):
-                grid[: len(r), j] = r
-            state = np.repeat(np.array(self.roots, np.int32)[:, None], len(some), axis=1)
-            count = np.zeros(state.shape, np.int32)
-            for c in grid:
-                state += c
-                step = self.table[state]
-                count += step >> 30
-                state = step & (_BREAK - 1)
-            np.add.at(out, [i for i, _ in some], count.T)
+            owner = np.array([i for i, _ in some])
+            goes_on = at > 0 and lanes[at - 1][0] == owner[0]
+            count, ends = self._lanes([r for _, r in some], owner, carried if goes_on else None)
+            carried = ends
+            np.add.at(out, owner, count.T)
         return out
 
+    def _lanes(self, some: list[np.ndarray], owner: np.ndarray, carried: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases of each lane (languages x lanes), and the last lane's states. carried: states before the first lane."""
+        width, n = max(map(len, some)), len(some)
+        grid = np.full((width, n), _PAD, np.int32)
+        for j, r in enumerate(some):
+            grid[: len(r), j] = r
+        start = np.repeat(np.array(self.roots, np.int32)[:, None], n, axis=1)
+        if carried is not None:
+            start[:, 0] = carried
+        reached = np.empty((width, *start.shape), np.int32)
+        ended = np.empty((width, *start.shape), np.uint8)
+        state = start.copy()
+        for t in range(width):
+            state += grid[t]
+            step = self.table[state]
+            np.right_shift(step, 30, out=ended[t], casting="unsafe")
+            state = np.bitwise_and(step, _BREAK - 1, out=reached[t]).copy()
+        follows = np.concatenate([[False], owner[1:] == owner[:-1]])
+        lang, lane = np.nonzero(follows[None, :] & (np.roll(reached[-1], 1, axis=1) != start))
+        while len(lane):
+            now = reached[-1][lang, lane - 1]
+            start[lang, lane] = now
+            le, la = lang, lane
+            for t in range(width):
+                step = self.table[now + grid[t, la]]
+                now = step & (_BREAK - 1)
+                apart = now != reached[t, le, la]
+                ended[t, le, la] = step >> 30
+                reached[t, le, la] = now
+                if not apart.all():
+                    le, la, now = le[apart], la[apart], now[apart]
+                    if not len(la):
+                        break
+            # lanes that never met the first parse end elsewhere, so the next ones start elsewhere
+            more = (la + 1 < n) & follows[np.minimum(la + 1, n - 1)]
+            lang, lane = le[more], la[more] + 1
+            moved = reached[-1][lang, lane - 1] != start[lang, lane]
+            lang, lane = lang[moved], lane[moved]
+        return ended.sum(axis=0, dtype=np.int64), reached[-1][:, -1].copy()
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         """(language or und, score, phrases a symbol of the best language) of each text."""
         read_as = [self.alphabet.symbols((t or "").lower()) for t in texts]
@@ -137,9 +197,11 @@ class CrossParser:
             if not has_letter or not len(n):
                 out.append(("und", 0.0, 1.0))
                 continue
-            order = np.argsort(n, kind="stable")
-            best, other = int(n[order[0]]), int(n[order[1]]) if len(n) > 1 else len(row) + 1
-            out.append((self.langs[order[0]], other / (best + other), best / len(row)))
+            bits = n * self.bits
+            order = np.argsort(bits, kind="stable")
+            best = bits[order[0]]
+            other = bits[order[1]] if len(n) > 1 else (len(row) + 1) * self.bits[0]
+            out.append((self.langs[order[0]], float(other / (best + other)), float(n[order[0]] / len(row))))
         return out
 
 
@@ -154,33 +216,45 @@ def parser_of(samples: dict[str, list[str]]) -> CrossParser:
     return _made[key]
 
 
-def labelled_sample(labelled: DataFrame, doc_id: str, text: str, lang: str, texts: int = TEXTS, excerpt: int = EXCERPT) -> dict[str, list[str]]:
-    """For each language, an excerpt of each of the `texts` rows that come first by a hash."""
+def labelled_sample(labelled: DataFrame, doc_id: str, text: str, lang: str, texts: int = TEXTS, short: int = SHORT, size: int = BYTES) -> dict[str, list[str]]:
+    """For each language whole texts of at most `size` UTF-8 bytes in all, from the `texts` rows that come first: those of up to `short` characters, then by a hash.
+
+    A text that does not fit into what is left is passed over; where not even one fits, the first is cut.
+    """
     h = F.xxhash64(F.col(doc_id), F.col(text))
-    first = Window.partitionBy("lang").orderBy("h", "text")
+    first = Window.partitionBy("lang").orderBy("long", "h", "text")
     rows = (
         labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0))
-        .select(F.col(lang).alias("lang"), F.col(text).alias("text"), h.alias("h"))
+        .select(F.col(lang).alias("lang"), F.col(text).alias("text"), h.alias("h"), (F.length(text) > short).alias("long"))
         .withColumn("n", F.row_number().over(first))
         .where(F.col("n") <= texts)
-        .select("lang", "n", F.substring("text", F.pmod("h", F.greatest(F.length("text") - excerpt, F.lit(0)) + 1).cast("int") + 1, excerpt).alias("part"))
+        .select("lang", "n", F.substring("text", 1, size + 1).alias("text"))  # more characters than bytes: too long to be learned whole
         .orderBy("lang", "n")
         .collect()
     )
     out: dict[str, list[str]] = {}
+    left: dict[str, int] = {}
+    for r in rows:
+        n = len(r["text"].encode("utf-8", "surrogatepass"))
+        if n <= left.setdefault(r["lang"], size):
+            out.setdefault(r["lang"], []).append(r["text"])
+            left[r["lang"]] -= n
     for r in rows:
-        out.setdefault(r["lang"], []).append(r["part"])
+        if r["lang"] not in out:
+            out[r["lang"]] = [r["text"].encode("utf-8", "surrogatepass")[:size].decode("utf-8", "ignore")]
     return out
 
 
 def identify(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """docs with lang_pred, score and phrase_rate.
 
-    Learns from labelled (a sample of TEXTS x EXCERPT characters a language; the
-    only thing sent to the driver and to the tasks). A text that is null or has
+    Learns from labelled (a sample of whole texts of BYTES bytes a language; the
+    only thing sent to the driver and to the tasks). The language wins that
+    needs the fewest phrases, each weighed by the bits that say where in the
+    language's sample it stands. A text that is null or has
     no letter is `und` with score 0, as is every text where nothing is labelled.
-    Equal counts go to the language that sorts first. score: the second-best
-    count over the sum of the best two, from 0.5 (tie) towards 1. docs' own
+    Equal sums go to the language that sorts first. score: the second-best
+    sum over the sum of the best two, from 0.5 (tie) towards 1. docs' own
     columns stay, but columns of those three names are replaced; rows are
     independent, so repeated rows and empty tables need no care.
     """

@@ -278,3 +278,25 @@ def test_a_null_host_is_not_the_empty_one(spark):
     rows = [(i, f"the same line on all of them\nown {i} " + "word " * 9, "en", host, 1, 1, "x") for i, host in enumerate([None] * 15 + [""] * 15)]
     got = quality.apply_rules(spark.createDataFrame(rows, DOCS)).collect()
     assert {r["removed_words"] for r in got} == {0}
+
+
+@pytest.mark.parametrize(("lane", "lanes"), [(512, 2048), (7, 5), (40, 1000)])
+def test_lanes_count_as_one_pass_over_the_text_does(monkeypatch, lane, lanes):
+    monkeypatch.setattr(language, "LANE", lane)
+    monkeypatch.setattr(language, "LANES", lanes)
+    r = random.Random(3)
+    word = lambda k: "".join(r.choice("abcdefg"[:k]) for _ in range(r.randrange(1, 7)))
+    samples = {"x": [" ".join(word(6) for _ in range(60))], "y": [" ".join(word(7) for _ in range(90))], "z": ["abababababab" * 9]}
+    parser = language.CrossParser(samples)
+    texts = [" ".join(word(7) for _ in range(n)) for n in (1, 200, 900, 30)] + ["ab" * 700, "\u4f60\u597d" * 300 + " a b"]
+    rows = [parser.alphabet.symbols(t)[0] for t in texts]
+    own = ["".join(map(chr, np.concatenate([np.append(parser.alphabet.symbols(s)[0], 0) for s in samples[k]]))) for k in parser.langs]
+    expected = [[brute_phrases("".join(map(chr, row)), o) for o in own] for row in rows]
+    assert parser.phrases(rows).tolist() == expected
+
+
+def test_many_scripts_fit_in_the_table():
+    r = random.Random(4)
+    samples = {f"l{k}": ["".join(chr(0x4E00 + r.randrange(6000)) for _ in range(8000))] for k in range(9)}
+    parser = language.CrossParser(samples)
+    assert parser.predict([samples["l3"][0][100:160]])[0][0] == "l3"
