@@ -114,9 +114,10 @@ def brute_repeats(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("merged", [repeats.MERGED, 8])
-def test_repeats(spark, monkeypatch, merged):
-    monkeypatch.setattr(repeats, "MERGED", merged)
+@pytest.mark.parametrize(("merged", "hot", "piece"), [(repeats.MERGED, repeats.HOT, repeats.PIECE), (8, repeats.HOT, 250), (8, 2, 250)])
+def test_repeats(spark, monkeypatch, merged, hot, piece):
+    for name, value in (("MERGED", merged), ("HOT", hot), ("PIECE", piece)):
+        monkeypatch.setattr(repeats, name, value)
     r = random.Random(6)
     base = ["".join(r.choice("abcé \n") for _ in range(r.randrange(0, 600))) for _ in range(10)]
     rows = [(i, "".join(r.choice(base)[r.randrange(0, 200) : r.randrange(100, 600)] for _ in range(r.randrange(0, 4)))) for i in range(80)]
@@ -135,6 +136,26 @@ def test_repeats_of_rows_that_share_an_id(spark):
     assert repeats.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_and_other_texts_are_cut_on_their_own(spark):
+    r = random.Random(8)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    piece, other = letters(150), letters(300)
+    rows = [(i, t) for i in (7, None) for t in (piece + letters(20) + piece, other + str(i))]
+    got = {(g["doc_id"], g["text"]): g["n_removed"] for g in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[None, rows[2][1]] == 150 and got[None, rows[3][1]] == 0  # an id of null comes first
+    assert got[7, rows[0][1]] == 300 and got[7, rows[1][1]] == 300
+
+
+def test_a_passage_in_very_many_contexts(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 1000)
+    r = random.Random(9)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    passage = letters(120)
+    rows = [(i, letters(60) + passage + letters(60)) for i in range(3000)]
+    got = {g["doc_id"]: g["n_removed"] for g in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == 0 and all(120 <= got[i] <= 140 for i in range(1, 3000))
+
+
 def repeats_of(text):
     return brute_repeats([(1, text)])[1][1]
 
