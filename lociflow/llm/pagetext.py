@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, read
 
-#: A subtree is template where more of its host's distinct pages hold it than both of these.
+#: A subtree is template where more of its host's distinct pages hold its texts than both of these.
 LEAST_PAGES, SHARE = 10, 0.05
-
-_RAW = "script|style|noscript|template|svg|iframe|textarea|title|math|object|canvas"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"([\w:-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: The same for its shape, of which the texts may differ; and the largest part of those pages' characters that a template's shape holds.
+SHAPE_SHARE, THIN = 0.5, 0.25
+
+#: What a browser reads as text up to the end tag and shows nowhere in the page's flow, or as a control.
+_RAW = frozenset("script style template textarea title iframe noembed noframes xmp".split())
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_GAP = re.compile(r"[\s/=]*")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold main text.
 _DROPPED = frozenset("head nav header footer aside button select menu dialog audio video fieldset".split())
@@ -45,13 +49,59 @@ _ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _ENDS.
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def _is_dropped(tag: str, attributes: str) -> bool:
+def tokens(page: str):
+    """(text,) and (tag, whether it ends, attributes, whether it closes itself) in order; each character is looked at once or twice."""
+    pos, size = 0, len(page)
+    while pos < size:
+        at = page.find("<", pos)
+        if at < 0:
+            yield (page[pos:],)
+            return
+        ends = page.startswith("</", at)
+        name = _NAME.match(page, at + 1 + ends)
+        if name is None and not page.startswith(("<!", "<?", "</"), at):
+            after = page.find("<", at + 1)
+            after = size if after < 0 else after
+            yield (page[pos:after],)
+            pos = after
+            continue
+        if at > pos:
+            yield (page[pos:at],)
+        if name is None:
+            close, width = ("-->", 3) if page.startswith("<!--", at) else (">", 1)
+            end = page.find(close, at + (4 if width == 3 else 2))
+            if end < 0:
+                return
+            pos = end + width
+            continue
+        tag, pos, attributes = name[0].lower(), name.end(), []
+        while True:
+            pos = _GAP.match(page, pos).end()
+            if pos >= size:
+                return  # a tag that never ends
+            if page[pos] == ">":
+                break
+            m = _ATTRIBUTE.match(page, pos)
+            attributes.append((m[1].lower(), m[2] or m[3] or m[4] or ""))
+            pos = m.end()
+        closed = page[pos - 1] == "/"
+        pos += 1
+        if tag in _RAW and not ends:
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, pos)
+            if end is None:
+                return
+            pos = end.start()
+            pos = page.find(">", pos) + 1 or size
+            continue
+        yield tag, ends, attributes, closed
+
+
+def _is_dropped(tag: str, attributes: list[tuple[str, str]]) -> bool:
     if tag in _DROPPED:
         return True
     if not attributes or tag in ("html", "body"):
         return False
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), a or b or c
+    for name, value in attributes:
         if name in ("class", "id"):
             if _NAMES.search(_FORM.sub("", value) if tag == "form" else value):
                 return True
@@ -63,123 +113,161 @@ def _is_dropped(tag: str, attributes: str) -> bool:
     return False
 
 
+def _shape(tag: str, attributes: list[tuple[str, str]]) -> str:
+    """An element's tag with its classes, id and role, but for digits."""
+    return tag + "".join(f" {n}={re.sub(r'[0-9]+', '', v)}" for n, v in attributes if n in ("class", "id", "role"))
+
+
 class _Open:
-    __slots__ = ("tag", "out", "heads", "first", "hash", "whole", "within", "form", "lifts")
+    __slots__ = ("tag", "out", "heads", "first", "kept", "hash", "shape", "last", "chars", "linked", "whole", "within", "form", "lifts", "named", "link")
+
+    def __init__(self, tag, shape, out, heads, first, kept, within, form, lifts, link):
+        self.tag, self.out, self.heads, self.first, self.kept, self.within, self.form, self.lifts, self.link = tag, out, heads, first, kept, within, form, lifts, link
+        self.hash, self.shape, self.last, self.named = xxhash.xxh64(tag), xxhash.xxh64(shape), None, shape != tag or tag in _DROPPED
+        self.chars = self.linked = 0
+        self.whole = tag in _WHOLE or tag in _HEADINGS and not within
 
-    def __init__(self, tag, out, heads, first, within, form=False, lifts=False):
-        self.tag, self.out, self.heads, self.first, self.within, self.form, self.lifts = tag, out, heads, first, within, form, lifts
-        self.hash, self.whole = xxhash.xxh64(tag), tag in _WHOLE or tag in _HEADINGS and not within
 
+def _signed(digest: int) -> int:
+    return digest - (1 << 64) if digest >> 63 else digest
 
-def candidates_of(page: str) -> list[tuple[str, list[int], int]]:
-    """(text, hashes of the subtrees around it, place) of each block outside menus, notices and the like.
 
-    The place is 2 inside an article element, 1 inside main alone, else 0. A
-    subtree's hash covers its tags and texts. Subtrees that hold the article are
-    not listed.
+def candidates_of(page: str) -> tuple[list[tuple[str, int, bool]], list[tuple[int, int, int, int, bool]]]:
+    """The blocks of a page and the subtrees that a site may repeat.
+
+    A block is (text, place, whether the rules drop it): the place is 2 inside an
+    article element, 1 inside main alone, else 0. A subtree is (hash, its first
+    block, the one after its last, its characters, whether the hash is of its
+    shape): a hash of texts covers tags and texts, one of shape tags, classes,
+    ids and roles, with neighbours of one shape as one. Shapes are listed of
+    subtrees outside article and main that have a name or are mostly links, and
+    inside them of those that are mostly links. Subtrees that hold the article
+    are not listed.
     """
-    stack: list[_Open] = [_Open("", False, False, 0, 0)]
-    blocks: list[tuple[str, list[int], int]] = []
+    stack: list[_Open] = [_Open("", "", False, False, 0, 0, 0, False, False, False)]
+    blocks: list[tuple[str, int, bool]] = []
+    trees: list[tuple[int, int, int, int, bool]] = []
+    opened: dict[str, int] = {}
     text: list[str] = []
-
-    def flush():
-        if text:
-            joined = " ".join("".join(text).split())
-            text.clear()
+    aside: list[str] = []
+    kept = 0
+
+    def flush(dropped: bool):
+        nonlocal kept
+        some = aside if dropped else text
+        if some:
+            joined = " ".join("".join(some).split())
+            some.clear()
             if joined:
-                stack[-1].hash.update(joined.encode("utf-8", "surrogatepass"))
-                blocks.append((joined, [], stack[-1].within))
+                at = stack[-1]
+                at.hash.update(joined.encode("utf-8", "surrogatepass"))
+                at.chars += len(joined)
+                blocks.append((joined, at.within, dropped))
+                kept += not dropped
 
     def close():
         at = stack[-1]
-        if at.tag in _BLOCK:
-            flush()
+        if at.out:
+            if at.tag in _BLOCK or not stack[-2].out:
+                flush(True)
+        elif at.tag in _BLOCK:
+            flush(False)
         stack.pop()
+        opened[at.tag] -= 1
         over = stack[-1]
-        if at.out and len(blocks) == at.first:
-            return
-        # what is dropped but for an article or headings inside counts for those around it
-        digest = at.hash.intdigest()
-        over.hash.update(digest.to_bytes(8, "little"))
+        over.chars += at.chars
+        over.linked += at.linked
+        shape = at.shape.intdigest()
+        if shape != over.last:
+            over.last = shape
+            over.shape.update(shape.to_bytes(8, "little"))
         if at.whole:
             over.whole = True
-        elif not at.out and not (at.within and at.tag in _RUNNING):
-            signed = digest - (1 << 64) if digest >> 63 else digest
-            for b in blocks[at.first :]:
-                b[1].append(signed)
-
-    pos = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > pos and not stack[-1].out:
-            text.append(entities.unescape(page[pos : m.start()]))
-        pos = m.end()
-        tag = m[3]
-        if tag is None:
+        digest = at.hash.intdigest()
+        if not at.out or kept > at.kept:
+            # what is dropped but for an article or headings inside counts for those around it
+            over.hash.update(digest.to_bytes(8, "little"))
+        if at.whole or at.first == len(blocks) or at.within and at.tag in _RUNNING and not at.out:
+            return
+        links = 2 * at.linked > at.chars
+        trees.append((_signed(digest), at.first, len(blocks), at.chars, False))
+        if links or at.named and not at.within and at.tag not in _RUNNING:
+            trees.append((_signed(shape ^ links), at.first, len(blocks), at.chars, True))
+
+    def close_to(i: int):
+        while len(stack) > i:
+            close()
+
+    for token in tokens(page):
+        if len(token) == 1:
+            (aside if stack[-1].out else text).append(entities.unescape(token[0]))
+            if stack[-1].link:
+                stack[-1].linked += len(token[0].strip())
             continue
-        tag = tag.lower()
-        if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    while len(stack) > i:
-                        close()
-                    break
+        tag, ends, attributes, closed = token
+        if ends:
+            if opened.get(tag):
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                close_to(i)
             continue
         if tag in _VOID:
-            if not stack[-1].out:
-                text.append(" ")
-                if tag == "hr":
-                    flush()
+            (aside if stack[-1].out else text).append(" ")
+            if tag == "hr":
+                flush(stack[-1].out)
             continue
         if tag in _BLOCK:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    while len(stack) > i:
-                        close()
-                if len(stack) <= i or stack[i].tag in _BLOCK:
-                    break
-            if tag in _ENDS:
-                own, bound = _ENDS[tag]
+            if opened.get("p"):
                 for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in own:
-                        while len(stack) > i:
-                            close()
-                        break
-                    if stack[i].tag in bound:
+                    if stack[i].tag == "p":
+                        close_to(i)
+                    if len(stack) <= i or stack[i].tag in _BLOCK:
                         break
-            if not stack[-1].out:
-                flush()
+            if tag in _ENDS:
+                own, bound = _ENDS[tag]
+                if any(opened.get(t) for t in own):
+                    for i in range(len(stack) - 1, 0, -1):
+                        if stack[i].tag in own:
+                            close_to(i)
+                            break
+                        if stack[i].tag in bound:
+                            break
+            flush(stack[-1].out)
         over = stack[-1]
         within = 2 if tag == "article" else max(over.within, int(tag == "main"))
         heads, form = over.heads, over.form or tag == "form"
         if over.out:
             # an article anywhere in a form that goes by its name, and headings of an article's own header, are no boilerplate
-            lifts = over.lifts and not _is_dropped(tag, m[4])
+            lifts = over.lifts and not _is_dropped(tag, attributes)
             out = not (lifts and tag in ("article", "main") or heads and tag in _HEADINGS)
-            if not out and tag in ("article", "main"):
-                heads = False
+            if not out:
+                flush(True)
+                if tag in ("article", "main"):
+                    heads = False
         else:
-            out = form and tag in _CONTROLS or _is_dropped(tag, m[4])
+            out = form and tag in _CONTROLS or _is_dropped(tag, attributes)
             heads, lifts = out and tag == "header" and within > 0, out and tag == "form"
-        stack.append(_Open(tag, out, heads, len(blocks), within, form, lifts))
-        if m[4].endswith("/") and tag not in _BLOCK:
+        stack.append(_Open(tag, _shape(tag, attributes), out, heads, len(blocks), kept, within, form, lifts, over.link or tag == "a"))
+        opened[tag] = opened.get(tag, 0) + 1
+        if closed and tag not in _BLOCK:
             close()
-    if pos < len(page) and not stack[-1].out:
-        text.append(entities.unescape(page[pos:]))
-    while len(stack) > 1:
-        close()
-    flush()
-    return blocks
-
-
-def blocks_of(page: str) -> list[tuple[str, list[int]]]:
-    """(text, hashes) of the main text of one page that has no host: extract() chooses like this after it deletes templates."""
-    blocks = candidates_of(page)
-    size = [sum(len(b[0]) for b in blocks if b[2] >= least) for least in (0, 1, 2)]
+    close_to(1)
+    flush(False)
+    return blocks, trees
+
+
+def chosen(blocks: list[tuple[str, int, bool]]) -> list[str]:
+    """The main text among the blocks that are no template: without those that the rules drop, and of the article if it holds most of the rest."""
+    left = [b for b in blocks if not b[2]]
+    size = [sum(len(b[0]) for b in left if b[1] >= least) for least in (0, 1, 2)]
     least = next((k for k in (2, 1) if 2 * size[k] > size[0]), 0)
-    return [(b[0], b[1]) for b in blocks if b[2] >= least]
+    return [b[0] for b in left if b[1] >= least]
 
 
-_BLOCKS = "key long, page_id long, url string, host string, page long, texts array<string>, trees array<array<long>>, places array<int>"
+_TREES = "array<struct<tree:long,first:int,end:int,chars:int,shape:boolean>>"
+_BLOCKS = f"key long, page_id long, url string, host string, page long, texts array<string>, places array<int>, dropped array<boolean>, trees {_TREES}"
+_TREE = pa.list_(pa.struct([("tree", pa.int64()), ("first", pa.int32()), ("end", pa.int32()), ("chars", pa.int32()), ("shape", pa.bool_())]))
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -193,53 +281,67 @@ def parsed(pages: DataFrame) -> DataFrame:
     )
 
     def run(batches):
-        for batch in batches:
-            found = [candidates_of(h) for h in batch.column("html").to_pylist()]
-            kinds = [pa.string(), pa.list_(pa.int64()), pa.int32()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:5], *(pa.array([[b[i] for b in f] for f in found], pa.list_(kind)) for i, kind in enumerate(kinds))],
-                names=["key", "page_id", "url", "host", "page", "texts", "trees", "places"],
-            )
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                batch = whole.slice(at, 256)
+                found = [candidates_of(h) for h in batch.column("html").to_pylist()]
+                kinds = [pa.string(), pa.int32(), pa.bool_()]
+                trees = [[dict(zip(("tree", "first", "end", "chars", "shape"), t, strict=True)) for t in f[1]] for f in found]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:5], *(pa.array([[b[i] for b in f[0]] for f in found], pa.list_(kind)) for i, kind in enumerate(kinds)), pa.array(trees, _TREE)],
+                    names=["key", "page_id", "url", "host", "page", "texts", "places", "dropped", "trees"],
+                )
 
     return rows.mapInArrow(run, _BLOCKS)
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE, shape_share: float = SHAPE_SHARE, thin: float = THIN) -> DataFrame:
     """The main text of every row.
 
-    Menus, headers, footers, sidebars, notices, adverts, controls of forms,
-    comments, scripts and styles go by what their elements are or are named;
-    then every subtree that more than least_pages and more than `share` of its
-    host's distinct pages hold is deleted. Of what is left the text is that of
-    article elements if they hold more than half of its characters, else that
-    of main and article if these do, else all. Copies of a page count once, and neither an
+    First what a site repeats goes: every subtree whose texts more than
+    least_pages and more than `share` of its host's distinct pages hold, and
+    every subtree outside the running text whose shape more than least_pages and
+    more than shape_share of them hold and that has at most `thin` of these
+    pages' characters, so that what a site shows on most pages goes even if it
+    says something else on each. Copies of a page count once, and neither an
     article (or main, or body) itself nor a paragraph inside one is a template,
-    as many pages may quote it. A null html is empty and gives an empty text; a
-    null url belongs to one host of its own; repeated rows give the same text
-    each; an empty table gives no rows; other columns are ignored.
+    as many pages may quote it.
+
+    Then rules go over what is left, which is all of it on hosts of few pages:
+    menus, headers, footers, sidebars, notices, adverts, controls of forms and
+    comments go by what their elements are or are named. Of the rest the text
+    is that of article elements if they hold more than half of its characters,
+    else that of main and article if these do, else all.
+
+    A null html is empty and gives an empty text; a null url belongs to one host
+    of its own; repeated rows give the same text each; an empty table gives no
+    rows; other columns are ignored.
 
     Subtrees are counted by (host, subtree, page) and then by (host, subtree),
     so a large host's pages meet in one task only as counts.
 
-    Returns page_id, url, text, n_chars, n_blocks, n_template (deleted blocks).
+    Returns page_id, url, text, n_chars, n_blocks, n_template (blocks that the
+    counts deleted).
     """
     disk = Scratch(pages.sparkSession, "pagetext")
     blocks = disk.write(parsed(pages), "blocks")
-    around = blocks.where(F.size("trees") > 0).select("key", "host", "page", F.explode(F.array_distinct(F.flatten("trees"))).alias("tree"))
-    often = around.groupBy("host", "tree", "page").agg(F.lit(1).alias("one")).groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") > least_pages)
+    size = F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.length(t))
+    around = blocks.where(F.size("trees") > 0).select("key", "host", "page", size.alias("size"), F.explode("trees").alias("t")).select("key", "host", "page", "size", "t.*")
+    held = around.groupBy("host", "tree", "shape", "page").agg(F.sum("chars").alias("chars"), F.max("size").alias("size"))
+    often = held.groupBy("host", "tree", "shape").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("size").alias("size")).where(F.col("n") > least_pages)
     hosts = blocks.groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages"))
-    templates = often.join(hosts, "host").where(F.col("n") > F.col("pages") * share).select("host", "tree")
-    gone = disk.write(around.join(templates, ["host", "tree"]).groupBy("key").agg(F.collect_set("tree").alias("gone")), "gone")
-    left = F.filter(F.arrays_zip("texts", "trees", "places"), lambda b: ~F.coalesce(F.arrays_overlap(b["trees"], F.col("gone")), F.lit(False)))
-    own = F.transform(left, lambda b: F.struct(b["texts"].alias("text"), b["places"].alias("place")))
-    joined = blocks.join(gone, "key", "left").select("page_id", "url", F.size("texts").alias("n"), own.alias("left"))
+    repeated = F.when(F.col("shape"), (F.col("n") > F.col("pages") * shape_share) & (F.col("chars") <= thin * F.col("size"))).otherwise(F.col("n") > F.col("pages") * share)
+    templates = often.join(hosts, "host").where(repeated).select("host", "tree", "shape")
+    gone = disk.write(around.join(templates, ["host", "tree", "shape"]).groupBy("key").agg(F.collect_set(F.struct("first", "end")).alias("gone")), "gone")
+    each = F.transform(F.arrays_zip("texts", "places", "dropped"), lambda b, i: F.struct(b["texts"].alias("text"), b["places"].alias("place"), b["dropped"].alias("dropped"), i.alias("i")))
+    stays = lambda b: ~F.coalesce(F.exists("gone", lambda g: (g["first"] <= b["i"]) & (b["i"] < g["end"])), F.lit(False))
+    joined = blocks.join(gone, "key", "left").select("page_id", "url", F.size("texts").alias("n"), F.filter(each, stays).alias("left"))
+    told = joined.select("page_id", "url", (F.col("n") - F.size("left")).alias("n_template"), F.filter("left", lambda b: ~b["dropped"]).alias("left"))
     size = lambda least: F.aggregate("left", F.lit(0).cast("long"), lambda n, b: n + F.when(b["place"] >= least, F.length(b["text"])).otherwise(0))
-    sized = joined.withColumn("least", F.when(2 * size(2) > size(0), 2).when(2 * size(1) > size(0), 1).otherwise(0))
-    chosen = F.transform(F.filter("left", lambda b: b["place"] >= F.col("least")), lambda b: b["text"])
+    sized = told.withColumn("least", F.when(2 * size(2) > size(0), 2).when(2 * size(1) > size(0), 1).otherwise(0))
+    main = F.transform(F.filter("left", lambda b: b["place"] >= F.col("least")), lambda b: b["text"])
     text = F.array_join("kept", "\n")
-    return sized.select("page_id", "url", (F.col("n") - F.size("left")).alias("n_template"), chosen.alias("kept")).select(
-        "page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.size("kept").alias("n_blocks"), "n_template"
-    )
+    return sized.select("page_id", "url", "n_template", main.alias("kept")).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.size("kept").alias("n_blocks"), "n_template")
 
 
 def op5_pagetext(spark, sf_dir):

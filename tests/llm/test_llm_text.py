@@ -1,6 +1,9 @@
+import collections
 import hashlib
 import os
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -183,10 +186,14 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1
 <section class="comments"><p>First!</p></section></article><footer>(c)</footer></body></html>"""
 
 
+def main_text(page):
+    return pagetext.chosen(pagetext.candidates_of(page)[0])
+
+
 def test_main_text():
-    assert [t for t, _ in pagetext.blocks_of(PAGE)] == ["Head&line", "One two three", "Four <x> five", "a", "b"]
-    assert [t for t, _ in pagetext.blocks_of("a < b <p>c")] == ["a < b", "c"]
-    assert pagetext.blocks_of("") == [] and pagetext.blocks_of("<nav>x") == []
+    assert main_text(PAGE) == ["Head&line", "One two three", "Four <x> five", "a", "b"]
+    assert main_text("a < b <p>c") == ["a < b", "c"]
+    assert main_text("") == [] and main_text("<nav>x") == []
 
 
 def test_templates_of_a_site_go(spark):
@@ -300,3 +307,59 @@ def test_many_scripts_fit_in_the_table():
     samples = {f"l{k}": ["".join(chr(0x4E00 + r.randrange(6000)) for _ in range(8000))] for k in range(9)}
     parser = language.CrossParser(samples)
     assert parser.predict([samples["l3"][0][100:160]])[0][0] == "l3"
+
+
+@pytest.mark.parametrize("page", ["<a " * 400_000, "<div>" * 100_000 + "x", "<b>" * 50_000 + "<p>x</p>" * 50_000, "<div>" * 50_000 + "</span>" * 50_000, "<p title='" * 100_000, "<script>" * 100_000, "<" * 400_000, "<li>" * 100_000, "<!--" * 200_000, "&amp" * 200_000])
+def test_odd_pages_take_linear_time(page):
+    began = time.perf_counter()
+    pagetext.candidates_of(page)
+    assert time.perf_counter() - began < 8
+
+
+def site(r, n):
+    """Pages of nested divs: their parts as (text, subtrees around it), and the html."""
+    pieces = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(12)]
+
+    def div(depth):
+        inside = [div(depth - 1) if depth and r.random() < 0.5 else r.choice(pieces) for _ in range(r.randrange(1, 4))]
+        return "<div>" + "<hr>".join(inside) + "</div>"
+
+    return ["".join(div(2) for _ in range(3)) for _ in range(n)]
+
+
+def subtrees(page):
+    """(text, [the html of each div around it]) of each text, by matching tags one by one."""
+    out, stack = [], []
+    for m in re.finditer(r"<div>|</div>|<hr>|[a-h]+", page):
+        if m[0] == "<div>":
+            stack.append((m.start(), []))
+        elif m[0] == "</div>":
+            start, held = stack.pop()
+            for i in held:
+                out[i][1].append(page[start : m.end()])
+            if stack:
+                stack[-1][1].extend(held)
+        elif m[0] != "<hr>":
+            stack[-1][1].append(len(out))
+            out.append((m[0], []))
+    return out
+
+
+def test_templates_are_those_that_a_plain_count_finds(spark):
+    pages = site(random.Random(12), 60)
+    counts = collections.Counter(t for page in set(pages) for t in {t for _, trees in subtrees(page) for t in trees})
+    often = {t for t, n in counts.items() if n > 3 and n > 0.1 * len(set(pages))}
+    expected = {i: "\n".join(text for text, trees in subtrees(p) if not often & set(trees)) for i, p in enumerate(pages)}
+    df = spark.createDataFrame([(i, f"http://a.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {g["page_id"]: g["text"] for g in pagetext.extract(df, least_pages=3, share=0.1).collect()}
+    assert got == expected and often
+
+
+def test_shapes_of_a_site_go_whatever_they_say(spark):
+    r = random.Random(13)
+    say = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    page = lambda: f"<body><div class='x1'><ul>{''.join(f'<li><a href=#>{say(1)}</a></li>' for _ in range(r.randrange(3, 7)))}</ul></div><article><h1>{say(4)}</h1><p class=lead>{say(30)}</p><p>{say(60)}</p></article><div class='y{r.randrange(9)}'>{say(5)}</div></body>"
+    pages = [page() for _ in range(30)]
+    df = spark.createDataFrame([(i, f"http://a.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = pagetext.extract(df).collect()
+    assert all(g["n_blocks"] == 3 and g["n_template"] >= 4 for g in got)
