@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -16,6 +18,8 @@ WORDS, THRESHOLD = 5, 0.8
 TREES, LEVELS, RECALL = 32, 8, 0.999
 #: Texts of a candidate component that one task compares.
 BLOCK = 512
+#: Candidate pairs on which the recall is measured, about.
+MEASURED = 200_000
 #: Stands for a null doc_id, after all others.
 _NO_ID = (1 << 63) - 1
 #: Bytes of text that are hashed at a time.
@@ -79,10 +83,14 @@ def shingles(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def text_keys(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A hash of each text's words in order; texts must have words."""
+    """A hash of each text's words in order; texts must have words.
+
+    Every word is mixed with its place before the sum, so that texts of the same
+    words in another order don't cancel out as they may in a polynomial.
+    """
     first = np.cumsum(counts) - counts
-    local = np.arange(len(words)) - np.repeat(first, counts)
-    sums = np.add.reduceat(words * _power(_BASE, int(counts.max(initial=1)))[local], first)
+    local = (np.arange(len(words)) - np.repeat(first, counts)).astype(np.uint64)
+    sums = np.add.reduceat(_mixed(words ^ _mixed(local * _BASE + np.uint64(1))), first)
     return _mixed(sums + counts.astype(np.uint64)).view(np.int64)
 
 
@@ -99,12 +107,14 @@ def paths(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return low.astype(">u2").T.reshape(len(counts), TREES, LEVELS)
 
 
+def chance(similarity, level: int, trees: int = TREES):
+    """That two texts share a prefix of `level` in some trie."""
+    return 1 - (1 - similarity**level) ** trees
+
+
 def stop_level(trees: int = TREES, levels: int = LEVELS, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """Prefixes are shortened from all levels until a pair at the threshold shares one in some trie with this chance."""
-    level = levels
-    while level > 1 and 1 - (1 - threshold**level) ** trees < recall:
-        level -= 1
-    return level
+    """The level at which prefixes need not be shortened further, as even pairs at the threshold are found with this chance."""
+    return next((d for d in range(levels, 1, -1) if chance(threshold, d, trees) >= recall), 1)
 
 
 def chunked(texts: list[str]):
@@ -123,7 +133,7 @@ def _bodies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def forest(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, key (null without words) and the path through each trie."""
+    """doc_id, key (null without words) and the path through all tries, one after another."""
 
     def run(batches):
         for batch in batches:
@@ -135,10 +145,50 @@ def forest(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 if len(has):
                     hashes, n = shingles(words, counts[has])
                     for i, key, way in zip(has, text_keys(words, counts[has]).tolist(), paths(hashes, n), strict=True):
-                        keys[i], ways[i] = key, [p.tobytes() for p in way]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(some)), pa.array(keys, pa.int64()), pa.array(ways, pa.list_(pa.binary()))], names=["doc_id", "key", "ways"])
+                        keys[i], ways[i] = key, way.tobytes()
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(some)), pa.array(keys, pa.int64()), pa.array(ways, pa.binary())], names=["doc_id", "key", "way"])
+
+    return _bodies(docs, doc_id, text).mapInArrow(run, "doc_id long, key long, way binary")
+
+
+def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The part of their MinHashes that two paths share, which estimates the similarity of the texts."""
+    x, y = (np.frombuffer(b"".join(p), ">u2").reshape(len(p), TREES * LEVELS) for p in (a, b))
+    return pd.Series((x == y).mean(axis=1))
 
-    return _bodies(docs, doc_id, text).mapInArrow(run, "doc_id long, key long, ways array<binary>")
+
+def measured_recall(pairs: DataFrame, ways: DataFrame, level: int, threshold: float) -> float:
+    """The part of the pairs at or above the threshold that is found at a level, by the pairs that are: one of chance p stands for 1/p of its kind."""
+    few = max(1, pairs.count() // MEASURED)
+    some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(few)) == 0)
+    sides = [ways.select(F.col("key").alias(c), F.col("way").alias("w" + c)) for c in ("a", "b")]
+    alike = some.join(sides[0], "a").join(sides[1], "b").select(F.pandas_udf(agreement, "double")("wa", "wb").alias("s")).where(F.col("s") >= threshold)
+    found, all_ = alike.agg(F.count("*"), F.sum(1 / (1 - F.pow(1 - F.pow("s", F.lit(level)), F.lit(TREES))))).first()
+    return found / all_ if found else 1.0
+
+
+def candidates(walked: DataFrame, threshold: float, recall: float, disk: Scratch) -> DataFrame:
+    """Pairs (a, b) of texts that share a node of some trie, each text with the smallest of its node.
+
+    Prefixes start at full depth, where nodes are smallest, and are shortened
+    level by level until the recall that is measured on the pairs so found, or
+    that of pairs at the threshold itself, is as wanted.
+    """
+    ways = disk.write(walked.where("key IS NOT NULL").groupBy("key").agg(F.first("way").alias("way")), "ways")
+    least = stop_level(threshold=threshold, recall=recall)
+    for level in range(LEVELS, 0, -1):
+        node = F.xxhash64("tree", F.expr(f"substring(way, 1 + {2 * LEVELS} * tree, {2 * level})"))
+        stops = ways.select("key", "way", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("key", node.alias("stop"))
+        shared = stops.groupBy("stop").agg(F.min("key").alias("first"), F.max("key").alias("other")).where("first <> other").select("stop", "first")
+        pairs = disk.write(stops.join(shared, "stop").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b")).distinct(), f"pairs{level}")
+        if level <= least:
+            return pairs
+        reached = measured_recall(pairs, ways, level, threshold)
+        logging.getLogger(__name__).info("prefixes of %d: recall %.5f", level, reached)
+        if reached >= recall:
+            return pairs
+        disk.drop(f"pairs{level}")
+    return pairs
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -175,11 +225,7 @@ def _verify(threshold: float):
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         """Compares the texts of a block, or of two blocks with each other."""
         pdf = pdf.drop_duplicates("key", ignore_index=True)
-        sets = []
-        for at, some in chunked(pdf["text"].tolist()):
-            words, counts = word_hashes(some)
-            hashes, n = shingles(words, counts)
-            sets += [np.unique(h) for h in np.split(hashes, np.cumsum(n)[:-1])]
+        sets = [np.frombuffer(b, np.uint64) for b in pdf["shingles"]]
         sizes = np.array([len(s) for s in sets], np.float64)
         same = overlaps(sets).astype(np.float64)
         union = sizes[:, None] + sizes[None, :] - same
@@ -207,9 +253,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     shingles is at least threshold; classes are what links connect. Rows of the
     same words are one text, so copies are never paired. Each text walks through
     TREES tries by its MinHashes; texts that share a prefix are candidates, and
-    prefixes are shortened until a pair at the threshold is found with the
-    chance `recall` (more alike ones nearly surely). Every candidate component
-    is then compared whole and exactly, in blocks of BLOCK texts if it is larger.
+    prefixes are shortened until the measured `recall` is reached (candidates()).
+    Every candidate component is then compared whole and exactly by the texts'
+    shingles, in blocks of BLOCK texts if it is larger.
 
     A text without words (null, empty, symbols) is alone in its class. A null
     doc_id comes after all others. Repeated rows are copies. An empty table gives no rows; other columns are ignored.
@@ -220,19 +266,19 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     spark = docs.sparkSession
     disk = Scratch(spark, "neardup")
     walked = disk.write(forest(docs, doc_id, text), "forest")
-    level = stop_level(threshold=threshold, recall=recall)
-    stops = walked.where("key IS NOT NULL").select("key", F.posexplode("ways").alias("tree", "way")).select("key", F.xxhash64("tree", F.expr(f"substring(way, 1, {2 * level})")).alias("stop"))
-    shared = stops.groupBy("stop").agg(F.min("key").alias("first"), F.max("key").alias("other")).where("first <> other").select("stop", "first")
-    pairs = disk.write(stops.join(shared, "stop").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
+    pairs = candidates(walked, threshold, recall, disk)
     texts = disk.write(walked.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")), "texts")
     ids = disk.write(walked.select("doc_id", "key"), "ids")
     disk.drop("forest")
 
     near = components(pairs, disk, "near")
     sizes = near.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = near.join(sizes, "root").join(texts.select("key", "doc_id"), near["node"] == texts["key"]).select("key", "doc_id", "root", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
-    held = members.join(_bodies(docs, doc_id, text), "doc_id").select("root", "blocks", "key", "text", F.col("block").alias("side"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("met"))
-    met = _of_key(held.select("root", "blocks", "key", "text", "side", F.least("side", "met").alias("left"), F.greatest("side", "met").alias("right")))
+    members = near.join(sizes, "root").select(F.col("node").alias("key"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    # one row of each member's text is known by its doc_id; others that share the doc_id fall out by their key
+    known = texts.join(near, texts["key"] == near["node"], "left_semi").select("doc_id").distinct()
+    sets = _shingled(_bodies(docs, doc_id, text).join(known, "doc_id", "left_semi")).groupBy("key").agg(F.first("shingles").alias("shingles"))
+    held = members.join(sets, "key").select("root", "blocks", "key", "shingles", F.col("block").alias("side"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("met"))
+    met = held.select("root", "blocks", "key", "shingles", "side", F.least("side", "met").alias("left"), F.greatest("side", "met").alias("right"))
     verified = disk.write(met.groupBy("root", "left", "right").applyInPandas(_verify(threshold), _VERIFIED), "verified")
 
     links = verified.groupBy("key").agg(F.sum("links").alias("n_links"))
@@ -246,20 +292,20 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     return ids.join(told, "key", "left").select(shown(F.col("doc_id")).alias("doc_id"), shown(F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
 
 
-def _of_key(held: DataFrame) -> DataFrame:
-    """Only rows whose text is that of their key; a doc_id may stand for several texts."""
+def _shingled(bodies: DataFrame) -> DataFrame:
+    """(key, shingles) of texts with words: the hashes of their different shingles, sorted, 64 bits each."""
 
-    @F.pandas_udf("long")
-    def key_of(texts: pd.Series) -> pd.Series:
-        out = np.zeros(len(texts), np.int64)
-        for at, some in chunked(texts.fillna("").tolist()):
-            words, counts = word_hashes(some)
-            has = np.flatnonzero(counts)
-            if len(has):
-                out[at + has] = text_keys(words, counts[has])
-        return pd.Series(out)
+    def run(batches):
+        for batch in batches:
+            for _, some in chunked([t or "" for t in batch.column(1).to_pylist()]):
+                words, counts = word_hashes(some)
+                counts = counts[counts > 0]
+                if len(counts):
+                    hashes, n = shingles(words, counts)
+                    sets = [np.unique(h).tobytes() for h in np.split(hashes, np.cumsum(n)[:-1])]
+                    yield pa.RecordBatch.from_arrays([pa.array(text_keys(words, counts)), pa.array(sets, pa.binary())], names=["key", "shingles"])
 
-    return held.where(key_of("text") == F.col("key"))
+    return bodies.mapInArrow(run, "key long, shingles binary")
 
 
 def op4_neardup(spark, sf_dir):

@@ -86,10 +86,43 @@ def test_repeated_rows_are_copies(spark):
     assert got == [("5", 5, 3), ("5", 5, 3), ("9", 5, 3), ("None", 5, 1)]
 
 
-def test_prefixes_are_shortened_until_the_recall():
+def test_prefixes_are_shortened_until_the_recall(spark, monkeypatch):
     level = neardup.stop_level()
-    chance = lambda d: 1 - (1 - neardup.THRESHOLD**d) ** neardup.TREES
-    assert chance(level) >= neardup.RECALL > chance(level + 1)
+    assert neardup.chance(neardup.THRESHOLD, level) >= neardup.RECALL > neardup.chance(neardup.THRESHOLD, level + 1)
+    seen = []
+    monkeypatch.setattr(neardup, "measured_recall", lambda pairs, ways, at, threshold: seen.append(at) or (0.9 if at > 6 else 1.0))
+    monkeypatch.setattr(neardup, "stop_level", lambda threshold, recall: 3)
+    df = spark.createDataFrame(near_rows(), "doc_id long, text string")
+    neardup.join(df)
+    assert seen == [8, 7, 6]
+
+
+def test_the_measured_recall_is_that_of_all_pairs(spark):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for i in range(60):
+        words = [word() for _ in range(400)]
+        other = list(words)
+        for at in r.sample(range(400), 8 + i % 9):
+            other[at] = word()
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {g["doc_id"]: (g["class_id"], g["n_links"]) for g in neardup.join(df).collect()}
+    assert got == brute_classes(rows)
+    disk = neardup.Scratch(spark, "recall")
+    walked = disk.write(neardup.forest(df, "doc_id", "text"), "forest")
+    pairs = neardup.candidates(walked, 0.8, 0.5, disk)  # full depth
+    assert 0.97 < neardup.measured_recall(pairs, walked.select("key", "way"), neardup.LEVELS, 0.8) <= 1
+
+
+def test_texts_of_the_same_words_in_another_order_have_other_keys():
+    a, b = ["x"], ["y"]
+    for _ in range(11):
+        a, b = a + b, b + a  # words of which a polynomial's hashes are equal
+    end = ["the", "same", "end"]
+    keys = neardup.text_keys(*neardup.word_hashes([" ".join(a + end), " ".join(b + end), " ".join(a + end)]))
+    assert keys[0] != keys[1] and keys[0] == keys[2]
 
 
 def test_overlaps_count_shared_shingles():
