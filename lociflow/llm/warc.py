@@ -32,23 +32,33 @@ def _storage(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def _named(page_id) -> str:
-    return "none" if page_id is None else str(page_id)
+def _packed(head: list[str], block: bytes) -> bytes:
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
+
+
+def _block_digest(block: bytes) -> str:
+    return f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}"
+
 
+def file_info(name: str, date: str) -> bytes:
+    """The record that begins a file, as a gzip member."""
+    block = b"format: WARC File Format 1.1\r\n"
+    return _packed(["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:file:{name}>", f"WARC-Filename: {name}", f"WARC-Date: {date}", _block_digest(block), "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"], block)
 
-def record(page_id, url, payload: bytes, refers_to, date: str) -> bytes:
-    """One record as a gzip member. A revisit (refers_to given) holds the HTTP header but not the payload."""
+
+def record(page_id, url, payload: bytes, refers_to, date: str, mark: str = "") -> bytes:
+    """One record as a gzip member. A revisit (refers_to given) holds the HTTP header but not the payload. mark tells records of one page_id apart."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{_named(page_id)}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'none' if page_id is None else page_id}{mark}>", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + "".join(c if c > " " and c != "\x7f" else "%%%02X" % ord(c) for c in url))
     if refers_to is not None:
         head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {_PROFILE}"]
-    head += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
+    head += [f"WARC-Payload-Digest: sha1:{digest}", _block_digest(block), "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return _packed(head, block)
 
 
 def members(stream, size: int = 1 << 20):
@@ -67,12 +77,14 @@ def members(stream, size: int = 1 << 20):
         yield b"".join(out)
 
 
-def parse(member: bytes) -> tuple:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of a record; its digests must hold."""
+def parse(member: bytes) -> tuple | None:
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of a record, None of a file's own; its digests must hold."""
     head, _, rest = member.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     fields = dict(x.split(": ", 1) for x in lines[1:])
     block = rest[: int(fields["Content-Length"])]
+    if fields["WARC-Type"] == "warcinfo":
+        return None
     sha = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:"))
     http, _, payload = block.partition(b"\r\n\r\n")
     told = dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])
@@ -82,7 +94,8 @@ def parse(member: bytes) -> tuple:
         raise ValueError("a record's block digest doesn't hold")
     if kind == "response" and (len(payload) != size or hashlib.sha1(payload).digest() != sha):
         raise ValueError("a record's payload digest doesn't hold")
-    page = lambda x: None if x is None or x == "<urn:page:none>" else int(x.removeprefix("<urn:page:").removesuffix(">"))
+    number = lambda x: x.removeprefix("<urn:page:").removesuffix(">").split(":")[0]
+    page = lambda x: None if x is None or number(x) == "none" else int(number(x))
     return page(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), size, sha.hex(), kind, page(fields.get("WARC-Refers-To"))
 
 
@@ -92,7 +105,7 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceWriter):
-    """Writes rows (shard, page_id, url, payload, refers_to) in the order in which they come.
+    """Writes rows (shard, page_id, url, payload, refers_to, mark) in the order in which they come.
 
     A task writes under temporary names of its own; the commit gives the files
     of the tasks that count their lasting names, then writes the manifest, then
@@ -112,6 +125,11 @@ class WarcWriter(DataSourceWriter):
             out.close()
             files.append(state | {"sha256": state.pop("hash").hexdigest()})
 
+        def put(done):
+            out.write(done)
+            state["hash"].update(done)
+            state["bytes"] += len(done)
+
         state: dict = {}
         for row in rows:
             if out is not None and (row["shard"] != shard or state["bytes"] >= self.file_bytes):
@@ -122,10 +140,8 @@ class WarcWriter(DataSourceWriter):
                 shard = row["shard"]
                 state = {"name": f"part-{shard:06d}-{seq:04d}.warc.gz", "temporary": f"{self.temporary}/{uuid.uuid4().hex}", "bytes": 0, "records": 0, "hash": hashlib.sha256()}
                 out = store.open_output_stream(f"{base}/{state['temporary']}", compression=None)
-            done = record(row["page_id"], row["url"], bytes(row["payload"]), row["refers_to"], self.date)
-            out.write(done)
-            state["hash"].update(done)
-            state["bytes"] += len(done)
+                put(file_info(state["name"], self.date))
+            put(record(row["page_id"], row["url"], bytes(row["payload"]), row["refers_to"], self.date, row["mark"]))
             state["records"] += 1
         if out is not None:
             close()
@@ -165,7 +181,8 @@ class WarcReader(DataSourceReader):
         store, base = _storage(self.path)
         with store.open_input_stream(f"{base}/{partition.value}", compression=None) as f:
             for member in members(f):
-                yield (*parse(member), partition.value)
+                if found := parse(member):
+                    yield (*found, partition.value)
 
 
 class WarcSource(DataSource):
@@ -228,37 +245,45 @@ def write_archive(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, f
     and url, files are rolled by compressed size, and headers and digests are
     made anew. A null html is an empty payload. Of equal payloads of at least
     revisit_bytes the rows of the largest page_id are responses and the others
-    revisits; rows that repeat a page_id share its record id. A null page_id
-    goes with the smallest. An empty table gives an empty manifest.
+    revisits; a record that repeats a page_id in its shard, or may do so in
+    another, has a mark behind it in its record id. Rows without a page_id come
+    first, in as many shards of their own as they fill; an id of which there are
+    more bytes than a shard's is spread likewise, by digest and url. An empty
+    table gives an empty manifest.
     """
     spark = pages.sparkSession
     spark.dataSource.register(WarcSource)
     disk = Scratch(spark, "warc")
     body = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", utf8(F.col("html")).alias("payload"), F.sha1(utf8(F.col("html"))).alias("digest"))
-    facts = disk.write(pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(body).cast("long").alias("bytes"), F.sha1(utf8(F.col("html"))).alias("digest")), "facts")
-    firsts, subs = cut_points(facts.select("page_id", (F.col("bytes") + 400).alias("bytes")).where(F.col("page_id").isNotNull()), shard_bytes)
-    base = np.concatenate([[0], np.cumsum(subs)[:-1]])
-
-    @F.pandas_udf("long")
-    def shard_of(page_id: pd.Series, spread: pd.Series) -> pd.Series:
+    spread = F.crc32(F.concat(F.sha1(utf8(F.col("html"))), F.coalesce(F.col("url"), F.lit("")).cast("binary")))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", utf8(F.col("html")).alias("payload"), F.sha1(utf8(F.col("html"))).alias("digest"), spread.alias("spread"))
+    facts = disk.write(pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(body).cast("long").alias("bytes"), F.sha1(utf8(F.col("html"))).alias("digest"), spread.alias("spread")), "facts")
+    counted = facts.select("page_id", (F.col("bytes") + 400).alias("bytes"))
+    firsts, subs = cut_points(counted.where(F.col("page_id").isNotNull()), shard_bytes)
+    unnamed = math.ceil((counted.where(F.col("page_id").isNull()).agg(F.sum("bytes")).first()[0] or 0) / shard_bytes)
+    base = unnamed + np.concatenate([[0], np.cumsum(subs)[:-1]])
+
+    @F.pandas_udf("shard long, alone boolean")
+    def shard_of(page_id: pd.Series, spread: pd.Series) -> pd.DataFrame:
+        null, spread = page_id.isna().to_numpy(), spread.to_numpy()
         at = np.maximum(np.searchsorted(firsts, page_id.fillna(firsts[0]).to_numpy().astype(np.int64), side="right") - 1, 0)
-        return pd.Series(base[at] + spread.to_numpy() % subs[at])
+        return pd.DataFrame({"shard": np.where(null, spread % max(unnamed, 1), base[at] + spread % subs[at]), "alone": ~null & (subs[at] == 1)})
 
-    spread, known = F.crc32(F.col("digest")), F.coalesce("page_id", F.lit(_NO_ID)).alias("page_id")
+    known, of = F.coalesce("page_id", F.lit(_NO_ID)).alias("page_id"), shard_of(F.col("page_id"), F.col("spread")).alias("of")
     keeper = facts.where(F.col("bytes") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    verdict = facts.select("page_id", "digest").distinct().join(keeper, "digest").where("page_id IS NULL OR page_id <> keeper").select(shard_of(F.col("page_id"), spread).alias("shard"), known, "digest", "keeper")
-    placed = rows.select(shard_of(F.col("page_id"), spread).alias("shard"), known, "url", "payload", "digest")
+    verdict = facts.select("page_id", "digest", "spread").distinct().join(keeper, "digest").where("page_id IS NULL OR page_id <> keeper").select(of, known, "digest", "keeper").select("of.shard", "page_id", "digest", "keeper")
+    placed = rows.select(of, known, "url", "payload", "digest").select("of.*", "page_id", "url", "payload", "digest")
 
     def order(page: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         refers = {(p, d): k for p, d, k in zip(told["page_id"].tolist(), told["digest"], told["keeper"].tolist(), strict=True)}
-        ids = page["page_id"].tolist()
-        to = [refers.get((p, d)) for p, d in zip(ids, page["digest"], strict=True)]
-        page = page.assign(refers_to=pd.array(to, "Int64")).sort_values(["page_id", "digest", "url"], na_position="first", kind="stable")
-        page["page_id"] = pd.array([None if p == _NO_ID else p for p in page["page_id"].tolist()], "Int64")
-        return page[["shard", "page_id", "url", "payload", "refers_to"]]
-
-    ready = placed.groupBy("shard").cogroup(verdict.groupBy("shard")).applyInPandas(order, "shard long, page_id long, url string, payload binary, refers_to long")
+        page = page.sort_values(["page_id", "digest", "url"], na_position="first", kind="stable", ignore_index=True)
+        ids, nth = page["page_id"].tolist(), page.groupby("page_id").cumcount().tolist()
+        page["refers_to"] = pd.array([refers.get((p, d)) for p, d in zip(ids, page["digest"], strict=True)], "Int64")
+        page["mark"] = ["" if alone and n == 0 else f":{shard}-{n}" for alone, n, shard in zip(page["alone"], nth, page["shard"], strict=True)]
+        page["page_id"] = pd.array([None if p == _NO_ID else p for p in ids], "Int64")
+        return page[["shard", "page_id", "url", "payload", "refers_to", "mark"]]
+
+    ready = placed.groupBy("shard").cogroup(verdict.groupBy("shard")).applyInPandas(order, "shard long, page_id long, url string, payload binary, refers_to long, mark string")
     ready.write.format("warc").mode("append").option("fileBytes", file_bytes).save(path)
     disk.drop("facts")
 

@@ -304,6 +304,22 @@ def test_archives_are_the_same_bytes_however_rows_are_dealt(spark):
     assert not any(f.startswith("_temporary") for f in files(one.path))
 
 
+def test_rows_without_an_id_are_spread_and_record_ids_are_unique(spark, tmp_path):
+    rows = [(None, f"http://x/{i}", f"page {i} " * 600) for i in range(400)] + [(5, "http://y", "z" * 3000)] * 3 + [(i, f"http://z/{i}", "short") for i in range(6, 20)]
+    path = f"file://{tmp_path}/a"
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path, shard_bytes=50_000)
+    got = warc.read_archive(spark, path)
+    assert max(r["count"] for r in got.groupBy("file").count().collect()) < 60 and got.count() == len(rows)
+    seen = []
+    for name in os.listdir(tmp_path / "a"):
+        if name.endswith(".gz"):
+            with open(tmp_path / "a" / name, "rb") as f:
+                found = [m.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] for m in warc.members(f)]
+            assert found[0].startswith(b"<urn:file:part-")
+            seen += found
+    assert len(set(seen)) == len(seen) and b"<urn:page:5>" in seen
+
+
 def test_an_empty_archive(spark):
     disk = Scratch(spark, "d")
     warc.write_archive(pages(spark).limit(0), disk.path)
