@@ -129,15 +129,15 @@ def chunked(texts: list[str]):
 
 
 def _bodies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text).alias("text"))
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("body"))
 
 
 def forest(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, key (null without words) and the path through all tries, one after another."""
+    """doc_id, body (hash of the whole text), key (null without words) and the path through all tries, one after another."""
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            ids, bodies, texts = batch.column(0), batch.column(2), [t or "" for t in batch.column(1).to_pylist()]
             for at, some in chunked(texts):
                 words, counts = word_hashes(some)
                 has = np.flatnonzero(counts)
@@ -146,9 +146,9 @@ def forest(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     hashes, n = shingles(words, counts[has])
                     for i, key, way in zip(has, text_keys(words, counts[has]).tolist(), paths(hashes, n), strict=True):
                         keys[i], ways[i] = key, way.tobytes()
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(some)), pa.array(keys, pa.int64()), pa.array(ways, pa.binary())], names=["doc_id", "key", "way"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(some)), bodies.slice(at, len(some)), pa.array(keys, pa.int64()), pa.array(ways, pa.binary())], names=["doc_id", "body", "key", "way"])
 
-    return _bodies(docs, doc_id, text).mapInArrow(run, "doc_id long, key long, way binary")
+    return _bodies(docs, doc_id, text).mapInArrow(run, "doc_id long, body long, key long, way binary")
 
 
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -261,14 +261,16 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     doc_id comes after all others. Repeated rows are copies. An empty table gives no rows; other columns are ignored.
 
     Returns doc_id, class_id (smallest doc_id of the class), n_links (different
-    texts that are linked with this one), n_copies (rows of the same words).
+    texts that are linked with this one), n_copies (rows of the same words),
+    body (xxhash64 of the text) and class_key, which tells classes apart even
+    where no row of theirs has a doc_id.
     """
     spark = docs.sparkSession
     disk = Scratch(spark, "neardup")
     walked = disk.write(forest(docs, doc_id, text), "forest")
     pairs = candidates(walked, threshold, recall, disk)
     texts = disk.write(walked.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")), "texts")
-    ids = disk.write(walked.select("doc_id", "key"), "ids")
+    ids = disk.write(walked.select("doc_id", "body", "key"), "ids")
     disk.drop("forest")
 
     near = components(pairs, disk, "near")
@@ -287,9 +289,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     rooted = whole.union(cut.select(F.col("node").alias("key"), "root"))
     lowest = rooted.join(texts, "key").groupBy("root").agg(F.min("doc_id").alias("class_id"))
     classes = texts.join(rooted, "key", "left").join(lowest, "root", "left").join(links, "key", "left")
-    told = classes.select("key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
+    told = classes.select("key", F.coalesce("root", "key").alias("class_key"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
     shown = lambda c: F.when(c != _NO_ID, c)
-    return ids.join(told, "key", "left").select(shown(F.col("doc_id")).alias("doc_id"), shown(F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
+    return ids.join(told, "key", "left").select(shown(F.col("doc_id")).alias("doc_id"), shown(F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"), "body", F.coalesce("class_key", F.xxhash64("doc_id", "body")).alias("class_key"))
 
 
 def _shingled(bodies: DataFrame) -> DataFrame:
@@ -309,7 +311,7 @@ def _shingled(bodies: DataFrame) -> DataFrame:
 
 
 def op4_neardup(spark, sf_dir):
-    return join(read(spark, sf_dir, "documents"))
+    return join(read(spark, sf_dir, "documents")).drop("body", "class_key")
 
 
 SQL = r"""
