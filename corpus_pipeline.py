@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import Scratch
+from lociflow.llm.common import Scratch, fresh
 from lociflow.llm.language import held_out, identify
 from lociflow.llm.neardup import join
 from lociflow.llm.packing import pack
@@ -20,39 +20,59 @@ from lociflow.llm.repeats import remove_repeats
 #: A text of which the best language's phrases are shorter than this many letters is in no known language.
 LEAST_PHRASE = 2.0
 
-#: A learned sample, MinHash, suffix merging and tokenizers have no SQL; tests compare run() with a brute-force version.
+#: Suffix automata, MinHash, suffix merging and tokenizers have no SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and texts that no learned language reads."""
+    """Rejects texts without a letter (null and empty ones too) and texts that no learned language reads.
+
+    A row without a lang is not learned from; rows are independent, so repeated
+    ones go or stay alike.
+    """
     got = identify(docs, docs.where(~held_out(F.col("doc_id"))))
     return got.where((F.col("lang_pred") != "und") & (F.col("phrase_rate") <= 1 / LEAST_PHRASE)).select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes the lines that many documents of a host hold; rejects what fails the base rules and documents depleted of their own lines."""
-    kept = apply_rules(docs).where("kept").select("row_key", F.col("text").alias("cleaned")).dropDuplicates(["row_key"])
-    key = F.xxhash64("doc_id", "source", F.coalesce("text", F.lit("")))
-    rest = docs.withColumn("row_key", key).drop("text", "n_chars").join(kept, "row_key")
-    return rest.withColumn("text", F.col("cleaned")).withColumn("n_chars", F.length("cleaned").cast("long")).select(*docs.columns)
+    """Removes the lines that many documents of a host hold; rejects what fails the base rules and documents depleted of their own lines.
+
+    A null text has no words and goes; a null source is a host of its own;
+    repeated rows stay as many as they are.
+    """
+    key, text = fresh(docs, "row_key"), fresh(docs, "cleaned")
+    kept = apply_rules(docs).where("kept").select(F.col("row_key").alias(key), F.col("text").alias(text)).dropDuplicates([key])
+    rest = docs.withColumn(key, F.xxhash64("doc_id", "source", F.coalesce("text", F.lit("")))).join(kept, key)
+    return rest.withColumn("text", F.col(text)).withColumn("n_chars", F.length(text).cast("long")).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of every class of near copies."""
-    first = join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("first")).distinct()
-    left = docs.join(first, docs["doc_id"].eqNullSafe(first["first"]), "left_semi")
-    return left.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"]).select(*docs.columns)
+    """Keeps one row of every class of near copies: that of the smallest doc_id (a null one comes last), then of the smallest hash of its text.
+
+    Of repeated rows one stays. A text without words is alone, but for rows that
+    equal it in doc_id and text.
+    """
+    body = fresh(docs, "body")
+    first = join(docs).groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "body")).alias("f")).select(F.col("f.doc_id").alias("first"), F.col("f.body").alias("of_body"))
+    rows = docs.withColumn(body, F.xxhash64("text"))
+    left = rows.join(first, rows["doc_id"].eqNullSafe(first["first"]) & (rows[body] == first["of_body"]), "left_semi")
+    return left.dropDuplicates(["doc_id", body]).select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts long strings that stand earlier; documents of which nothing is left go."""
+    """Cuts long strings that stand earlier; documents of which nothing is left go.
+
+    Strings are of bytes, so a cut may begin or end inside a character; what is
+    left of such a character goes too. A text in which nothing repeats stays as
+    it is, a null one too.
+    """
     cut = remove_repeats(docs, as_text=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     return cut.where((F.col("n_removed") == 0) | (F.length("kept") > 0)).select(*((text if c == "text" else F.length(text).cast("long") if c == "n_chars" else F.col(c)).alias(c) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's tokens at their places in training sequences; a null or empty text is its end mark alone, repeated rows are packed each."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
