@@ -5,19 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cells import WIDTH, join_cells, line, with_cell, within
 
-def with_islands(df: DataFrame, keys: list[str], start: str, end: str, touching: bool = True) -> DataFrame:
-    """df with `island`: a number that rises where nothing before reaches a record. touching: a record that begins where others end joins them."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    reached = F.max(end).over(before)
-    new = reached.isNull() | (F.col(start) > reached if touching else F.col(start) >= reached)
-    return df.withColumn("__new", new.cast("int")).withColumn("island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+def with_reach(df: DataFrame, keys: list[str], start: str, end: str, width: int) -> DataFrame:
+    """df with `__cell` and `__carry`, the largest end of all records of earlier cells (null in the first)."""
+    placed = with_cell(df, start, width)
+    ends = placed.groupBy(*keys, "__cell").agg(F.max(end).alias("__end"))
+    carried = ends.select(*keys, "__cell", F.max("__end").over(line(keys).rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"))
+    return join_cells(placed, carried, keys)
 
 
-def merge(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Unions of ranges that overlap or touch: keys, start, end, n (ranges in it)."""
-    return with_islands(df, keys, start, end).groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("island")
+def with_stretch(df: DataFrame, keys: list[str], start: str, end: str, width: int = WIDTH) -> DataFrame:
+    """df with `stretch`: cells that records reach across are one stretch, and no record reaches from one into another."""
+    placed = with_cell(df, start, width)
+    cells = placed.groupBy(*keys, "__cell").agg(F.min(start).alias("__start"), F.max(end).alias("__end"))
+    reached = cells.withColumn("__carry", F.max("__end").over(line(keys).rowsBetween(Window.unboundedPreceding, -1)))
+    new = (F.col("__carry").isNull() | (F.col("__start") >= F.col("__carry"))).cast("int")
+    return join_cells(placed, reached.select(*keys, "__cell", F.sum(new).over(line(keys)).alias("stretch")), keys).drop("__cell")
+
+
+def merge(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", width: int = WIDTH) -> DataFrame:
+    """Unions of ranges that overlap or touch: keys, start, end, n (ranges in it).
+
+    Ranges are merged cell by cell. Of a cell's unions only what an earlier cell
+    reaches (one piece) and the last one may go on elsewhere; these pieces, two a
+    cell at most, are put together along the line.
+    """
+    rows = with_reach(df.select(*keys, F.col(start).alias("__s"), F.col(end).alias("__e")), keys, "__s", "__e", width)
+    order = within(keys, "__s", "__e")
+    before = F.max("__e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumn("__first", (before.isNull() | (F.col("__s") > before)).cast("int")).withColumn("__n", F.sum("__first").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = [F.min("__s").alias("__s"), F.max("__e").alias("__e"), F.max("__carry").alias("__carry")]
+    unions = marked.groupBy(*keys, "__cell", "__n").agg(*whole, F.count("*").alias("n"))
+    own = F.col("__carry").isNull() | (F.col("__s") > F.col("__carry"))
+    pieces = unions.withColumn("__n", F.when(own, F.col("__n")).otherwise(0)).groupBy(*keys, "__cell", "__n").agg(*whole, F.sum("n").alias("n"))
+    last = F.lead("__n").over(within(keys, "__n")).isNull()
+    pieces = pieces.withColumn("__open", last | (F.col("__n") == 0))
+    edges = pieces.where("__open").withColumn("__island", F.sum((F.col("__n") > 0).cast("int")).over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__cell", "__n")))
+    joined = edges.groupBy(*keys, "__island").agg(F.min("__s").alias(start), F.max("__e").alias(end), F.sum("n").alias("n")).drop("__island")
+    return pieces.where("NOT __open").select(*keys, F.col("__s").alias(start), F.col("__e").alias(end), "n").unionByName(joined)
 
 
 def remainder(requests: DataFrame, covered: DataFrame, keys: list[str], request: str, start: str = "start", end: str = "end") -> DataFrame:
@@ -35,47 +61,72 @@ def remainder(requests: DataFrame, covered: DataFrame, keys: list[str], request:
     return gaps.where(F.col("__s") > F.col("__reached")).select(request, F.col("__reached").alias(start), F.col("__s").alias(end))
 
 
-def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width: int, start: str = "start", end: str = "end", prefix: str = "r_") -> DataFrame:
-    """Pairs of records of equal keys that share a base. right's columns get the prefix.
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width: int | list[int], start: str = "start", end: str = "end", prefix: str = "r_") -> DataFrame:
+    """Pairs of records of equal keys that share a base. right's columns get the prefix; columns of both sides must differ then, and names that begin with two low lines are kept for this.
 
-    Records go to the bins of `width` that they reach, and bins are an ordinary
-    equi-join key. A pair is kept in the later of its two first bins only, so it
-    comes once. width near a high quantile of the lengths keeps both the copies
-    and the candidates few.
+    Records go to the bins that they reach, and bins are an ordinary equi-join
+    key, of which AQE splits the hot ones. A pair is kept in the later of its two
+    first bins only, so it comes once. Where lengths differ much, give several
+    widths, each a multiple of the one before: a record goes to the bins of the
+    first width that is not below its length, two at most, and to those above,
+    and a pair meets at the wider of its two. width near a high quantile of the
+    lengths keeps both the copies and the candidates few.
     """
+    widths = sorted([width] if isinstance(width, int) else width)
+
+    def binned(df: DataFrame, s: str, e: str, first: str, level: str) -> DataFrame:
+        long = F.greatest(F.col(e), F.col(s) + 1) - F.col(s)
+        own = F.lit(len(widths) - 1)
+        for i, w in reversed(list(enumerate(widths[:-1]))):
+            own = F.when(long <= w, i).otherwise(own)
+        cell = lambda c, w: F.floor(c / w)
+
+        def at_level(i: int, w: int):
+            return F.transform(F.sequence(cell(F.col(s), w), cell(F.greatest(F.col(s), F.col(e) - 1), w)), lambda b: F.struct(F.lit(i).alias("i"), b.alias("b"), cell(F.col(s), w).alias("f")))
 
-    def binned(df: DataFrame, s: str, e: str) -> DataFrame:
-        first = F.floor(F.col(s) / width)
-        last = F.floor(F.greatest(F.col(s), F.col(e) - 1) / width)
-        return df.withColumn("__first", first).withColumn("__bin", F.explode(F.sequence(first, last)))
+        bins = [at_level(i, w) for i, w in enumerate(widths)]
+        reached = F.concat(*(F.when(F.col(level) <= i, b).otherwise(F.slice(b, 1, 0)) for i, b in enumerate(bins))) if len(bins) > 1 else bins[0]
+        placed = df.withColumn(level, own) if len(bins) > 1 else df.withColumn(level, F.lit(0))
+        return placed.withColumn("__b", F.explode(reached)).withColumns({"__level": F.col("__b.i"), "__bin": F.col("__b.b"), first: F.col("__b.f")}).drop("__b")
 
     renamed = right.select(*(F.col(c).alias(c if c in keys else prefix + c) for c in right.columns))
-    a, b = binned(left, start, end), binned(renamed, prefix + start, prefix + end).withColumnRenamed("__first", "__first_r")
-    met = a.join(b, [*keys, "__bin"]).where(F.col("__bin") == F.greatest("__first", "__first_r"))
-    return met.where((F.col(start) < F.col(prefix + end)) & (F.col(end) > F.col(prefix + start))).drop("__bin", "__first", "__first_r")
+    a, b = binned(left, start, end, "__first", "__own"), binned(renamed, prefix + start, prefix + end, "__first_r", "__own_r")
+    met = a.join(b, [*keys, "__level", "__bin"]).where((F.col("__bin") == F.greatest("__first", "__first_r")) & (F.col("__level") == F.greatest("__own", "__own_r")))
+    return met.where((F.col(start) < F.col(prefix + end)) & (F.col(end) > F.col(prefix + start))).drop("__bin", "__level", "__first", "__first_r", "__own", "__own_r")
 
 
-def nearest(points: DataFrame, targets: DataFrame, keys: list[str], at: str, target_at: str, target_id: str, value: str) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, keys: list[str], at: str, target_at: str, target_id: str, value: str, width: int = WIDTH) -> DataFrame:
     """points with the value and distance of the nearest target of equal keys; ties go to the smallest target_id.
 
     Both are laid out along the line once; the last target before and the first
-    after each point are the only candidates, so there is no pairing.
+    after each point are the only candidates, so there is no pairing. Those of
+    other cells come from the table of cells.
     """
     one = targets.groupBy(*keys, F.col(target_at).cast("bigint").alias("__at")).agg(F.min(F.struct(F.col(target_id).alias("id"), F.col(value).alias("value"))).alias("__t"))
     one = one.select(*keys, "__at", F.struct("__at", "__t.id", "__t.value").alias("__t"), F.lit(0).alias("__kind"), F.lit(None).cast(points.schema).alias("__p"))
     asked = points.select(*keys, F.col(at).cast("bigint").alias("__at"), F.lit(None).cast(one.schema["__t"].dataType).alias("__t"), F.lit(1).alias("__kind"), F.struct(*points.columns).alias("__p"))
-    order = Window.partitionBy(*keys).orderBy("__at", "__kind")
-    back = order.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(F.col("__at").desc(), F.col("__kind")).rowsBetween(Window.unboundedPreceding, 0)
-    both = one.unionByName(asked).select("*", F.last("__t", ignorenulls=True).over(back).alias("__b"), F.last("__t", ignorenulls=True).over(ahead).alias("__a"))
+    both = with_cell(one.unionByName(asked), "__at", width)
+    ends = both.groupBy(*keys, "__cell").agg(F.max_by("__t", F.when(F.col("__t").isNotNull(), F.col("__at"))).alias("__last"), F.min_by("__t", F.when(F.col("__t").isNotNull(), F.col("__at"))).alias("__first"))
+    along = line(keys)
+    cells = ends.select(
+        *keys, "__cell",
+        F.last("__last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
+        F.first("__first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
+    )
+    back = within(keys, "__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = within(keys, F.col("__at").desc(), F.col("__kind")).rowsBetween(Window.unboundedPreceding, 0)
+    near = join_cells(both, cells, keys).select("*", F.coalesce(F.last("__t", ignorenulls=True).over(back), "__before").alias("__b"), F.coalesce(F.last("__t", ignorenulls=True).over(ahead), "__after").alias("__a"))
     far = lambda c: F.abs(F.col(f"{c}.__at") - F.col("__at"))
     pick = lambda c: F.struct(far(c).alias("distance"), F.col(f"{c}.id").alias("id"), F.col(f"{c}.value").alias("value"))
     best = F.array_min(F.filter(F.array(pick("__b"), pick("__a")), lambda x: x["distance"].isNotNull()))
-    return both.where("__kind = 1").select("__p.*", best.alias("__n")).select(*points.columns, F.col("__n.value").alias("nearest_value"), F.col("__n.id").alias("nearest_id"), F.col("__n.distance").alias("distance"))
+    return near.where("__kind = 1").select("__p.*", best.alias("__n")).select(*points.columns, F.col("__n.value").alias("nearest_value"), F.col("__n.id").alias("nearest_id"), F.col("__n.distance").alias("distance"))
 
 
-def depth(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
+def depth(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", width: int = WIDTH) -> DataFrame:
     """Most records that share a base: keys, depth."""
     edges = df.where(F.col(start) < F.col(end)).select(*keys, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("d")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("d")))).alias("e"))
-    run = F.sum("d").over(Window.partitionBy(*keys).orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0))
-    return edges.groupBy(*keys, "e.at").agg(F.sum("e.d").alias("d")).withColumn("n", run).groupBy(*keys).agg(F.max("n").alias("depth"))
+    steps = with_cell(edges.groupBy(*keys, "e.at").agg(F.sum("e.d").alias("d")), "at", width)
+    change = with_cell(edges.select(*keys, "e.*"), "at", width).groupBy(*keys, "__cell").agg(F.sum("d").alias("__d"))
+    base = change.select(*keys, "__cell", F.coalesce(F.sum("__d").over(line(keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    run = F.col("__base") + F.sum("d").over(within(keys, "at").rowsBetween(Window.unboundedPreceding, 0))
+    return join_cells(steps, base, keys).withColumn("n", run).groupBy(*keys).agg(F.max("n").alias("depth"))

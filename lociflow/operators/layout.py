@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import with_islands
+from .cells import WIDTH
+from .intervals import with_stretch
 
 #: Padding where none is asked for (fixed value).
 PADDING = 100
-#: Islands that share a task's frame are dealt into about this many records each.
-RECORDS = 50_000
 
 
 def first_fit(starts, ends) -> list[int]:
@@ -42,25 +42,32 @@ def first_fit(starts, ends) -> list[int]:
     return out
 
 
-def pack_rows(df: DataFrame, keys: list[str], id: str = "id", start: str = "start", end: str = "end", padding: int = PADDING) -> DataFrame:
+def pack_rows(df: DataFrame, keys: list[str], id: str = "id", start: str = "start", end: str = "end", padding: int = PADDING, width: int = WIDTH) -> DataFrame:
     """(keys, id, row): the lowest row in which each padded interval fits, in the order of padded start, padded end and id.
 
-    Where nothing reaches across a point every row is free again, so the
-    records between two such points (an island) are packed on their own and in
-    parallel; the rows are those of packing all of them in turn. An id that
-    comes more than once gets the row of its last interval.
+    Where nothing reaches across a point every row is free again, so stretches
+    of cells between such points are packed on their own and in parallel; the
+    rows are those of packing all of them in turn. What has no such point is one
+    task's work, as each row depends on those before. An id that comes more than
+    once gets the row of its last interval.
     """
     pad = padding if padding > 0 else PADDING
     laid = df.select(*keys, F.col(id).cast("string").alias("id"), (F.col(start) - pad).cast("bigint").alias("ls"), (F.col(end) + pad).cast("bigint").alias("le"))
-    islands = with_islands(laid, keys, "ls", "le", touching=False)
+    stretches = with_stretch(laid, keys, "ls", "le", width)
     deals = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = islands.withColumn("deal", F.pmod(F.xxhash64(*keys, "island"), F.lit(4 * deals)))
+    dealt = stretches.withColumn("deal", F.pmod(F.xxhash64(*keys, "stretch"), F.lit(4 * deals)))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*keys, "island", "ls", "le", "id"], ignore_index=True)
+        pdf = pdf.sort_values([*keys, "stretch", "ls", "le", "id"], ignore_index=True)
+        starts, ends = pdf["ls"].to_numpy(), pdf["le"].to_numpy()
+        edge = np.zeros(len(pdf), bool)
+        for c in [*keys, "stretch"]:
+            code = pd.factorize(pdf[c], use_na_sentinel=True)[0]
+            edge[1:] |= code[1:] != code[:-1]
+        cuts = [0, *np.flatnonzero(edge).tolist(), len(pdf)]
         rows: list[int] = []
-        for _, part in pdf.groupby([*keys, "island"], sort=False, dropna=False):
-            rows += first_fit(part["ls"].tolist(), part["le"].tolist())
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            rows += first_fit(starts[a:b].tolist(), ends[a:b].tolist())
         return pdf.assign(row=pd.Series(rows, dtype="int32"))[[*keys, "id", "row", "ls", "le"]]
 
     fields = ", ".join(f"`{k}` {laid.schema[k].dataType.simpleString()}" for k in keys)
@@ -68,5 +75,15 @@ def pack_rows(df: DataFrame, keys: list[str], id: str = "id", start: str = "star
     return packed.groupBy(*keys, "id").agg(F.max(F.struct("ls", "le", "row")).alias("last")).select(*keys, "id", F.col("last.row").alias("row"))
 
 
+def in_order(df: DataFrame, keys: list[str], order: str, id: str = "id", start: str = "start", end: str = "end", padding: int = PADDING, width: int = WIDTH) -> DataFrame:
+    """(keys, order, id, row, total_rows): each interval's row in pack_rows, to be read in the input's order, and how many rows its keys need."""
+    packed = pack_rows(df, keys, id, start, end, padding, width)
+    totals = total_rows(packed, keys)
+    placed = df.select(*keys, order, F.col(id).cast("string").alias("id")).join(packed, [*keys, "id"])
+    if keys:
+        return placed.join(totals, keys)
+    return placed.withColumn("__all", F.lit(0)).join(F.broadcast(totals.withColumn("__all", F.lit(0))), "__all").drop("__all")  # one row
+
+
 def total_rows(packed: DataFrame, keys: list[str]) -> DataFrame:
     return packed.groupBy(*keys).agg((F.max("row") + 1).alias("total_rows"))

@@ -21,7 +21,7 @@ def to_width(signal: DataFrame, width: int, by: list[str] | None = None) -> Data
     group = ["__all", *keys]
     bounds = rows.groupBy(*group).agg(F.min("start").alias("lo"), F.max(F.struct("start", "end")).alias("last")).select(*group, F.col("lo").cast("double").alias("lo"), ((F.col("last.end") - F.col("lo")).cast("double") / width).alias("size")).where("size > 0")
     pixel = lambda c: F.greatest(F.lit(0), F.least(F.lit(width - 1), F.floor((F.col(c) - F.col("lo")) / F.col("size")).cast("int")))
-    hit = rows.join(bounds, group).select(*group, "value", pixel("start").alias("a"), pixel("end").alias("b")).where("a <= b")
+    hit = rows.join(bounds if keys else F.broadcast(bounds), group).select(*group, "value", pixel("start").alias("a"), pixel("end").alias("b")).where("a <= b")
     drawn = hit.select(*group, "value", F.explode(F.sequence("a", "b")).alias("x")).groupBy(*group, "x").agg(F.max("value").alias("mx"), F.min("value").alias("mn"))
     axis = bounds.select(*group, F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
     line = Window.partitionBy(*group).orderBy("x")

@@ -240,7 +240,7 @@ def layout_total_rows(spark, sf_dir):
 j AS (SELECT *, sum(b) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM i)
 SELECT l_suppkey, min(s)::BIGINT AS start_pos, max(e)::BIGINT AS end_pos, count(*) AS n FROM j GROUP BY l_suppkey, k""")
 def range_merge(spark, sf_dir):
-    got = intervals.merge(T.features(spark, sf_dir), ["l_suppkey"])
+    got = intervals.merge(T.features(spark, sf_dir), ["l_suppkey"], width=128)
     return got.select("l_suppkey", F.col("start").cast("bigint").alias("start_pos"), F.col("end").cast("bigint").alias("end_pos"), "n")
 
 
@@ -276,12 +276,13 @@ def cache_stats_by_key(spark, sf_dir):
     return cache_stats(T.read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("key"), (F.col("o_custkey") % 50).alias("rows"))).withColumnRenamed("rows", "n")
 
 
-@query(f"""WITH {_FEAT} SELECT a.chr, a.l_orderkey AS order_a, b.l_orderkey AS order_b, count(*) AS n FROM feat a JOIN feat b ON a.chr = b.chr AND a.s < b.e AND b.s < a.e
-WHERE a.l_linenumber = 1 AND b.l_linenumber = 2 GROUP BY ALL""")
+@query(f"""WITH {_FEAT}, r AS (SELECT *, row_number() OVER () AS n FROM feat) SELECT a.l_partkey, a.l_orderkey AS order_a, b.l_orderkey AS order_b, count(*) AS n
+FROM r a JOIN r b ON a.l_partkey = b.l_partkey AND a.s < b.e AND b.s < a.e GROUP BY ALL""")
 def interval_join(spark, sf_dir):
-    rows = T.features(spark, sf_dir).select("chr", "start", "end", "l_orderkey", "l_linenumber")
-    left, right = rows.where("l_linenumber = 1").select("chr", "start", "end", F.col("l_orderkey").alias("order_a")), rows.where("l_linenumber = 2").select("chr", "start", "end", "l_orderkey")
-    return intervals.interval_join(left, right, ["chr"], 64).groupBy("chr", "order_a", F.col("r_l_orderkey").alias("order_b")).agg(F.count("*").alias("n"))
+    """Orders whose line items of the same part overlap in time, all line items against all."""
+    rows = T.features(spark, sf_dir).select("l_partkey", "start", "end", "l_orderkey")
+    met = intervals.interval_join(rows.withColumnRenamed("l_orderkey", "order_a"), rows, ["l_partkey"], 64)
+    return met.groupBy("l_partkey", "order_a", F.col("r_l_orderkey").alias("order_b")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH p AS (SELECT event_id, user_id, event_type, date_diff('second', TIMESTAMP '2024-01-01', ts) AS s FROM events),
@@ -346,7 +347,7 @@ def idle_sessions(spark, sf_dir):
 @query(f"""WITH {_FEAT}, e AS (SELECT l_suppkey, s AS p, 1 AS d FROM feat WHERE e > s UNION ALL SELECT l_suppkey, e, -1 FROM feat WHERE e > s),
 a AS (SELECT l_suppkey, p, sum(d) AS d FROM e GROUP BY ALL) SELECT l_suppkey, max(n)::BIGINT AS depth FROM (SELECT l_suppkey, sum(d) OVER (PARTITION BY l_suppkey ORDER BY p) AS n FROM a) GROUP BY l_suppkey""")
 def coverage_depth(spark, sf_dir):
-    return intervals.depth(T.features(spark, sf_dir), ["l_suppkey"])
+    return intervals.depth(T.features(spark, sf_dir), ["l_suppkey"], width=128)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

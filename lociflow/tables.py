@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.cells import join_cells, line, with_cell, within
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,10 +22,13 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(chrom_of("user_id").alias("chr"), at.alias("start"), F.col("value").cast("float").alias("value"), "event_id", "user_id", "event_type")
 
 
-def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a signal: each holds until the next of its chromosome."""
-    following = F.lead("start").over(Window.partitionBy("chr").orderBy("start", "event_id"))
-    return points(spark, sf_dir).select("chr", "start", following.alias("end"), "value").where("end > start")
+def signal(spark: SparkSession, sf_dir: str, width: int = 86_400) -> DataFrame:
+    """Events as a signal: each holds until the next of its chromosome, which is looked for in its cell and then in the next one that has any."""
+    placed = with_cell(points(spark, sf_dir).select("chr", "start", "value", "event_id"), "start", width)
+    firsts = placed.groupBy("chr", "__cell").agg(F.min("start").alias("__first"))
+    ahead = firsts.select("chr", "__cell", F.lead("__first").over(line(["chr"])).alias("__next"))
+    following = F.coalesce(F.lead("start").over(within(["chr"], "start", "event_id")), "__next")
+    return join_cells(placed, ahead, ["chr"]).select("chr", "start", following.alias("end"), "value").where("end > start")
 
 
 def _days(column: str):
@@ -34,7 +39,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as features; rest has seven columns and two more."""
     rows = read(spark, sf_dir, "lineitem").withColumn("start", _days("l_shipdate")).withColumn("end", _days("l_shipdate") + F.floor("l_quantity").cast("int"))
     rest = F.concat_ws("\t", F.concat_ws("_", F.concat(F.lit("E"), F.col("l_orderkey")), "l_linenumber"), (F.col("l_linenumber") * 10).cast("string"), F.when(F.col("l_linestatus") == "O", "+").otherwise("-"), F.col("start").cast("string"), F.col("end").cast("string"), F.lit("255,0,0"), "l_returnflag", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
-    return rows.select(chrom_of("l_suppkey").alias("chr"), "start", "end", rest.alias("rest"), "l_orderkey", "l_linenumber", "l_suppkey")
+    return rows.select(chrom_of("l_suppkey").alias("chr"), "start", "end", rest.alias("rest"), "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
 
 
 def _attributes(**values) -> Column:

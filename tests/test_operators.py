@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -235,3 +236,70 @@ def test_region_filter_reaches_the_scan(spark, tmp_path):
     spark.createDataFrame([("chr1", i, i + 1, 1.0) for i in range(50)], SIGNAL).write.parquet(str(tmp_path / "s"))
     plan = signal.region(spark.read.parquet(str(tmp_path / "s")), "chr1", 5, 10).select("value")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(start,5)" in plan and "ReadSchema: struct<chr:string,start:int,value:float>" in plan
+
+
+def lines_of(r, n, reach, top=2000):
+    return [(r.choice(["k", "l", None]), at, at + r.randrange(0, reach)) for at in (r.randrange(top) for _ in range(n))]
+
+
+@pytest.mark.parametrize(("reach", "seed"), [(5, 1), (40, 2), (900, 3)])
+def test_cells_give_what_whole_lines_give(spark, reach, seed):
+    rows = lines_of(random.Random(seed), 150, reach)
+    df = spark.createDataFrame(rows, "key string, start int, end int")
+    expected, deepest = [], {}
+    for key in {k for k, _, _ in rows}:
+        own = sorted((s, e) for k, s, e in rows if k == key)
+        held = []
+        for s, e in own:
+            if held and s <= held[-1][1]:
+                held[-1] = (held[-1][0], max(held[-1][1], e), held[-1][2] + 1)
+            else:
+                held.append((s, e, 1))
+        expected += [(key, *x) for x in held]
+        deepest[key] = max(sum(s <= x < e for s, e in own) for x in range(3000))
+    for width in (16, 100, 1 << 16):
+        got = [tuple(r) for r in intervals.merge(df, ["key"], width=width).select("key", "start", "end", "n").collect()]
+        assert sorted(map(str, got)) == sorted(map(str, expected))
+        assert {r["key"]: r["depth"] for r in intervals.depth(df, ["key"], width=width).collect()} == deepest
+        named = df.withColumn("id", F.concat_ws("-", F.coalesce("key", F.lit("x")), "start", "end"))
+        packed_rows = {(r["key"], r["id"]): r["row"] for r in layout.pack_rows(named, ["key"], padding=1, width=width).collect()}
+        whole = {(r["key"], r["id"]): r["row"] for r in layout.pack_rows(named, ["key"], padding=1, width=1 << 30).collect()}
+        assert packed_rows == whole
+
+
+def test_nearest_looks_beyond_its_cell(spark):
+    r = random.Random(4)
+    points = [(i, r.choice("ab"), r.randrange(3000)) for i in range(60)]
+    targets = [(i, r.choice("abc"), r.randrange(3000), i * 1.0) for i in range(9)]
+    p, t = spark.createDataFrame(points, "id int, key string, at int"), spark.createDataFrame(targets, "tid int, key string, spot int, v double")
+    expected = {}
+    for i, k, at in points:
+        near = sorted((abs(at - x), j) for j, kk, x, _ in targets if kk == k)
+        expected[i] = near[0] if near else (None, None)
+    for width in (64, 1 << 16):
+        got = {r["id"]: (r["distance"], r["nearest_id"]) for r in intervals.nearest(p, t, ["key"], "at", "spot", "tid", "v", width).collect()}
+        assert got == expected
+
+
+def test_interval_join_with_several_widths(spark):
+    r = random.Random(5)
+    a, b = ([(i, s, s + r.choice([3, 10, 200, 1500])) for i, s in enumerate(r.randrange(2000) for _ in range(50))] for _ in range(2))
+    left, right = (spark.createDataFrame([("c", *x) for x in rows], "chr string, id int, start int, end int") for rows in (a, b))
+    got = sorted((x["id"], x["r_id"]) for x in intervals.interval_join(left, right, ["chr"], [16, 128, 1024]).collect())
+    assert got == sorted((i, j) for i, s, e in a for j, u, v in b if s < v and u < e)
+
+
+def test_rows_in_input_order_with_totals(spark):
+    df = spark.createDataFrame([(0, "t3", 900, 950), (1, "t2", 150, 250), (2, "t1", 100, 200)], "at int, id string, start int, end int")
+    got = [tuple(r) for r in layout.in_order(df, [], "at").orderBy("at").select("id", "row", "total_rows").collect()]
+    assert got == [("t3", 0, 2), ("t2", 1, 2), ("t1", 0, 2)]
+
+
+def test_no_plan_reads_a_whole_line_in_one_task(spark):
+    df = spark.createDataFrame([("k", 1, 2)], "key string, start int, end int")
+    named = df.withColumn("id", F.lit("x"))
+    for got in (intervals.merge(df, ["key"]), intervals.depth(df, ["key"]), layout.pack_rows(named, ["key"])):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan
+        # windows along a line are over one row a cell
+        assert all("__cell" in x or "__of___cell" in x for x in plan.splitlines() if "windowspecdefinition" in x)
