@@ -278,7 +278,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     members = near.join(sizes, "root").select(F.col("node").alias("key"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     # one row of each member's text is known by its doc_id; others that share the doc_id fall out by their key
     known = texts.join(near, texts["key"] == near["node"], "left_semi").select("doc_id").distinct()
-    sets = _shingled(_bodies(docs, doc_id, text).join(known, "doc_id", "left_semi")).groupBy("key").agg(F.first("shingles").alias("shingles"))
+    # a merge join whatever the size: members grow with the corpus, so a broadcast would not last
+    sets = _shingled(_bodies(docs, doc_id, text).join(known.hint("merge"), "doc_id", "left_semi")).groupBy("key").agg(F.first("shingles").alias("shingles"))
     held = members.join(sets, "key").select("root", "blocks", "key", "shingles", F.col("block").alias("side"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("met"))
     met = held.select("root", "blocks", "key", "shingles", "side", F.least("side", "met").alias("left"), F.greatest("side", "met").alias("right"))
     verified = disk.write(met.groupBy("root", "left", "right").applyInPandas(_verify(threshold), _VERIFIED), "verified")
