@@ -11,6 +11,7 @@ from .operators import annotations, intervals, layout, pyramid, resample
 from .operators import signal as signals
 from .plans.browser import union_tracks
 from .plans.semantic_cache import cache_stats
+from .sources import bigwriter, folders, register
 from .streaming import limits
 
 QUERIES: dict = {}
@@ -296,12 +297,12 @@ def nearest_point(spark, sf_dir):
     return got.select("event_id", "nearest_id", F.col("distance").cast("bigint").alias("distance"))
 
 
-@query(r"""WITH q AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'no url' WHEN 2 THEN '/data/a.bw' ELSE 'https://example.org/a.bw' END AS url,
+@query(f"""WITH q AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'no url' WHEN 2 THEN '/data/a.bw' ELSE 'https://example.org/a.bw' END AS url,
   CASE WHEN o_custkey % 27 = 26 THEN '' ELSE 'chr' || (o_custkey % 27) END AS chrom, o_orderkey % 50 - 3 AS s, o_orderkey % 50 - 3 + o_orderkey % 4 - 1 AS e, o_orderkey % 11 - 1 AS w FROM orders)
-SELECT o_orderkey, CASE WHEN url = '' OR url = 'no url' THEN 'url' WHEN chrom = '' OR NOT regexp_matches(chrom, '^chr([1-9]|1[0-9]|2[0-2]|X|Y|M|MT)$') THEN 'chrom'
+SELECT o_orderkey, CASE WHEN url = '' OR url = 'no url' THEN 'url' WHEN chrom = '' OR NOT regexp_matches(chrom, '{predicates.CHROM}') THEN 'chrom'
   WHEN s < 0 THEN 'start' WHEN e <= s THEN 'end' WHEN w < 0 THEN 'preRenderedWidth' END AS field,
  CASE WHEN url = '' THEN 'url is required' WHEN url = 'no url' THEN 'invalid url: no url' WHEN chrom = '' THEN 'chrom is required'
-  WHEN NOT regexp_matches(chrom, '^chr([1-9]|1[0-9]|2[0-2]|X|Y|M|MT)$') THEN 'invalid chromosome format: ' || chrom
+  WHEN NOT regexp_matches(chrom, '{predicates.CHROM}') THEN 'invalid chromosome format: ' || chrom
   WHEN s < 0 THEN 'start must be >= 0' WHEN e <= s THEN 'end must be greater than start' WHEN w < 0 THEN 'preRenderedWidth must be >= 0' END AS message FROM q""")
 def request_validation(spark, sf_dir):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
@@ -350,5 +351,101 @@ def coverage_depth(spark, sf_dir):
     return intervals.depth(T.features(spark, sf_dir), ["l_suppkey"], width=128)
 
 
+def _bigwig(spark, sf_dir, **options) -> DataFrame:
+    """The signal written as bigWig files by tasks, read again."""
+    register(spark)
+    path = folders.scratch(spark, "bigwig")
+    bigwriter.write_bigwig(T.signal(spark, sf_dir), path, REDUCTIONS[1:3]).write.format("noop").mode("overwrite").save()
+    return spark.read.format("bigwig").options(**options).load(path)
+
+
+@query(f"WITH {_SIG} SELECT chr, s AS start_pos, e AS end_pos, v::DOUBLE AS value FROM sig")
+def bigwig_round_trip(spark, sf_dir):
+    return _spans(_bigwig(spark, sf_dir), _value())
+
+
+@query(f"WITH {_SIG} SELECT chr, s AS start_pos, e AS end_pos, v::DOUBLE AS value FROM sig WHERE chr = '{CHROM}' AND s < {HI} AND e >= {LO}")
+def bigwig_region(spark, sf_dir):
+    """Only blocks that the index finds are read."""
+    return _spans(_bigwig(spark, sf_dir, chrom=CHROM, start=LO, end=HI), _value())
+
+
+@query(f"""WITH {_SIG}, z AS (SELECT chr, unnest(range(s // {REDUCTIONS[1]}, (e - 1) // {REDUCTIONS[1]} + 1)) AS bin, s, e, v FROM sig)
+SELECT chr, bin * {REDUCTIONS[1]} AS start_pos, sum(least(e, (bin + 1) * {REDUCTIONS[1]}) - greatest(s, bin * {REDUCTIONS[1]}))::BIGINT AS valid_count, min(v)::DOUBLE AS min_val, max(v)::DOUBLE AS max_val FROM z GROUP BY ALL""")
+def bigwig_zoom_level(spark, sf_dir):
+    """A zoom level of the files; a bin that two files share is put together."""
+    rows = _bigwig(spark, sf_dir, zoom=0).groupBy("chr", F.col("start").cast("bigint").alias("start_pos"))
+    return rows.agg(F.sum("valid_count").alias("valid_count"), F.min("min").cast("double").alias("min_val"), F.max("max").cast("double").alias("max_val"))
+
+
+@query(f"WITH {_SIG} SELECT chr AS chrom, max(e)::BIGINT AS size FROM sig GROUP BY chr")
+def bigwig_chromosomes(spark, sf_dir):
+    return _bigwig(spark, sf_dir, view="chroms").groupBy("chrom").agg(F.max("size").cast("bigint").alias("size"))
+
+
+@query(f"WITH {_SIG} SELECT sum(e - s)::BIGINT AS bases_covered, min(v)::DOUBLE AS min_val, max(v)::DOUBLE AS max_val FROM sig")
+def bigwig_summary(spark, sf_dir):
+    """The summaries in the files' headers, put together."""
+    return _bigwig(spark, sf_dir, view="summary").agg(F.sum("bases_covered").alias("bases_covered"), F.min("min_val").alias("min_val"), F.max("max_val").alias("max_val"))
+
+
+@query(SQL["ccre_parse"])
+def bigbed_round_trip(spark, sf_dir):
+    """Features written as bigBed files by tasks, read again and parsed."""
+    register(spark)
+    path = folders.scratch(spark, "bigbed")
+    bigwriter.write_bigbed(T.features(spark, sf_dir).select("chr", "start", "end", "rest"), path).write.format("noop").mode("overwrite").save()
+    got = parsing.with_ccre_columns(spark.read.format("bigbed").load(path))
+    return _spans(got, "rest", "name", *(F.col(c).cast("bigint").alias(c) for c in ("score", "thick_start", "thick_end")), "strand", "color", "class")
+
+
+def _error_fields(kind: str) -> str:
+    bad = "NOT regexp_matches(chrom, '" + predicates.CHROM + "')"
+    url = "WHEN url = '' OR url = 'no url' THEN 'url' " if kind == "feature" else ""
+    tracks = " WHEN n = 0 THEN 'tracks'" if kind == "browser" else ""
+    return f"""WITH q AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'no url' ELSE '/data/a.bb' END AS url, CASE WHEN o_custkey % 27 = 26 THEN '' ELSE 'chr' || (o_custkey % 27) END AS chrom,
+  o_orderkey % 50 - 3 AS s, o_orderkey % 50 - 3 + o_orderkey % 4 - 1 AS e, o_orderkey % 3 AS n FROM orders)
+SELECT o_orderkey, CASE {url}WHEN chrom = '' OR {bad} THEN 'chrom' WHEN s < 0 THEN 'start' WHEN e <= s THEN 'end'{tracks} END AS field FROM q"""
+
+
+def _errors(spark, sf_dir, of):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    url = F.when(k % 7 == 0, "").when(k % 7 == 1, "no url").otherwise("/data/a.bb")
+    chrom, start = F.when(c % 27 == 26, "").otherwise(F.concat(F.lit("chr"), c % 27)), k % 50 - 3
+    return T.read(spark, sf_dir, "orders").select("o_orderkey", of(url, chrom, start, start + k % 4 - 1, k % 3).alias("e")).select("o_orderkey", "e.field")
+
+
+@query(_error_fields("feature"))
+def feature_validation(spark, sf_dir):
+    return _errors(spark, sf_dir, lambda url, chrom, start, end, n: validation.feature_error(url, chrom, start, end))
+
+
+@query(_error_fields("transcript"))
+def transcript_validation(spark, sf_dir):
+    return _errors(spark, sf_dir, lambda url, chrom, start, end, n: validation.transcript_error(chrom, start, end))
+
+
+@query(_error_fields("browser"))
+def browser_validation(spark, sf_dir):
+    return _errors(spark, sf_dir, lambda url, chrom, start, end, n: validation.browser_error(chrom, start, end, F.array_repeat(F.lit("t"), n.cast("int"))))
+
+
+@query(f"""WITH {_PACK}, n AS (SELECT k, max(line) + 1 AS total_rows FROM r GROUP BY k) SELECT r.k AS o_custkey, id::BIGINT AS o_orderkey, line::INTEGER AS row_no, total_rows::INTEGER AS total_rows FROM r JOIN n ON n.k = r.k""")
+def transcript_layout_in_order(spark, sf_dir):
+    rows = _customer_transcripts(spark, sf_dir).withColumn("o_orderkey", F.col("id").cast("bigint"))
+    return layout.in_order(rows, ["o_custkey"], "o_orderkey").select("o_custkey", "o_orderkey", F.col("row").alias("row_no"), "total_rows")
+
+
+@query(f"""WITH {_EXON}, g AS (SELECT * FROM orders WHERE 'chr' || (o_custkey % 22 + 1) = 'chr7' AND date_diff('day', DATE '1992-01-01', o_orderdate::DATE) * 10 < 12000 AND date_diff('day', DATE '1992-01-01', o_orderdate::DATE) * 10 + 500 > 9000),
+x AS (SELECT o_custkey, count(*) AS n FROM ex WHERE o_orderkey IN (SELECT o_orderkey FROM g) AND s - 1 < 12000 AND e > 9000 GROUP BY o_custkey)
+SELECT 'N' || c_custkey AS name, count(g.o_orderkey) AS n_transcripts, coalesce(any_value(x.n), 0)::BIGINT AS n_exons FROM customer LEFT JOIN g ON g.o_custkey = c_custkey LEFT JOIN x ON x.o_custkey = c_custkey WHERE c_custkey % 22 = 6 GROUP BY c_custkey""")
+def region_fold(spark, sf_dir):
+    """Genes folded from the records of a region alone; exons of transcripts that the region leaves out are no transcript's."""
+    records = annotations.in_region(T.records(spark, sf_dir), "chr7", 9000, 12_000)
+    genes = annotations.fold_genes(records, strict=False)
+    exons = F.flatten(F.transform("transcripts", lambda t: t["exons"]))
+    return genes.select("name", F.size("transcripts").cast("bigint").alias("n_transcripts"), F.size(exons).cast("bigint").alias("n_exons"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal_resample(spark, sf_dir)

@@ -21,25 +21,77 @@ SIGNAL_MAGIC, FEATURE_MAGIC, CHROM_MAGIC, INDEX_MAGIC = 0x888FFC26, 0x8789F2EB,
 HEADER_BYTES, INDEX_HEADER_BYTES, NODE_BYTES, TIMEOUT = 64, 48, 4096, 30
 #: Bytes of neighbouring blocks that one partition reads.
 RUN_BYTES = 4 << 20
+#: Headers that a worker remembers.
+HEADERS = 250
 
 
-def read_range(path: str, offset: int, size: int, short: bool = False) -> bytes:
-    """Bytes of a local file or of a server that honours ranges. Fewer bytes raise unless short."""
+def storage(path: str):
+    """(file system, path in it) of a path or URI that pyarrow knows."""
+    from pyarrow import fs
+
+    path = str(path)
+    return fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+
+
+def files_of(path: str, suffix: str) -> list[str]:
+    """The files that a path stands for: itself, or those with the suffix in the folder that it is."""
+    from pyarrow import fs
+
     if path.startswith(("http://", "https://")):
+        return [path]
+    store, base = storage(path)
+    if store.get_file_info(base).type != fs.FileType.Directory:
+        return [path]
+    found = sorted(f.base_name for f in store.get_file_info(fs.FileSelector(base)) if f.base_name.endswith(suffix))
+    return [f"{path.rstrip('/')}/{name}" for name in found]
+
+
+def read_range(path: str, offset: int, size: int, short: bool = False) -> bytes:
+    """Bytes of a file in any storage that pyarrow opens, or of a server that honours ranges. Fewer bytes raise unless short."""
+    if str(path).startswith(("http://", "https://")):
         asked = urllib.request.Request(path, headers={"Range": f"bytes={offset}-{offset + size - 1}"})
         with urllib.request.urlopen(asked, timeout=TIMEOUT) as got:
             if got.status != 206:
                 raise OSError(f"{path}: the server ignores ranges")
             data = got.read()
     else:
-        with open(path.removeprefix("file://"), "rb") as f:
-            f.seek(offset)
-            data = f.read(size)
+        store, base = storage(path)
+        with store.open_input_file(base) as f:
+            data = f.read_at(min(size, max(f.size() - offset, 0)), offset)
     if len(data) < size and not short:
         raise OSError(f"{path}: {len(data)} of {size} bytes at {offset}")
     return data
 
 
+def _stamp(path: str) -> str:
+    """What changes when the file does: the server's tag or date, else size and time."""
+    if path.startswith(("http://", "https://")):
+        with urllib.request.urlopen(urllib.request.Request(path, method="HEAD"), timeout=TIMEOUT) as got:
+            return got.headers.get("ETag") or got.headers.get("Last-Modified") or ""
+    store, base = storage(path)
+    info = store.get_file_info(base)
+    return f"{info.size} {info.mtime_ns}"
+
+
+_opened: dict[tuple[str, int], tuple[str, BigFile]] = {}
+
+
+def opened(path: str, magic: int) -> BigFile:
+    """The file's header and chromosomes, read again only when it has changed; a worker remembers at most HEADERS."""
+    try:
+        stamp = _stamp(path)
+    except OSError:
+        stamp = ""
+    held = _opened.get((path, magic))
+    if held and stamp and held[0] == stamp:
+        return held[1]
+    if len(_opened) >= HEADERS:
+        _opened.clear()
+    file = BigFile(path, magic)
+    _opened[path, magic] = (stamp, file)
+    return file
+
+
 @dataclass
 class BigFile:
     """Header, zoom levels, summary and chromosomes of a file."""
@@ -153,35 +205,42 @@ _META = {"chroms": "chrom string, id int, size int", "zooms": "level int, reduct
 
 @dataclass
 class Run(InputPartition):
-    blocks: list
+    path: str
+    blocks: list | None
 
 
 class BigReader(DataSourceReader):
-    def __init__(self, path: str, magic: int, options: dict):
-        self.path, self.magic = path, magic
+    """Reads one file, of which the driver walks the index, or a folder of files, each of which is a task's, index and all."""
+
+    def __init__(self, path: str, magic: int, suffix: str, options: dict):
+        self.path, self.magic, self.suffix = path, magic, suffix
         self.view, self.zoom = options.get("view", "data"), int(options.get("zoom", -1))
         self.chrom, self.lo, self.hi = options.get("chrom"), int(options.get("start", 0)), int(options.get("end", 1 << 31))
 
+    def _blocks(self, f: BigFile) -> list:
+        chrom = f.chroms[self.chrom][0] if self.chrom is not None else None
+        return f.blocks(f.index_at if self.zoom < 0 else f.zooms[self.zoom][1], chrom, self.lo, self.hi)
+
     def partitions(self):
+        files = files_of(self.path, self.suffix)
+        if files != [self.path]:
+            return [Run(f, None) for f in files]
         if self.view != "data":
-            return [Run([])]
-        f = BigFile(self.path, self.magic)
-        chrom = None
-        if self.chrom is not None:
-            if self.chrom not in f.chroms:
-                raise ValueError(f"{self.path}: unknown chromosome {self.chrom}")
-            chrom = f.chroms[self.chrom][0]
+            return [Run(self.path, [])]
+        f = opened(self.path, self.magic)
+        if self.chrom is not None and self.chrom not in f.chroms:
+            raise ValueError(f"{self.path}: unknown chromosome {self.chrom}")
         runs: list[Run] = []
         size = 0
-        for block in f.blocks(f.index_at if self.zoom < 0 else f.zooms[self.zoom][1], chrom, self.lo, self.hi):
+        for block in self._blocks(f):
             if not runs or size + block[1] > RUN_BYTES:
-                runs.append(Run([]))
+                runs.append(Run(self.path, []))
                 size = 0
             runs[-1].blocks.append(block)
             size += block[1]
         return runs
 
-    def _bytes(self, blocks):
+    def _bytes(self, path, blocks):
         """The blocks' bytes; those that lie side by side come in one request."""
         at = 0
         while at < len(blocks):
@@ -189,13 +248,15 @@ class BigReader(DataSourceReader):
             while end < len(blocks) and blocks[end][0] == sum(blocks[end - 1]):
                 end += 1
             start = blocks[at][0]
-            data = read_range(self.path, start, sum(blocks[end - 1]) - start)
+            data = read_range(path, start, sum(blocks[end - 1]) - start)
             for offset, size in blocks[at:end]:
                 yield data[offset - start : offset - start + size]
             at = end
 
     def read(self, partition):
-        f = BigFile(self.path, self.magic)
+        if partition is None:
+            return
+        f = opened(partition.path, self.magic)
         if self.view == "chroms":
             yield from ((n, i, s) for n, (i, s) in f.chroms.items())
         elif self.view == "zooms":
@@ -205,7 +266,10 @@ class BigReader(DataSourceReader):
                 yield f.summary
         else:
             names = {i: n for n, (i, _) in f.chroms.items()}
-            for raw in self._bytes(partition.blocks):
+            blocks = partition.blocks
+            if blocks is None:
+                blocks = self._blocks(f) if self.chrom in (None, *f.chroms) else []
+            for raw in self._bytes(partition.path, blocks):
                 yield from self._batch(f, names, f.inflate(raw))
 
     def _batch(self, f, names, block):
@@ -246,7 +310,7 @@ class PushedReader(BigReader):
 
 
 class _BigSource(DataSource):
-    magic, rows = 0, ""
+    magic, suffix, rows = 0, "", ""
 
     def schema(self):
         view = self.options.get("view", "data")
@@ -254,11 +318,11 @@ class _BigSource(DataSource):
 
     def reader(self, schema):
         made = PushedReader if self.options.get("pushdown", "false") == "true" else BigReader
-        return made(self.options["path"], self.magic, dict(self.options))
+        return made(self.options["path"], self.magic, self.suffix, dict(self.options))
 
 
 class BigWigSource(_BigSource):
-    magic, rows = SIGNAL_MAGIC, _SIGNAL
+    magic, suffix, rows = SIGNAL_MAGIC, ".bw", _SIGNAL
 
     @classmethod
     def name(cls):
@@ -266,7 +330,7 @@ class BigWigSource(_BigSource):
 
 
 class BigBedSource(_BigSource):
-    magic, rows = FEATURE_MAGIC, _FEATURE
+    magic, suffix, rows = FEATURE_MAGIC, ".bb", _FEATURE
 
     @classmethod
     def name(cls):

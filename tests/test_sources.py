@@ -3,7 +3,7 @@ import http.server
 import os
 import threading
 
-import bigwriter as W
+from lociflow.sources import bigwriter as W
 import pytest
 from pyspark.sql import functions as F
 
