@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html as entities
+import json
 import re
+import zlib
 
 import pyarrow as pa
 import xxhash
@@ -265,17 +267,18 @@ def chosen(blocks: list[tuple[str, int, bool]]) -> list[str]:
     return [b[0] for b in left if b[1] >= least]
 
 
-_TREES = "array<struct<tree:long,first:int,end:int,chars:int,shape:boolean>>"
-_BLOCKS = f"key long, page_id long, url string, host string, page long, texts array<string>, places array<int>, dropped array<boolean>, trees {_TREES}"
+_BLOCKS = "key long, page_id long, url string, host long, page long, size long, blocks binary, trees array<struct<tree:long,first:int,end:int,chars:int,shape:boolean>>"
 _TREE = pa.list_(pa.struct([("tree", pa.int64()), ("first", pa.int32()), ("end", pa.int32()), ("chars", pa.int32()), ("shape", pa.bool_())]))
 
 
 def parsed(pages: DataFrame) -> DataFrame:
+    """A row a page with its subtrees; the blocks are packed, as they are shuffled once more."""
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
     rows = pages.select(
         F.xxhash64("page_id", "url", "html").alias("key"),
         F.col("page_id").cast("long").alias("page_id"),
         "url",
-        F.coalesce(F.lower(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit("")).alias("host"),
+        F.xxhash64(host).alias("host"),
         F.xxhash64("html").alias("page"),
         F.coalesce("html", F.lit("")).alias("html"),
     )
@@ -285,16 +288,37 @@ def parsed(pages: DataFrame) -> DataFrame:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
                 found = [candidates_of(h) for h in batch.column("html").to_pylist()]
-                kinds = [pa.string(), pa.int32(), pa.bool_()]
                 trees = [[dict(zip(("tree", "first", "end", "chars", "shape"), t, strict=True)) for t in f[1]] for f in found]
+                sizes = [sum(len(b[0]) for b in f[0]) for f in found]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:5], *(pa.array([[b[i] for b in f[0]] for f in found], pa.list_(kind)) for i, kind in enumerate(kinds)), pa.array(trees, _TREE)],
-                    names=["key", "page_id", "url", "host", "page", "texts", "places", "dropped", "trees"],
+                    [*batch.columns[:5], pa.array(sizes, pa.int64()), pa.array([zlib.compress(json.dumps(f[0]).encode(), 1) for f in found], pa.binary()), pa.array(trees, _TREE)],
+                    names=["key", "page_id", "url", "host", "page", "size", "blocks", "trees"],
                 )
 
     return rows.mapInArrow(run, _BLOCKS)
 
 
+_TEXT = "page_id long, url string, text string, n_chars long, n_blocks int, n_template int"
+
+
+def _main_texts(batches):
+    """The texts of (page_id, url, blocks, gone): what is left after templates, then after the rules."""
+    for whole in batches:
+        for at in range(0, len(whole), 256):
+            batch = whole.slice(at, 256)
+            out = []
+            for packed, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                blocks = json.loads(zlib.decompress(packed))
+                stays = [True] * len(blocks)
+                for g in gone or ():
+                    stays[g["first"] : g["end"]] = [False] * (g["end"] - g["first"])
+                main = chosen([b for b, s in zip(blocks, stays, strict=True) if s])
+                text = "\n".join(main)
+                out.append((text.encode("utf-8", "surrogatepass").decode("utf-8", "replace"), len(text), len(main), stays.count(False)))
+            columns = list(zip(*out, strict=True)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.int32()), strict=True))], names=["page_id", "url", "text", "n_chars", "n_blocks", "n_template"])
+
+
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE, shape_share: float = SHAPE_SHARE, thin: float = THIN) -> DataFrame:
     """The main text of every row.
 
@@ -325,23 +349,14 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHA
     """
     disk = Scratch(pages.sparkSession, "pagetext")
     blocks = disk.write(parsed(pages), "blocks")
-    size = F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.length(t))
-    around = blocks.where(F.size("trees") > 0).select("key", "host", "page", size.alias("size"), F.explode("trees").alias("t")).select("key", "host", "page", "size", "t.*")
+    around = blocks.where(F.size("trees") > 0).select("key", "host", "page", "size", F.inline("trees"))
     held = around.groupBy("host", "tree", "shape", "page").agg(F.sum("chars").alias("chars"), F.max("size").alias("size"))
     often = held.groupBy("host", "tree", "shape").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("size").alias("size")).where(F.col("n") > least_pages)
     hosts = blocks.groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages"))
     repeated = F.when(F.col("shape"), (F.col("n") > F.col("pages") * shape_share) & (F.col("chars") <= thin * F.col("size"))).otherwise(F.col("n") > F.col("pages") * share)
     templates = often.join(hosts, "host").where(repeated).select("host", "tree", "shape")
     gone = disk.write(around.join(templates, ["host", "tree", "shape"]).groupBy("key").agg(F.collect_set(F.struct("first", "end")).alias("gone")), "gone")
-    each = F.transform(F.arrays_zip("texts", "places", "dropped"), lambda b, i: F.struct(b["texts"].alias("text"), b["places"].alias("place"), b["dropped"].alias("dropped"), i.alias("i")))
-    stays = lambda b: ~F.coalesce(F.exists("gone", lambda g: (g["first"] <= b["i"]) & (b["i"] < g["end"])), F.lit(False))
-    joined = blocks.join(gone, "key", "left").select("page_id", "url", F.size("texts").alias("n"), F.filter(each, stays).alias("left"))
-    told = joined.select("page_id", "url", (F.col("n") - F.size("left")).alias("n_template"), F.filter("left", lambda b: ~b["dropped"]).alias("left"))
-    size = lambda least: F.aggregate("left", F.lit(0).cast("long"), lambda n, b: n + F.when(b["place"] >= least, F.length(b["text"])).otherwise(0))
-    sized = told.withColumn("least", F.when(2 * size(2) > size(0), 2).when(2 * size(1) > size(0), 1).otherwise(0))
-    main = F.transform(F.filter("left", lambda b: b["place"] >= F.col("least")), lambda b: b["text"])
-    text = F.array_join("kept", "\n")
-    return sized.select("page_id", "url", "n_template", main.alias("kept")).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.size("kept").alias("n_blocks"), "n_template")
+    return blocks.select("key", "page_id", "url", "blocks").join(gone, "key", "left").select("page_id", "url", "blocks", "gone").mapInArrow(_main_texts, _TEXT)
 
 
 def op5_pagetext(spark, sf_dir):
