@@ -244,6 +244,44 @@ def test_differencing_is_tight_and_keeps_sums():
     assert sharding.difference(np.array([[8, 0], [7, 0], [6, 0], [5, 0], [4, 0]]))[1].tolist() == [16, 14]  # the textbook case
 
 
+def brute_differencing(rows):
+    """The sums that differencing leaves, by looking at all partial partitions in every step."""
+    parts = [(n, sorted(map(int, x), reverse=True)) for n, x in enumerate(rows)]
+    nth = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (p[1][-1] - p[1][0], p[0]))
+        (_, a), (_, b) = parts[:2]
+        parts = [*parts[2:], (nth, sorted((x + y for x, y in zip(a, b[::-1], strict=True)), reverse=True))]
+        nth += 1
+    return parts[0][1]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_differencing_is_what_brute_force_gives(seed):
+    r = np.random.default_rng(seed)
+    k = int(r.integers(2, 7))
+    start = np.zeros((int(r.integers(1, 30)), k), np.int64)
+    start[:, 0] = r.integers(0, 12 if seed % 2 else 1000, len(start))  # few sizes give many ties
+    if seed > 5:
+        start = r.integers(0, 50, start.shape)
+    goes, sums = sharding.difference(start)
+    held = np.zeros(k, np.int64)
+    np.add.at(held, goes.ravel(), start.ravel())
+    assert sums.tolist() == brute_differencing(start) == held.tolist()
+    assert all(sorted(g) == list(range(k)) for g in goes.tolist())
+
+
+@pytest.mark.parametrize("groups", [40, 7])
+def test_levels_spread_no_more_than_a_group(spark, monkeypatch, groups):
+    monkeypatch.setattr(sharding, "GROUPS", groups)
+    monkeypatch.setattr(sharding, "FAN", 3)
+    r = random.Random(31)
+    rows = [(i, "x" * r.randrange(1, 400) + str(i % 190)) for i in range(400)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 5).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(sizes) == 5 and sizes.max() - sizes.min() <= got["size"].max()
+
+
 def test_shards(spark):
     r = random.Random(8)
     rows = [(i, "x" * r.randrange(0, 400) if i % 7 else "the same") for i in range(900)] + [(i, None) for i in (1000, 1001, 1001)] + [(1002, ""), (None, "no id")]
