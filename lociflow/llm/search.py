@@ -43,13 +43,30 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
-def eliminate(q_ids, q_rows, q_table, c_ids, c_rows, c_table, k: int):
+_NONE = np.iinfo(np.int64).min
+
+
+def floors(ids: np.ndarray, rows: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each query among the sample's rows; no row below it is among the k best of all."""
+    out = np.full(len(ids), _NONE)
+    width = max(rows.shape[1], sample.shape[1])
+    rows, sample = (np.pad(x, ((0, 0), (0, width - x.shape[1]))).astype(np.int64) for x in (rows, sample))
+    for i in range(len(ids)):
+        score = (sample * rows[i]).sum(axis=1)[sample_ids != ids[i]]
+        if len(score) >= k:
+            out[i] = np.partition(score, len(score) - k)[len(score) - k]
+    return out
+
+
+def eliminate(q_ids, q_rows, q_table, c_ids, c_rows, c_table, k: int, floor=None):
     """The k best of a block for each query, in the order of their bounds.
 
     |d(q,p) - d(c,p)| <= d(q,c) for any pivot p, and q.c = (|q|^2 + |c|^2 -
     d(q,c)^2) / 2, so the largest such difference bounds the score from above.
-    A query stops once the next bound is below its k-th score.
+    A query stops once the next bound is below its k-th score, or below the
+    floor that it brings along from elsewhere.
     """
+    floor = np.full(len(q_ids), _NONE) if floor is None else floor
     width = max(q_rows.shape[1], c_rows.shape[1])
     q_rows, c_rows = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q_rows, c_rows))
     peak = max(np.abs(q_rows).max(initial=0), np.abs(c_rows).max(initial=0))
@@ -69,7 +86,8 @@ def eliminate(q_ids, q_rows, q_table, c_ids, c_rows, c_table, k: int):
         bound = np.take_along_axis(bound, order, axis=1)
         best = np.full((len(ids), k), np.iinfo(np.int64).min)
         who = np.full((len(ids), k), np.iinfo(np.int64).max)
-        live, pos, step = np.arange(len(ids)), 0, 64
+        least = floor[at : at + 128]
+        live, pos, step = np.flatnonzero(bound[:, 0] >= least) if len(c_ids) else np.arange(0), 0, 64
         while len(live) and pos < len(c_ids):
             take = order[live, pos : pos + step]
             score = np.einsum("qd,qcd->qc", rows[live], c_rows[take]).astype(np.int64)
@@ -81,7 +99,7 @@ def eliminate(q_ids, q_rows, q_table, c_ids, c_rows, c_table, k: int):
             pos += step
             step = min(2 * step, 1024)
             if pos < len(c_ids):
-                live = live[bound[live, pos] >= best[live, -1]]
+                live = live[bound[live, pos] >= np.maximum(best[live, -1], least[live])]
         real = best > np.iinfo(np.int64).min
         found.append(pd.DataFrame({"query_id": np.repeat(ids, real.sum(axis=1)), "vec_id": who[real], "score": best[real]}))
     return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
@@ -99,7 +117,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embe
 
     Queries and rows meet block by block (QUERY_BLOCK x ROW_BLOCK); what is sent
     to each task is two blocks, and to the driver the SAMPLE rows among which
-    the PIVOTS are chosen.
+    the PIVOTS are chosen. A query's k-th score among the sample is a floor that
+    all its blocks share from the start. Components beyond 2**55 saturate.
     """
     spark = vectors.sparkSession
     disk = Scratch(spark, "topk")
@@ -117,16 +136,23 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embe
             yield pdf.assign(t=list(_distances(_matrix(pdf["v"]), pivots))) if len(pdf) else pdf.assign(t=[])
 
     table = disk.write(clean.mapInPandas(with_table, "vec_id long, v array<long>, t array<double>"), "table")
-    queries = table.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min(F.struct("v", "t")).alias("s")).select("vec_id", "s.v", "s.t")
+    sample_ids, sample_rows = np.array([r["vec_id"] for r in sample], np.int64), _matrix([r["v"] for r in sample]) if sample else np.zeros((0, 0))
+
+    def with_floor(batches):
+        for pdf in batches:
+            yield pdf.assign(f=floors(pdf["vec_id"].to_numpy(), _matrix(pdf["v"]), sample_ids, sample_rows, k) if len(pdf) else pd.Series([], dtype="int64"))
+
+    first = table.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min(F.struct("v", "t")).alias("s")).select("vec_id", "s.v", "s.t")
+    queries = disk.write(first.mapInPandas(with_floor, "vec_id long, v array<long>, t array<double>, f long"), "queries")
     n, n_queries = table.count(), queries.count()
     row_blocks, query_blocks = pieces_of(n, ROW_BLOCK), pieces_of(n_queries, QUERY_BLOCK)
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("row_block"), F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("query_block"), "vec_id", "v", "t")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("row_block"), F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("query_block"), "vec_id", "v", "t", "f")
     held = table.select(F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"), F.pmod(F.xxhash64("vec_id", F.xxhash64("v")), F.lit(row_blocks)).cast("int").alias("row_block"), "vec_id", "v", "t")
 
     def block(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        return eliminate(q["vec_id"].to_numpy(), _matrix(q["v"]), np.stack(q["t"]), c["vec_id"].to_numpy(), _matrix(c["v"]), np.stack(c["t"]), k)
+        return eliminate(q["vec_id"].to_numpy(), _matrix(q["v"]), np.stack(q["t"]), c["vec_id"].to_numpy(), _matrix(c["v"]), np.stack(c["t"]), k, q["f"].to_numpy())
 
     met = asked.groupBy("query_block", "row_block").cogroup(held.groupBy("query_block", "row_block")).applyInPandas(block, _FOUND)
     best = met.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), "vec_id"))), 1, k).alias("top"))

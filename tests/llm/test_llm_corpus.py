@@ -244,6 +244,18 @@ def test_differencing_is_tight_and_keeps_sums():
     assert sharding.difference(np.array([[8, 0], [7, 0], [6, 0], [5, 0], [4, 0]]))[1].tolist() == [16, 14]  # the textbook case
 
 
+def test_floors_keep_every_row_of_the_best(spark):
+    r = np.random.default_rng(3)
+    rows, ids = r.integers(-9, 9, (300, 6)), np.arange(300)
+    pivots = search.choose_pivots(rows.astype(float), 8)
+    table = search._distances(rows.astype(float), pivots)
+    low = search.floors(ids[:20], rows[:20], ids[::3], rows[::3], 5)
+    with_floor = search.eliminate(ids[:20], rows[:20], table[:20], ids, rows, table, 5, low)
+    without = search.eliminate(ids[:20], rows[:20], table[:20], ids, rows, table, 5)
+    key = lambda d: d.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(5).to_numpy().tolist()
+    assert key(with_floor) == key(without)
+
+
 def brute_differencing(rows):
     """The sums that differencing leaves, by looking at all partial partitions in every step."""
     parts = [(n, sorted(map(int, x), reverse=True)) for n, x in enumerate(rows)]
