@@ -46,6 +46,10 @@ class Bpe:
             whole = json.load(f)
         model = whole["model"]
         self.path = path
+        # other files' texts all go through the library's normaliser and splitter
+        splits = [p.get("pattern", {}).get("Regex") for p in (whole["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        steps = [n["type"] for n in (whole["normalizer"] or {}).get("normalizers", [])]
+        self.plain = splits == [WORD.pattern, None] and steps == ["NFC", "Replace", "Lowercase"]
         self.suffix = model.get("end_of_word_suffix") or ""
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in whole["added_tokens"]}
@@ -178,13 +182,14 @@ class Bpe:
             self.pairs.clear()
         known, learn, out = self.known, self._learn, []
         known_of = known.get
-        for part in self.split_special.split(text) if "<|" in text and self.split_special else (text,):
+        for part in self.split_special.split(text) if any(t in text for t in self.special) else (text,):
             if part in self.special:
                 out.append(np.array([self.special[part]], "<u4").tobytes())
-            elif part.isascii() and not _CONTROL.search(part) or _PLAIN.fullmatch(part):
+            elif self.plain and (part.isascii() and not _CONTROL.search(part) or _PLAIN.fullmatch(part)):
                 out += [known_of(w) or learn(w) for w in part.lower().split()]
             else:
-                out += [self.spelt(w) for w, _ in self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(part))]
+                lib = self.lib
+                out += [self.spelt(w) for w, _ in lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(part) if lib.normalizer else part)]
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:

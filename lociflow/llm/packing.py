@@ -45,7 +45,9 @@ class TokenIds:
         vocab = {t: i for t, i in whole["model"]["vocab"].items() if t not in self.special}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in whole["model"]["merges"]]
         self.fast = None
-        if [vocab[a + b] for a, b in pairs] == list(range(256, 256 + len(pairs))):
+        splits = whole["pre_tokenizer"] or {}
+        usual = whole["normalizer"] is None and splits.get("type") == "ByteLevel" and splits.get("use_regex") and not splits.get("add_prefix_space")
+        if usual and [vocab[a + b] for a, b in pairs] == list(range(256, 256 + len(pairs))):
             ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items()}
             self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 

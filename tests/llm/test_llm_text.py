@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import json
 import os
 import random
 import re
@@ -363,3 +364,24 @@ def test_shapes_of_a_site_go_whatever_they_say(spark):
     df = spark.createDataFrame([(i, f"http://a.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
     got = pagetext.extract(df).collect()
     assert all(g["n_blocks"] == 3 and g["n_template"] >= 4 for g in got)
+
+
+def test_every_character_below_3000_is_read_as_the_library_reads_it():
+    lib, own, ids = library(WORD_BPE), bpe.Bpe(WORD_BPE), packing.TokenIds(BYTE_BPE)
+    byte_lib = library(BYTE_BPE)
+    r = random.Random(17)
+    every = [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 8):
+        text = "".join(c + r.choice(["", " ", "a", "B1"]) for c in every[at : at + 8])
+        for t in (text, *(f"a{c}b {c}" for c in every[at : at + 8])):
+            assert np.frombuffer(own.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, ascii(t)
+            assert np.frombuffer(ids.ids(t), "<u4").tolist() == byte_lib.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
+def test_files_with_other_rules_go_through_the_library(tmp_path):
+    whole = json.load(open(WORD_BPE, encoding="utf-8"))
+    whole["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}\p{N}]+"
+    (tmp_path / "other.json").write_text(json.dumps(whole), encoding="utf-8")
+    own, lib = bpe.Bpe(str(tmp_path / "other.json")), library(str(tmp_path / "other.json"))
+    for t in ("it's a b2c, 77", "x<|endoftext|>y"):
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
