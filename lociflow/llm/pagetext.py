@@ -267,35 +267,42 @@ def chosen(blocks: list[tuple[str, int, bool]]) -> list[str]:
     return [b[0] for b in left if b[1] >= least]
 
 
-_BLOCKS = "key long, page_id long, url string, host long, page long, size long, blocks binary, trees array<struct<tree:long,first:int,end:int,chars:int,shape:boolean>>"
+_TREES = "key long, host long, page long, size long, trees array<struct<tree:long,first:int,end:int,chars:int,shape:boolean>>"
 _TREE = pa.list_(pa.struct([("tree", pa.int64()), ("first", pa.int32()), ("end", pa.int32()), ("chars", pa.int32()), ("shape", pa.bool_())]))
+_BLOCKS = "key long, page_id long, url string, blocks binary"
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """A row a page with its subtrees; the blocks are packed, as they are shuffled once more."""
+def _each(batches, of):
+    for whole in batches:
+        for at in range(0, len(whole), 256):
+            batch = whole.slice(at, 256)
+            yield of(batch, [candidates_of(h) for h in batch.column("html").to_pylist()])
+
+
+def _keyed(pages: DataFrame) -> DataFrame:
+    return pages.select(F.xxhash64("page_id", "url", "html").alias("key"), F.col("page_id").cast("long").alias("page_id"), "url", F.xxhash64("html").alias("page"), F.coalesce("html", F.lit("")).alias("html"))
+
+
+def subtrees_of(pages: DataFrame) -> DataFrame:
+    """A row a page with its subtrees and its characters."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
-    rows = pages.select(
-        F.xxhash64("page_id", "url", "html").alias("key"),
-        F.col("page_id").cast("long").alias("page_id"),
-        "url",
-        F.xxhash64(host).alias("host"),
-        F.xxhash64("html").alias("page"),
-        F.coalesce("html", F.lit("")).alias("html"),
-    )
-
-    def run(batches):
-        for whole in batches:
-            for at in range(0, len(whole), 256):
-                batch = whole.slice(at, 256)
-                found = [candidates_of(h) for h in batch.column("html").to_pylist()]
-                trees = [[dict(zip(("tree", "first", "end", "chars", "shape"), t, strict=True)) for t in f[1]] for f in found]
-                sizes = [sum(len(b[0]) for b in f[0]) for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:5], pa.array(sizes, pa.int64()), pa.array([zlib.compress(json.dumps(f[0]).encode(), 1) for f in found], pa.binary()), pa.array(trees, _TREE)],
-                    names=["key", "page_id", "url", "host", "page", "size", "blocks", "trees"],
-                )
-
-    return rows.mapInArrow(run, _BLOCKS)
+
+    def of(batch, found):
+        trees = [[dict(zip(("tree", "first", "end", "chars", "shape"), t, strict=True)) for t in f[1]] for f in found]
+        sizes = [sum(len(b[0]) for b in f[0]) for f in found]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(trees, _TREE)], names=["key", "host", "page", "size", "trees"])
+
+    return _keyed(pages).select("key", F.xxhash64(host).alias("host"), "page", "html").mapInArrow(lambda batches: _each(batches, of), _TREES)
+
+
+def blocks_of(pages: DataFrame) -> DataFrame:
+    """A row a page with its blocks, packed as they are shuffled."""
+
+    def of(batch, found):
+        packed = [zlib.compress(json.dumps(f[0], ensure_ascii=False).encode("utf-8", "surrogatepass"), 6) for f in found]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], names=["key", "page_id", "url", "blocks"])
+
+    return _keyed(pages).select("key", "page_id", "url", "html").mapInArrow(lambda batches: _each(batches, of), _BLOCKS)
 
 
 _TEXT = "page_id long, url string, text string, n_chars long, n_blocks int, n_template int"
@@ -308,7 +315,7 @@ def _main_texts(batches):
             batch = whole.slice(at, 256)
             out = []
             for packed, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                blocks = json.loads(zlib.decompress(packed))
+                blocks = json.loads(zlib.decompress(packed).decode("utf-8", "surrogatepass"))
                 stays = [True] * len(blocks)
                 for g in gone or ():
                     stays[g["first"] : g["end"]] = [False] * (g["end"] - g["first"])
@@ -342,21 +349,23 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHA
     rows; other columns are ignored.
 
     Subtrees are counted by (host, subtree, page) and then by (host, subtree),
-    so a large host's pages meet in one task only as counts.
+    so a large host's pages meet in one task only as counts. Pages are read and
+    parsed once for the counts and once more for their blocks, which costs less
+    than to keep all blocks on disk.
 
     Returns page_id, url, text, n_chars, n_blocks, n_template (blocks that the
     counts deleted).
     """
     disk = Scratch(pages.sparkSession, "pagetext")
-    blocks = disk.write(parsed(pages), "blocks")
-    around = blocks.where(F.size("trees") > 0).select("key", "host", "page", "size", F.inline("trees"))
+    trees = disk.write(subtrees_of(pages), "trees")
+    around = trees.where(F.size("trees") > 0).select("key", "host", "page", "size", F.inline("trees"))
     held = around.groupBy("host", "tree", "shape", "page").agg(F.sum("chars").alias("chars"), F.max("size").alias("size"))
     often = held.groupBy("host", "tree", "shape").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("size").alias("size")).where(F.col("n") > least_pages)
-    hosts = blocks.groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages"))
+    hosts = trees.groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages"))
     repeated = F.when(F.col("shape"), (F.col("n") > F.col("pages") * shape_share) & (F.col("chars") <= thin * F.col("size"))).otherwise(F.col("n") > F.col("pages") * share)
     templates = often.join(hosts, "host").where(repeated).select("host", "tree", "shape")
     gone = disk.write(around.join(templates, ["host", "tree", "shape"]).groupBy("key").agg(F.collect_set(F.struct("first", "end")).alias("gone")), "gone")
-    return blocks.select("key", "page_id", "url", "blocks").join(gone, "key", "left").select("page_id", "url", "blocks", "gone").mapInArrow(_main_texts, _TEXT)
+    return blocks_of(pages).join(gone, "key", "left").select("page_id", "url", "blocks", "gone").mapInArrow(_main_texts, _TEXT)
 
 
 def op5_pagetext(spark, sf_dir):
