@@ -111,6 +111,12 @@ class Browser:
             return list(pool.map(one, tracks))
 
 
+def lines(answer: DataFrame):
+    """The rows of a large answer as JSON, partition by partition, so that the driver holds one of them and the next."""
+    for row in answer.select(F.to_json(F.struct(*answer.columns)).alias("j")).toLocalIterator(prefetchPartitions=True):
+        yield row["j"]
+
+
 def union_tracks(tracks: dict[tuple[str, str], DataFrame]) -> DataFrame:
     """Rows of unlike tracks as one table: (track, type, data as JSON)."""
     out = None

@@ -11,6 +11,15 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 RATE, BURST, IDLE = 15, 40, 600
 
 
+def settings(spark) -> dict[str, int]:
+    """rate, burst and idle of a session: what its configuration says under lociflow.limit, else the fixed values. Not a positive number counts as unset."""
+    out = {}
+    for name, usual in (("rate", RATE), ("burst", BURST), ("idle", IDLE)):
+        told = spark.conf.get(f"lociflow.limit.{name}", "")
+        out[name] = int(told) if told.isdigit() and int(told) > 0 else usual
+    return out
+
+
 def spend(seconds: list[int], tokens: int, last: int | None, rate: int, burst: int, per: int) -> tuple[list[bool], int, int | None]:
     """Decides requests in order. Tokens are counted in 1/per of one, so that whole seconds stay whole numbers."""
     out = []

@@ -120,3 +120,22 @@ def test_streamed_windows(spark, tmp_path):
     first = spark.table("zoomed").orderBy("start").first()
     assert (first["n"], first["max_val"], first["sum_data"]) == (3, 59.0, 69.0)
     assert spark.table("zoomed").agg(F.sum("n")).first()[0] == 4
+
+
+def test_large_answers_come_line_by_line(spark):
+    from lociflow.plans.browser import lines
+
+    answer = spark.range(100).repartition(5).withColumnRenamed("id", "start")
+    got = lines(answer)
+    assert json.loads(next(got)).keys() == {"start"} and sum(1 for _ in got) == 99
+
+
+def test_limits_are_the_sessions(spark):
+    from lociflow.streaming import limits
+
+    assert limits.settings(spark) == {"rate": 15, "burst": 40, "idle": 600}
+    spark.conf.set("lociflow.limit.rate", "3")
+    spark.conf.set("lociflow.limit.burst", "none")
+    assert limits.settings(spark) == {"rate": 3, "burst": 40, "idle": 600}
+    spark.conf.unset("lociflow.limit.rate")
+    spark.conf.unset("lociflow.limit.burst")
