@@ -11,7 +11,7 @@ from .common import read
 
 #: The bound of the sample that the automata are made from: texts a language that are looked at, shorter ones than
 #: the second number first, and UTF-8 bytes of whole texts that are learned.
-TEXTS, SHORT, BYTES = 64, 2048, 24_576
+TEXTS, SHORT, BYTES = 64, 2048, 16_384
 #: Symbols of a lane; lanes that step together.
 LANE, LANES = 512, 2048
 _FOREIGN, _SPACE, _PAD = 0, 1, 2

@@ -23,7 +23,7 @@ MEASURED = 200_000
 #: Stands for a null doc_id, after all others.
 _NO_ID = (1 << 63) - 1
 #: Bytes of text that are hashed at a time.
-_CHUNK = 2 << 20
+_CHUNK = 1 << 19
 
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[[*b"0123456789abcdefghijklmnopqrstuvwxyz_", *range(128, 256)]] = True
@@ -194,7 +194,7 @@ def candidates(walked: DataFrame, threshold: float, recall: float, disk: Scratch
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """How many shingles each two sets share. Shingles of many sets go through a matrix product, others by their pairs."""
     n = len(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])
     every = np.concatenate(sets)
     order = np.argsort(every, kind="stable")
     owner = owner[order]

@@ -189,7 +189,7 @@ def pack(docs: DataFrame, vocabulary: str, room: int = 1024, end_id: int = 2, do
     spark = docs.sparkSession
     disk = Scratch(spark, "pack")
     cuts = disk.write(tokenised_pieces(docs, vocabulary, room, end_id, doc_id, text), "pieces")
-    deals = 4 * max(parts(spark), pieces_of(cuts.count(), 20_000))
+    deals = 4 * max(parts(spark), pieces_of(cuts.count(), 5_000))
     cuts = cuts.withColumn("deal", F.pmod("mix", F.lit(deals)).cast("int")).drop("mix")
     per_deal = cuts.groupBy("length", "deal").agg(F.count("*").alias("n"))
     plan = best_fit_plan({r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count("*").alias("n")).collect()}, room)

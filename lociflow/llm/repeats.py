@@ -16,11 +16,11 @@ from .neardup import _BASE, _UNBASE, _mixed, _power, chunked
 #: Bytes of a repeated string, and of the short strings whose smallest hash anchors it.
 LENGTH, KERNEL = 100, 20
 #: Anchors that a task combines before they are dealt, and that a task merges at once.
-COMBINED, MERGED = 1_000_000, 20_000
+COMBINED, MERGED = 400_000, 10_000
 #: Contexts of one anchor beyond which they are settled string by string, in as many tasks as need be.
 HOT = 20_000
 #: Bytes of a long text that are looked at at a time.
-PIECE = 1 << 20
+PIECE = 1 << 19
 _NO_ID = -(1 << 63)
 _ANCHORS = pa.schema([("hash", pa.int64()), ("context", pa.int64()), ("doc", pa.int64()), ("body", pa.int64()), ("pos", pa.int64()), ("tail", pa.int32())])
 
