@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, trimmed
 
 #: The bound of the sample that the automata are made from: texts a language that are looked at, shorter ones than
 #: the second number first, and UTF-8 bytes of whole texts that are learned.
@@ -273,7 +273,7 @@ def identify(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text:
             lang_pred, score, rate = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang_pred, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(trimmed(run), schema)
 
 
 def held_out(doc_id):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Scratch, read, trimmed
 from .graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -148,7 +148,7 @@ def forest(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                         keys[i], ways[i] = key, way.tobytes()
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(some)), bodies.slice(at, len(some)), pa.array(keys, pa.int64()), pa.array(ways, pa.binary())], names=["doc_id", "body", "key", "way"])
 
-    return _bodies(docs, doc_id, text).mapInArrow(run, "doc_id long, body long, key long, way binary")
+    return _bodies(docs, doc_id, text).mapInArrow(trimmed(run), "doc_id long, body long, key long, way binary")
 
 
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -308,7 +308,7 @@ def _shingled(bodies: DataFrame) -> DataFrame:
                     sets = [np.unique(h).tobytes() for h in np.split(hashes, np.cumsum(n)[:-1])]
                     yield pa.RecordBatch.from_arrays([pa.array(text_keys(words, counts)), pa.array(sets, pa.binary())], names=["key", "shingles"])
 
-    return bodies.mapInArrow(run, "key long, shingles binary")
+    return bodies.mapInArrow(trimmed(run), "key long, shingles binary")
 
 
 def op4_neardup(spark, sf_dir):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
-from .common import Scratch, parts, pieces_of, read
+from .common import Scratch, parts, pieces_of, read, trimmed
 
 #: How the byte-level vocabulary splits a text before its merges (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -166,7 +166,7 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, room: int, end_id: int, d
                         rows.append((key, i, start, length, crc, own, zlib.crc32(b"%d %d %d" % (key, i, crc))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _PIECE, strict=True)], schema=_PIECE)
 
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut_all, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, mix long")
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text).alias("text")).mapInArrow(trimmed(cut_all), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, mix long")
 
 
 def pack(docs: DataFrame, vocabulary: str, room: int = 1024, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, pieces_of, read
+from .common import Scratch, pieces_of, read, trimmed
 from .neardup import _BASE, _UNBASE, _mixed, _power, chunked
 
 #: Bytes of a repeated string, and of the short strings whose smallest hash anchors it.
@@ -114,7 +114,7 @@ def _anchored(docs: DataFrame, length: int, kernel: int) -> DataFrame:
         if size:
             yield combine(held)
 
-    return docs.mapInArrow(run, "hash long, context long, doc long, body long, pos long, tail int")
+    return docs.mapInArrow(trimmed(run), "hash long, context long, doc long, body long, pos long, tail int")
 
 
 def merged(doc: np.ndarray, body: np.ndarray, start: np.ndarray, end: np.ndarray, least: int):
@@ -283,7 +283,7 @@ def repeated_spans(docs: DataFrame, disk: Scratch, length: int = LENGTH, kernel:
                             rows[name].append(value)
             yield pa.RecordBatch.from_pydict(rows, schema=_CONTEXTS)
 
-    contexts = docs.join(wanted, ["doc", "body"]).select("doc", "body", "text", "at").mapInArrow(cut, "hash long, doc long, body long, pos long, bytes binary")
+    contexts = docs.join(wanted, ["doc", "body"]).select("doc", "body", "text", "at").mapInArrow(trimmed(cut), "hash long, doc long, body long, pos long, bytes binary")
     counts = open_.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("hash")
     hot = disk.write(counts, "hot")
     if hot.limit(1).count():
@@ -348,7 +348,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kernel: int = KERNEL,
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in four[:3]), left], names=schema.names)
 
     joined = kept.withColumns({of[0]: key, of[1]: body}).join(by_doc, of[:2], "left").select(*(kept[c] for c in kept.columns), of[2])
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(trimmed(cut), schema)
 
 
 def op2_repeats(spark, sf_dir):
