@@ -39,9 +39,11 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """by: a column of which each value gets a folder of its own, so that reading one value reads no other."""
         path = f"{self.path}/{name}"
-        df.write.option("compression", "zstd").mode("overwrite").parquet(path)
+        out = df.write.option("compression", "zstd").mode("overwrite")
+        (out.partitionBy(by) if by else out).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

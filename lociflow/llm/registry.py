@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language, neardup, packing, pagetext, quality, repeats, search, sharding, warc
+from . import bpe, language, lm, neardup, packing, pagetext, quality, repeats, search, sharding, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_language": language.op9_language,
     "op10_bpe": bpe.op10_bpe,
+    "op11_lm": lm.op11_lm,
 }
 
 SQL = {
