@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language, lm, neardup, packing, pagetext, quality, repeats, search, sharding, warc
+from . import bpe, language, lm, neardup, packing, pagetext, quality, repeats, runs, search, sharding, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language": language.op9_language,
     "op10_bpe": bpe.op10_bpe,
     "op11_lm": lm.op11_lm,
+    "op12_runs": runs.op12_runs,
 }
 
 SQL = {

@@ -1,6 +1,9 @@
 import collections
+import hashlib
 import math
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
-from lociflow.llm import blocks, lm  # noqa: E402
+from lociflow.llm import blocks, lm, runs  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, score double, held_out string, block long"
@@ -127,3 +130,80 @@ def test_packed_lists():
     for _ in range(9):
         sums.add(keys[:50], np.ones(50, np.int64))
     assert (sums.total()[0] == keys[:50]).all() and (sums.total()[1] == 9).all()
+
+
+def brute_runs(words):
+    """Every maximal run by trying all starts and periods."""
+    n, out = len(words), set()
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i + q < n:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= max(12, 2 * q):
+                s, e = i, j + q
+                if not any(words[s : e - k] == words[s + k : e] for k in range(1, q)):
+                    out.add((s, e, q))
+            i = j
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def run_lists(seed):
+    r = random.Random(seed)
+    unit = [r.randrange(4) for _ in range(r.randrange(1, 40))]
+    yield [r.randrange(2) for _ in range(r.randrange(150))]
+    yield [r.randrange(50) for _ in range(60)] + unit * r.randrange(2, 6) + unit[: r.randrange(len(unit))] + [r.randrange(50) for _ in range(40)]
+    yield ([0, 1] * r.randrange(1, 40) + [0]) * r.randrange(1, 4)
+    yield ([0] * r.randrange(1, 40) + [1]) * r.randrange(1, 5)
+    yield unit * 3 + unit[::-1] * 2 + unit * 2
+    a, b = [0], [0, 1]
+    for _ in range(r.randrange(9)):
+        a, b = b, b + a
+    yield b + [2] + b
+    yield [x for i in range(20) for x in ([7] * r.randrange(1, 30) + [r.randrange(3)])]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_all_runs(seed):
+    lists = list(run_lists(seed))
+    sizes = np.array([len(x) for x in lists])
+    ends = np.cumsum(sizes)
+    got = runs.runs_of(np.array([w for x in lists for w in x], np.int64), ends - sizes, ends)
+    expected = [(s + o, e + o, q) for x, o in zip(lists, (ends - sizes).tolist(), strict=True) for s, e, q in brute_runs(x)]
+    assert [tuple(r) for r in got.tolist()] == expected
+
+
+def test_very_long_lists_of_one_word_and_one_line():
+    for words in (np.zeros(1_000_000, np.int64), np.tile(np.arange(50_000), 20), np.append(np.tile([1, 2], 100_000), np.tile([3, 4, 5], 100_000))):
+        began = time.perf_counter()
+        got = runs.runs_of(words, np.array([0]), np.array([len(words)]))
+        assert 1 <= len(got) <= 2 and time.perf_counter() - began < 60
+
+
+def test_runs_of_documents(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice("abcdefgh") * r.randrange(1, 3) for _ in range(r.randrange(90)))) for i in range(300)]
+    rows += [(1000, None), (1001, ""), (1002, " \n "), (None, "x " * 30), (1003, "é ü " * 13 + "z"), (20, "ab cd " * 9), *rows[:2]]
+    docs = spark.createDataFrame([(*x, 1.0, "y", 2) for x in rows], DOCS)
+    docs.write.parquet(path := f"{spark.conf.get('spark.sql.warehouse.dir')}/runs-{random.random()}/documents.parquet")
+    got = collections.Counter(tuple(x) for x in runs.op12_runs(spark, path.rpartition("/")[0]).drop("n_words").collect())
+    expected = collections.Counter()
+    for i, t in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        n, h = len(words), zlib.crc32(str(i).encode()) if i is not None else 1
+        if h % 10 == 0 and n:
+            a = h // 10 % n
+            p = 1 + (n - a) // (3 + h // 10 % 8)
+            words = [w if j < a else words[a + (j - a) % p] for j, w in enumerate(words)]
+        found = brute_runs(words)
+        gone = {j for s, e, q in found for j in range(s + q, e)}
+        best = min(((-(e - s), s, q) for s, e, q in found), default=None)
+        text = "".join(f"{s},{e - s},{q}\n" for s, e, q in found)
+        left = " ".join(w for j, w in enumerate(words) if j not in gone)
+        expected[i, len(found), *((best[1], -best[0], best[2], 1000 * -best[0] // best[2]) if best else [None] * 4), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(left.encode()).hexdigest()] += 1
+    assert got == expected
+    assert runs.periodic_runs(docs.limit(0)).count() == 0
