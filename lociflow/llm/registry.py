@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language, lm, neardup, packing, pagetext, quality, repeats, runs, search, sharding, warc
+from . import align, bpe, language, lm, neardup, packing, pagetext, quality, repeats, runs, search, sharding, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_bpe": bpe.op10_bpe,
     "op11_lm": lm.op11_lm,
     "op12_runs": runs.op12_runs,
+    "op13_align": align.op13_align,
 }
 
 SQL = {

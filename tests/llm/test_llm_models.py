@@ -10,11 +10,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-pytest.importorskip("public_tokenizers")
+public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from lociflow.llm import blocks, lm, runs  # noqa: E402
+from lociflow.llm import align, blocks, lm, runs  # noqa: E402
+from lociflow.llm.bpe import byte_symbols  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
+BYTE_BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 DOCS = "doc_id long, text string, score double, held_out string, block long"
 
 
@@ -207,3 +209,62 @@ def test_runs_of_documents(spark):
         expected[i, len(found), *((best[1], -best[0], best[2], 1000 * -best[0] // best[2]) if best else [None] * 4), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(left.encode()).hexdigest()] += 1
     assert got == expected
     assert runs.periodic_runs(docs.limit(0)).count() == 0
+
+
+def brute_alignment(texts):
+    """Groups and links of whole texts by the libraries, and the answers by counting."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a_lib = Tokenizer.from_file(BYTE_BPE)
+    a_lib.encode_special_tokens = True
+    b_lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    symbols = {s: b for b, s in enumerate(byte_symbols())}
+    spell_a = {i: bytes(symbols[c] for c in t) for t, i in a_lib.get_vocab().items() if all(c in symbols for c in t)}
+    docs = []
+    for t in texts:
+        links, groups = [], []
+        if t:
+            a, b = a_lib.encode(" " + t, add_special_tokens=False).ids, b_lib.encode(t)
+            sa = [spell_a[i] for i in a]
+            sb = [bytes([int(b_lib.id_to_piece(i)[3:5], 16)]) if b_lib.is_byte(i) else b_lib.id_to_piece(i).replace("▁", " ").encode() for i in b]
+            if b"".join(sa) == b"".join(sb) == (" " + t).encode():
+                ea, eb = np.cumsum([len(x) for x in sa]), np.cumsum([len(x) for x in sb])
+                cuts = sorted(set(ea.tolist()) & set(eb.tolist()))
+                groups = [([i for i, e in zip(a, ea, strict=True) if lo < e <= hi], [i for i, e in zip(b, eb, strict=True) if lo < e <= hi]) for lo, hi in zip([0, *cuts[:-1]], cuts, strict=True)]
+                links = [(i, j) for i, e, x in zip(a, ea, sa, strict=True) for j, f, y in zip(b, eb, sb, strict=True) if max(e - len(x), f - len(y)) < min(e, f)]
+            else:
+                a = b = []
+        docs.append((len(a) if t else 0, len(b) if t else 0, groups, links))
+    count = collections.Counter(p for d in docs for p in set(d[3]))
+    best = collections.defaultdict(int)
+    for (i, _), n in count.items():
+        best[i] = max(best[i], n)
+    for n_a, n_b, groups, links in docs:
+        text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+        yield n_a, n_b, len(groups), len(links), sum(count[p] == best[p[0]] for p in links), sum(count[p] for p in links), hashlib.sha256(text.encode()).hexdigest() if text else ""
+
+
+ODD_TEXTS = [
+    None, "", " ", "  ", "\n", "a\n", "a  b", "a   \n b ", "it's <|endoftext|> </s> <0x41>", "x▁y", "▁", "naïve café ﬁ ²", "日本語 テキスト　a", "é ö", "if (x) {\r\n\t}\r\n",
+    "a\xa0 b\x85 c\x1c d\x0b e  f", "a᠎ b", "\x00 \x01", "😀 👩‍👩‍👧 x", "aaaaaaa " * 9, "word;\r word)\r\r x", "don't we'LL  they've", "12345 67,890.1", "\t\tx\t y", "!!!???...\n\n\n-- ##", "x" * 3000,
+]
+
+
+def test_alignment(spark):
+    r = random.Random(2)
+    letters = "abcdeéßñ  ,.'\n\t123\r\xa0"
+    texts = [*ODD_TEXTS, *("".join(r.choice(letters) for _ in range(r.randrange(80))) for _ in range(60)), *("".join(chr(r.randrange(1, 0x2FF)) for _ in range(40)) for _ in range(30))]
+    texts += [x["text"] for x in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(15).collect()] + ODD_TEXTS[10:14]
+    rows = [(i if i % 7 else None, t, 1.0, "x", 5) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = collections.Counter(tuple(x) for x in align.align(docs, BYTE_BPE, PIECES).collect())
+    assert got == collections.Counter((row[0], *x) for row, x in zip(rows, brute_alignment(texts), strict=True))
+    assert align.align(docs.limit(0), BYTE_BPE, PIECES).count() == 0
+    assert align.align(docs.where("text is null"), BYTE_BPE, PIECES).select("n_a", "groups_sha256").distinct().collect() == [(0, "")]
+
+
+def test_identity_map():
+    both = align.vocabularies(BYTE_BPE, PIECES)
+    known = np.flatnonzero(both.same >= 0)
+    assert both.cuts and len(known) > 10_000 and all(both.a_bytes[i] == both.b_bytes[both.same[i]] for i in known)
