@@ -301,7 +301,8 @@ def align(docs: DataFrame, byte_level: str, pieces: str, doc_id: str = "doc_id",
     for r in answers.mapInArrow(trimmed(_most), _COUNTS).groupBy("id").agg(F.max("n").alias("n")).collect():
         best[r["id"]] = r["n"]
     best = np.maximum(best, exact)
-    back = by_bucket(answers.union(pairs), lambda b: answered(_ANSWER, b), n)
+    asked = pairs.withColumn("vals", F.lit(None).cast("binary"))
+    back = by_bucket(answers.union(asked), lambda b: answered(_ANSWER, b), n)
     return by_block(back.union(listed.where(F.col("kind") == _DOCS)), _documents(exact, best), n, _ALIGNED)
 
 

@@ -181,14 +181,14 @@ def by_block(rows: DataFrame, run, n: int, schema: str) -> DataFrame:
     return rows.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(trimmed(run), schema)
 
 
-def answered(of: int, batches):
+def answered(of: int, batches, values_of=np.float64):
     """Gives blocks back the values of their keys: of each bucket the rows of kind `of` hold the values of all its keys and come first."""
     at, parts, keys, values = None, [], None, None
     for block, kind, bucket, packed, vals in rows_of(batches):
         if kind == of:
             if at != bucket:
                 at, parts, keys = bucket, [], None
-            parts.append((unpack_keys(packed), unpack_values(vals)))
+            parts.append((unpack_keys(packed), unpack_values(vals, values_of)))
             continue
         if keys is None:
             keys, values = (np.concatenate([p[i] for p in parts]) for i in (0, 1))

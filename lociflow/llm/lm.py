@@ -14,7 +14,7 @@ from .blocks import Lookup, Sums, answered, batch_of, bucket_of, by_block, by_bu
 from .common import Scratch, parts, read, trimmed
 
 #: Bytes of context. A context and the byte after it are a key of eight bytes at most, so 7 is the most.
-DEPTH = 6
+DEPTH = 5
 #: The depth at which trees are cut: below it a context's subtree is one task's, above it only nodes move.
 CUT = 3
 #: Ends every text; no UTF-8 text holds it.
@@ -273,7 +273,7 @@ def _scored(depth: int, buckets: int):
                 for k in range(depth - CUT, 0, -1):
                     carry = descend(levels[k - 1], carry[:, levels[k].below])
                 score += bit_scores(carry[:, of], own)
-            yield batch_of(dealt(-1, _ANSWER, keys, score, bucket_of(keys, buckets)))
+            yield batch_of(dealt(-1, _ANSWER, keys, score.astype(np.float32), bucket_of(keys, buckets)))
 
     return run
 
@@ -290,7 +290,7 @@ def _documents(depth: int, train_tokens: int, distinct: int, ends: int):
         texts = _lower(rows.column(1).to_pylist())
         lookup, sums, done = Lookup(keys), np.zeros(len(texts)), 0
         for own, starts in grams(texts, depth):
-            sums[done : done + len(starts)] = np.add.reduceat(scores[lookup.places(own)], starts)
+            sums[done : done + len(starts)] = np.add.reduceat(scores[lookup.places(own)], starts, dtype=np.float64)
             done += len(starts)
         logs = np.log10((counts + 0.1) / 0.1 * floor)
         known: dict[bytes, tuple[float, bool]] = {}
@@ -328,7 +328,7 @@ def _documents(depth: int, train_tokens: int, distinct: int, ends: int):
                     lists += [keys[order], values[order]]
                 yield of_block(from_ipc(packed), *lists)
             else:
-                held[kind].append((unpack_keys(packed), unpack_values(vals)))
+                held[kind].append((unpack_keys(packed), unpack_values(vals, np.float32 if kind == _GRAMS else np.float64)))
 
     return run
 
@@ -349,11 +349,13 @@ def score(docs: DataFrame, learn, depth: int = DEPTH, doc_id: str = "doc_id", te
     mixture of the estimates of all depths by these weights, as they stand after
     training; where a context is new to training, the deepest one that is not
     takes what weight is left. For each decision the chances of 0 and 1 add up
-    to 1, so those of all texts do.
+    to 1, so those of all texts do. A byte's logarithm is sent to the blocks as a
+    32-bit number, so a score is exact to about seven digits.
 
     Counts are of all rows. Every block of documents lists its distinct contexts
     (with the byte that follows), equal ones are added up, trees are worked out
-    below CUT bytes in one task a subtree (what follows one three-byte context), and
+    below CUT bytes in one task a subtree (what follows one three-byte context:
+    2^24 keys at most for five bytes), and
     above it by the latest byte. Only the nodes of one-byte contexts (65 280 at
     most) reach the driver. Each block then gets the probabilities of its own
     contexts. Nothing grows with one key: an entry comes once a block.
@@ -382,8 +384,9 @@ def score(docs: DataFrame, learn, depth: int = DEPTH, doc_id: str = "doc_id", te
     root = _root(nodes.repartition(min(n, 256), "bucket").mapInArrow(trimmed(_first_bytes), nodes.schema).collect())
     carry = by_bucket(nodes, _down_to_cut(root, n), min(n, 256))
     answers = by_bucket(added.where(F.col("kind") == _GRAMS).union(carry), _scored(depth, n), n)
-    grams_back = by_bucket(answers.union(lists.where(F.col("kind") == _GRAMS)), lambda b: answered(_ANSWER, b), n)
-    words_back = by_bucket(added.where(F.col("kind") == _ANSWER).union(lists.where(F.col("kind") == _WORDS)), lambda b: answered(_ANSWER, b), n)
+    asked = lists.withColumn("vals", F.lit(None).cast("binary"))
+    grams_back = by_bucket(answers.union(asked.where(F.col("kind") == _GRAMS)), lambda b: answered(_ANSWER, b, np.float32), n)
+    words_back = by_bucket(added.where(F.col("kind") == _ANSWER).union(asked.where(F.col("kind") == _WORDS)), lambda b: answered(_ANSWER, b), n)
     whole = grams_back.union(words_back).union(listed.where(F.col("kind") == _DOCS))
     return by_block(whole, _documents(depth, words + ends, distinct + (ends > 0), ends), n, _SCORES).withColumn("bits_per_byte", -F.col("score") * math.log2(10) / (F.col("n_bytes") + 1))
 
