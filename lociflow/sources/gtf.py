@@ -1,10 +1,28 @@
-"""GTF text to a table clustered by position."""
+"""GTF text: plain, as a table clustered by position, and as block-gzip files with tabix indexes."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..operators.annotations import parse_gtf
+from . import bgzf
+from .commit import FolderWriter, holding, listed
+from .folders import scratch
+from .ranges import is_web, read_range, storage
+
+#: Bytes of text of a file that a folder is written in, and compressed bytes of a file that one task reads.
+UNIT, RUN = 16 << 20, 4 << 20
+#: What a file's place in its folder is multiplied by to number its lines.
+_FILE = 1 << 44
+_LINE = "chrom string, start int, end int, value string, ord bigint"
 
 
 def read_gtf(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -15,3 +33,214 @@ def read_gtf(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
 def write_clustered(records: DataFrame, path: str, partitions: int | None = None) -> None:
     """Parquet in (chrom, start) order; a region query then reads few row groups."""
     records.repartitionByRange(*([partitions] if partitions else []), "chrom", "start").sortWithinPartitions("chrom", "start", "ord").write.mode("overwrite").parquet(path)
+
+
+def read_indexed(spark: SparkSession, path: str, chrom: str | None = None, start: int = 0, end: int | None = None, strict: bool = True) -> DataFrame:
+    """Records of a block-gzip file with its index beside it (.tbi), or of a folder that write_indexed made.
+
+    With a chromosome, those that share a base with the 0-based half-open range:
+    only members that the index names are read, and of a folder only files whose
+    part of the genome meets the range.
+    """
+    told = {"path": path, "start": start, "end": end if end is not None else (1 << 31) - 1} | ({"chrom": chrom} if chrom is not None else {})
+    return parse_gtf(spark.read.format("indexed_gtf").options(**told).load().select("value", "ord"), strict)
+
+
+def gtf_line(attributes: str = "attributes"):
+    """A record as a GTF line; absent fields are dots. Attributes that hold a quote or a semicolon can't be told apart when read."""
+    pairs = F.transform(F.map_entries(attributes), lambda x: F.concat(x["key"], F.lit(' "'), x["value"], F.lit('";')))
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in ("chrom", "source", "feature", "start", "end", "score", "strand", "frame")]
+    return F.concat_ws("\t", *fields, F.array_join(F.filter(pairs, lambda p: p.isNotNull()), " "))
+
+
+def write_indexed(records: DataFrame, path: str, unit: int = UNIT, partitions: int | None = None) -> None:
+    """Writes records as a folder of block-gzip files with indexes, in the order of chrom, start, end and ord.
+
+    Records are sorted by ranges; each then knows how many bytes of text stand
+    before it, and every `unit` bytes are a file. So the files' bytes depend on
+    the records alone and not on how they were dealt to tasks, and a position
+    that very many records share is several files. Records without a chromosome,
+    start or end are left out. Files count when all are written (see commit).
+    """
+    spark = records.sparkSession
+    register(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = ["chrom", "start", "end", "ord", "value"]
+    lines = records.where("chrom IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL").select("chrom", "start", "end", gtf_line().alias("value"), F.col("ord").cast("bigint").alias("ord"))
+    kept = scratch(spark, "gtf")
+    lines.repartitionByRange(n, *key).sortWithinPartitions(*key).mapInArrow(_measured, f"{_LINE}, task int, before bigint").write.parquet(kept)
+    sizes = spark.read.parquet(kept).groupBy("task").agg(F.max(F.col("before") + F.octet_length("value") + 1).alias("size"))
+    bases, base = [(-1, 0)], 0
+    for r in sizes.orderBy("task").collect():  # a number a task
+        bases.append((r["task"], base))
+        base += r["size"]
+    placed = spark.read.parquet(kept).join(F.broadcast(spark.createDataFrame(bases, "task int, base bigint")), "task")
+    whole = placed.withColumn("at", F.col("base") + F.col("before")).withColumn("unit", F.expr(f"at div {unit}"))
+    whole.repartition(n, "unit").sortWithinPartitions("unit", "at").select("chrom", "start", "end", "value", F.col("unit").alias("ord")).write.format("indexed_gtf").mode("overwrite").save(path)
+
+
+def _measured(batches):
+    """Each line with its task and the bytes of text that stand before it there."""
+    task, done = TaskContext.get().partitionId(), 0
+    for b in batches:
+        sizes = np.array([len(x) for x in b.column(3).cast(pa.binary()).to_pylist()], np.int64) + 1
+        before = done + np.cumsum(sizes) - sizes
+        done += int(sizes.sum())
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(b), task, np.int32)), pa.array(before)], names=[*b.schema.names, "task", "before"])
+
+
+def join_parts(spark: SparkSession, folder: str, file: str) -> DataFrame:
+    """Copies a folder's files one after another into one file with one index, in one task that holds a file and the index: (path, bytes)."""
+    names = [f["name"] for f in listed(folder)]
+
+    def copy(batches):
+        for _ in batches:
+            index, done = bgzf.Index(), 0
+            store, base = storage(file)
+            with store.open_output_stream(base, compression=None) as out:
+                for name in names:
+                    data = _whole(f"{folder}/{name}").removesuffix(bgzf.END)
+                    index.append(bgzf.Index.parse(_whole(f"{folder}/{name}.tbi")), done)
+                    out.write(data)
+                    done += len(data)
+                out.write(bgzf.END)
+            with store.open_output_stream(base + ".tbi", compression=None) as out:
+                out.write(index.packed())
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([done + len(bgzf.END)])], names=["path", "bytes"])
+
+    return spark.range(1, numPartitions=1).mapInArrow(copy, "path string, bytes bigint")
+
+
+def _whole(path: str) -> bytes:
+    if is_web(path):
+        return read_range(path, 0, 1 << 30, short=True)
+    store, base = storage(path)
+    with store.open_input_stream(base, compression=None) as f:
+        return f.read()
+
+
+@dataclass
+class Stretch(InputPartition):
+    """Part of a file, or (chunks None) what its own index says."""
+
+    path: str
+    rank: int
+    chunks: list | None
+
+
+class IndexedReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.path, self.chrom = options["path"].rstrip("/"), options.get("chrom")
+        self.lo, self.hi = int(options.get("start", 0)), int(options.get("end", (1 << 31) - 1))
+
+    def _chunks(self, index: bgzf.Index) -> list[tuple[int, int | None]]:
+        return index.cuts(RUN) if self.chrom is None else index.chunks(self.chrom, self.lo, self.hi)
+
+    def partitions(self):
+        files = listed(self.path)
+        if files is not None:
+            ranks = {f["name"]: i for i, f in enumerate(files)}
+            return [Stretch(f"{self.path}/{f['name']}", ranks[f["name"]], None) for f in holding(files, self.chrom, self.lo, self.hi)]
+        index = bgzf.Index.parse(_whole(self.path + ".tbi"))
+        out: list[Stretch] = []
+        size = 0
+        for begin, stop in self._chunks(index):
+            own = RUN if stop is None else (stop >> 16) - (begin >> 16)
+            if not out or size + own > RUN:
+                out.append(Stretch(self.path, 0, []))
+                size = 0
+            out[-1].chunks.append((begin, stop))
+            size += own
+        return out
+
+    def read(self, partition):
+        if partition is None:
+            return
+        chunks = partition.chunks
+        if chunks is None:
+            chunks = [(0, None)] if self.chrom is None else self._chunks(bgzf.Index.parse(_whole(partition.path + ".tbi")))
+        rows: list[tuple] = []
+        for begin, stop in chunks:
+            for at, line in bgzf.lines_between(partition.path, begin, stop):
+                if not line or line.startswith(b"#"):
+                    continue
+                chrom, _, _, start, end = line.split(b"\t", 5)[:5]
+                start, end = int(start), int(end)
+                if self.chrom is not None and (chrom.decode() != self.chrom or start - 1 >= self.hi or end <= self.lo):
+                    continue
+                rows.append((chrom.decode(), start, end, line.decode(), partition.rank * _FILE + at))
+                if len(rows) == 4096:
+                    yield self._batch(rows)
+                    rows = []
+        if rows:
+            yield self._batch(rows)
+
+    @staticmethod
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["chrom", "start", "end", "value", "ord"])
+
+
+class PushedIndexedReader(IndexedReader):
+    """Narrows the range by filters on chrom, start and end; Spark still applies them to the rows."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("chrom",):
+                self.chrom = f.value
+            elif isinstance(f, (LessThan, LessThanOrEqual)) and f.attribute == ("start",):
+                self.hi = min(self.hi, f.value)
+            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)) and f.attribute in (("start",), ("end",)):
+                self.lo = max(self.lo, f.value - 1)
+            yield f
+
+
+class IndexedWriter(FolderWriter):
+    """A file for each number in ord, of lines that come in order."""
+
+    def files(self, batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held: list[pa.RecordBatch] = []
+        for whole in batches:
+            unit = whole.column(4).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(unit)) + 1).tolist(), len(unit)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b > a:
+                    if held and held[-1].column(4)[0].as_py() != int(unit[a]):
+                        yield self._file(held)
+                        held = []
+                    held.append(whole.slice(a, b - a))
+        if held:
+            yield self._file(held)
+
+    def _file(self, held: list[pa.RecordBatch]) -> dict:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        chroms, start, end = rows.column(0).to_pylist(), rows.column(1).to_numpy().astype(np.int64) - 1, rows.column(2).to_numpy().astype(np.int64)
+        end = np.maximum(end, start + 1)
+        data, index = bgzf.parted([x.encode() for x in rows.column(3).to_pylist()], chroms, start, end)
+        name = self.fresh()
+        store, base = storage(self.path)
+        for more, content in (("", data + bgzf.END), (".tbi", index.packed())):
+            with store.open_output_stream(f"{base}/{name}{more}", compression=None) as f:
+                f.write(content)
+        of = np.array(chroms)
+        zones = {c: [int(start[of == c].min()), int(end[of == c].max())] for c in index.bins}
+        return {"name": name, "records": len(chroms), "first": [chroms[0], int(start[0])], "unit": rows.column(4)[0].as_py(), "zones": zones}
+
+
+class IndexedGtfSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "indexed_gtf"
+
+    def schema(self):
+        return _LINE
+
+    def reader(self, schema):
+        return (PushedIndexedReader if self.options.get("pushdown", "false") == "true" else IndexedReader)(dict(self.options))
+
+    def writer(self, schema, overwrite):
+        return IndexedWriter(self.options["path"], ".gtf.gz", overwrite)
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(IndexedGtfSource)
