@@ -11,7 +11,7 @@ from .operators import annotations, intervals, layout, pyramid, resample
 from .operators import signal as signals
 from .plans.browser import union_tracks
 from .plans.semantic_cache import cache_stats
-from .sources import bigwriter, folders, register
+from .sources import bigwriter, folders, gtf, regions, register
 from .streaming import limits
 
 QUERIES: dict = {}
@@ -355,7 +355,7 @@ def _bigwig(spark, sf_dir, **options) -> DataFrame:
     """The signal written as bigWig files by tasks, read again."""
     register(spark)
     path = folders.scratch(spark, "bigwig")
-    bigwriter.write_bigwig(T.signal(spark, sf_dir), path, REDUCTIONS[1:3]).write.format("noop").mode("overwrite").save()
+    bigwriter.write_bigwig(T.signal(spark, sf_dir), path, REDUCTIONS[1:3])
     return spark.read.format("bigwig").options(**options).load(path)
 
 
@@ -394,11 +394,99 @@ def bigbed_round_trip(spark, sf_dir):
     """Features written as bigBed files by tasks, read again and parsed."""
     register(spark)
     path = folders.scratch(spark, "bigbed")
-    bigwriter.write_bigbed(T.features(spark, sf_dir).select("chr", "start", "end", "rest"), path).write.format("noop").mode("overwrite").save()
+    bigwriter.write_bigbed(T.features(spark, sf_dir), path)
     got = parsing.with_ccre_columns(spark.read.format("bigbed").load(path))
     return _spans(got, "rest", "name", *(F.col(c).cast("bigint").alias(c) for c in ("score", "thick_start", "thick_end")), "strand", "color", "class")
 
 
+@query(f"""WITH {_SIG}, q AS (SELECT o_orderkey, 'chr' || (o_custkey % 22 + 1) AS chr, o_orderkey * 7919 % 2000000 AS lo, o_orderkey * 7919 % 2000000 + 500 + o_orderkey % 2000 AS hi FROM orders)
+SELECT o_orderkey, count(*) AS n, min(s)::BIGINT AS first_start, max(v)::DOUBLE AS max_val FROM q JOIN sig ON sig.chr = q.chr AND s < hi AND e >= lo GROUP BY o_orderkey""")
+def bigwig_many_regions(spark, sf_dir):
+    """A region for each order against the files of the signal: indexes as a table, each block that any region needs fetched once."""
+    register(spark)
+    path = folders.scratch(spark, "bigwig")
+    bigwriter.write_bigwig(T.signal(spark, sf_dir), path)
+    lo = F.col("o_orderkey") * 7919 % 2_000_000
+    asked = T.read(spark, sf_dir, "orders").select("o_orderkey", T.chrom_of("o_custkey").alias("chr"), lo.alias("start"), (lo + 500 + F.col("o_orderkey") % 2000).alias("end"))
+    got = regions.records_of_regions(asked, "bigwig", path)
+    return got.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.min("r_start").cast("bigint").alias("first_start"), F.max("r_value").cast("double").alias("max_val"))
+
+
+@query(f"WITH {_SIG} SELECT chr, s AS start_pos, e AS end_pos, v::DOUBLE AS value FROM sig")
+def bigwig_one_file(spark, sf_dir):
+    """The whole signal as one file of all chromosomes, made by many tasks, read again."""
+    register(spark)
+    path = folders.scratch(spark, "one") + ".bw"
+    bigwriter.write_one_bigwig(T.signal(spark, sf_dir), path, REDUCTIONS[1:3], fan=16, chrom_fan=8)
+    return _spans(spark.read.format("bigwig").load(path), _value())
+
+
+@query(f"""WITH {_SIG}, z AS (SELECT chr, unnest(range(s // {REDUCTIONS[1]}, (e - 1) // {REDUCTIONS[1]} + 1)) AS bin, s, e, v FROM sig)
+SELECT chr, bin * {REDUCTIONS[1]} AS start_pos, sum(least(e, (bin + 1) * {REDUCTIONS[1]}) - greatest(s, bin * {REDUCTIONS[1]}))::BIGINT AS valid_count, min(v)::DOUBLE AS min_val, max(v)::DOUBLE AS max_val FROM z GROUP BY ALL""")
+def bigwig_one_file_zoom(spark, sf_dir):
+    """A zoom level of that file, in which each bin comes once."""
+    register(spark)
+    path = folders.scratch(spark, "one") + ".bw"
+    bigwriter.write_one_bigwig(T.signal(spark, sf_dir), path, REDUCTIONS[1:3], fan=16, chrom_fan=8)
+    rows = spark.read.format("bigwig").option("zoom", 1).load(path)  # levels are numbered from the last in the file
+    return rows.select("chr", F.col("start").cast("bigint").alias("start_pos"), "valid_count", F.col("min").cast("double").alias("min_val"), F.col("max").cast("double").alias("max_val"))
+
+
+@query("""WITH p AS (SELECT 'chr' || (l_suppkey % 22 + 1) AS chr, l_partkey AS k, sum(floor(l_quantity)::BIGINT)::BIGINT AS n FROM lineitem GROUP BY ALL)
+SELECT chr, k * 10 AS start_pos, k * 10 + 5 + (CASE WHEN k % 1000 < 100 THEN k % 3 ELSE 0 END) AS end_pos, n::DOUBLE AS value FROM p WHERE k % 1000 >= 100 OR k % 7 > 1""")
+def bigwig_step_sections(spark, sf_dir):
+    """Supplies by part as a signal of fixed steps, equal spans and other ranges, which are sections of their own kinds, written and read again."""
+    register(spark)
+    path, k = folders.scratch(spark, "steps"), F.col("k")
+    parts = T.features(spark, sf_dir).groupBy("chr", F.col("l_partkey").cast("bigint").alias("k")).agg(F.sum(F.col("end") - F.col("start")).alias("n"))
+    odd = k % 1000 < 100
+    rows = parts.where(~odd | (k % 7 > 1)).select("chr", (k * 10).alias("start"), (k * 10 + 5 + F.when(odd, k % 3).otherwise(0)).alias("end"), F.col("n").alias("value"))
+    bigwriter.write_bigwig(rows, path)
+    return _spans(spark.read.format("bigwig").load(path), _value())
+
+
+def _annotated(spark, sf_dir) -> str:
+    """The annotation records as block-gzip files with indexes, written by tasks."""
+    register(spark)
+    path = folders.scratch(spark, "gtf")
+    gtf.write_indexed(T.records(spark, sf_dir), path)
+    return path
+
+
+_RECORD_SQL = f"""{_EXON}, rec AS (SELECT 'chr' || (c_custkey % 22 + 1) AS chrom, 'gene' AS feature, 1::BIGINT AS s, 40000::BIGINT AS e, 'N' || c_custkey AS gene, NULL AS transcript FROM customer
+UNION ALL SELECT 'chr' || (o_custkey % 22 + 1), 'transcript', date_diff('day', DATE '1992-01-01', o_orderdate::DATE) * 10 + 1, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) * 10 + 500, 'N' || o_custkey, 'T' || o_orderkey FROM orders
+UNION ALL SELECT 'chr' || (o_custkey % 22 + 1), k, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) * 10 + 1 + d, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) * 10 + 3 + d, 'N' || o_custkey, 'T' || o_orderkey
+  FROM orders, (VALUES ('start_codon', 10), ('stop_codon', 400)) AS c(k, d) WHERE o_orderstatus = 'F'
+UNION ALL SELECT 'chr' || (o_custkey % 22 + 1), 'exon', s, e, 'N' || o_custkey, 'T' || o_orderkey FROM ex
+UNION ALL SELECT 'chr' || (o_custkey % 22 + 1), CASE l_returnflag WHEN 'R' THEN 'UTR' ELSE 'CDS' END, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) * 10, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) * 10 + floor(l_quantity)::BIGINT, 'N' || o_custkey, 'T' || o_orderkey
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag IN ('R', 'A'))"""
+
+
+def _record_columns(records: DataFrame) -> DataFrame:
+    return records.select("chrom", "feature", F.col("start").cast("bigint").alias("start_pos"), F.col("end").cast("bigint").alias("end_pos"), F.col("attributes")["gene_name"].alias("gene"), F.col("attributes")["transcript_name"].alias("transcript"))
+
+
+@query(f"WITH {_RECORD_SQL} SELECT chrom, feature, s AS start_pos, e AS end_pos, gene, transcript FROM rec WHERE chrom = 'chr7' AND s - 1 < 12000 AND e > 9000")
+def indexed_annotation_region(spark, sf_dir):
+    """A region of the files: only those of the region are planned, and in them only members that the index names are read."""
+    return _record_columns(gtf.read_indexed(spark, _annotated(spark, sf_dir), "chr7", 9000, 12_000))
+
+
+@query(f"WITH {_RECORD_SQL} SELECT chrom, feature, s AS start_pos, e AS end_pos, gene, transcript FROM rec")
+def indexed_annotation_round_trip(spark, sf_dir):
+    """All records written as block-gzip files with indexes, read again and parsed."""
+    return _record_columns(gtf.read_indexed(spark, _annotated(spark, sf_dir)))
+
+
+@query(f"WITH {_RECORD_SQL} SELECT feature, count(*) AS n, sum(s)::BIGINT AS starts FROM rec WHERE chrom = 'chr3' AND s - 1 < 12000 AND e > 9000 GROUP BY feature")
+def indexed_annotation_one_file(spark, sf_dir):
+    """A region of one file with one index, into which the parts that tasks wrote were joined."""
+    path = _annotated(spark, sf_dir)
+    file = f"{path}/joined.gz"
+    gtf.join_parts(spark, path, file).write.format("noop").mode("overwrite").save()
+    return gtf.read_indexed(spark, file, "chr3", 9000, 12_000).groupBy("feature").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
+
+
 def _error_fields(kind: str) -> str:
     bad = "NOT regexp_matches(chrom, '" + predicates.CHROM + "')"
     url = "WHEN url = '' OR url = 'no url' THEN 'url' " if kind == "feature" else ""

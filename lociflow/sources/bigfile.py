@@ -2,13 +2,12 @@
 
 A query's chromosome and range are options or pushed filters; the index is
 walked once on the driver, blocks that do not overlap are never fetched, and
-each partition reads a run of neighbouring blocks in one request.
+each partition reads a run of neighbouring blocks, near ones in one request.
 """
 
 from __future__ import annotations
 
 import struct
-import urllib.request
 import zlib
 from dataclasses import dataclass, field
 
@@ -16,28 +15,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
+from .commit import holding, listed
+from .ranges import is_web, read_many, read_range, stamp, storage
+
 #: Magic numbers of the layout (fixed values).
 SIGNAL_MAGIC, FEATURE_MAGIC, CHROM_MAGIC, INDEX_MAGIC = 0x888FFC26, 0x8789F2EB, 0x78CA8C91, 0x2468ACE0
-HEADER_BYTES, INDEX_HEADER_BYTES, NODE_BYTES, TIMEOUT = 64, 48, 4096, 30
+HEADER_BYTES, INDEX_HEADER_BYTES, NODE_BYTES = 64, 48, 4096
 #: Bytes of neighbouring blocks that one partition reads.
 RUN_BYTES = 4 << 20
 #: Headers that a worker remembers.
 HEADERS = 250
 
 
-def storage(path: str):
-    """(file system, path in it) of a path or URI that pyarrow knows."""
-    from pyarrow import fs
-
-    path = str(path)
-    return fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
-
-
 def files_of(path: str, suffix: str) -> list[str]:
     """The files that a path stands for: itself, or those with the suffix in the folder that it is."""
     from pyarrow import fs
 
-    if path.startswith(("http://", "https://")):
+    if is_web(path):
         return [path]
     store, base = storage(path)
     if store.get_file_info(base).type != fs.FileType.Directory:
@@ -46,49 +40,22 @@ def files_of(path: str, suffix: str) -> list[str]:
     return [f"{path.rstrip('/')}/{name}" for name in found]
 
 
-def read_range(path: str, offset: int, size: int, short: bool = False) -> bytes:
-    """Bytes of a file in any storage that pyarrow opens, or of a server that honours ranges. Fewer bytes raise unless short."""
-    if str(path).startswith(("http://", "https://")):
-        asked = urllib.request.Request(path, headers={"Range": f"bytes={offset}-{offset + size - 1}"})
-        with urllib.request.urlopen(asked, timeout=TIMEOUT) as got:
-            if got.status != 206:
-                raise OSError(f"{path}: the server ignores ranges")
-            data = got.read()
-    else:
-        store, base = storage(path)
-        with store.open_input_file(base) as f:
-            data = f.read_at(min(size, max(f.size() - offset, 0)), offset)
-    if len(data) < size and not short:
-        raise OSError(f"{path}: {len(data)} of {size} bytes at {offset}")
-    return data
-
-
-def _stamp(path: str) -> str:
-    """What changes when the file does: the server's tag or date, else size and time."""
-    if path.startswith(("http://", "https://")):
-        with urllib.request.urlopen(urllib.request.Request(path, method="HEAD"), timeout=TIMEOUT) as got:
-            return got.headers.get("ETag") or got.headers.get("Last-Modified") or ""
-    store, base = storage(path)
-    info = store.get_file_info(base)
-    return f"{info.size} {info.mtime_ns}"
-
-
 _opened: dict[tuple[str, int], tuple[str, BigFile]] = {}
 
 
 def opened(path: str, magic: int) -> BigFile:
     """The file's header and chromosomes, read again only when it has changed; a worker remembers at most HEADERS."""
     try:
-        stamp = _stamp(path)
+        now = stamp(path)
     except OSError:
-        stamp = ""
+        now = ""
     held = _opened.get((path, magic))
-    if held and stamp and held[0] == stamp:
+    if held and now and held[0] == now:
         return held[1]
     if len(_opened) >= HEADERS:
         _opened.clear()
     file = BigFile(path, magic)
-    _opened[path, magic] = (stamp, file)
+    _opened[path, magic] = (now, file)
     return file
 
 
@@ -142,25 +109,32 @@ class BigFile:
 
     def blocks(self, index_at: int, chrom: int | None, lo: int, hi: int) -> list[tuple[int, int]]:
         """(offset, size) of the blocks that overlap the range or end where it begins, in file order."""
-        if self.unpack("I", read_range(self.path, index_at, INDEX_HEADER_BYTES))[0] != INDEX_MAGIC:
+        return sorted((where, size) for _, _, _, _, where, size in self.entries(index_at, chrom, lo, hi))
+
+    def entries(self, index_at: int, chrom: int | None = None, lo: int = 0, hi: int = 1 << 32) -> list[tuple]:
+        """(chrom, base, chrom, base, offset, size) of those blocks; a level's nodes are read together, those that lie near each other in one request."""
+        head = read_range(self.path, index_at, INDEX_HEADER_BYTES)
+        if self.unpack("I", head)[0] != INDEX_MAGIC:
             raise ValueError(f"{self.path}: no index at {index_at}")
-        found, todo = [], [index_at + INDEX_HEADER_BYTES]
-        while todo:
-            at = todo.pop()
-            data = read_range(self.path, at, NODE_BYTES, short=True)
-            leaf, _, count = self.unpack("BBH", data)
-            size = 32 if leaf else 24
-            if len(data) < 4 + count * size:
-                data = read_range(self.path, at, 4 + count * size)
-            for i in range(count):
-                c0, b0, c1, b1, where = self.unpack("IIIIQ", data, 4 + i * size)
-                if chrom is not None and ((c1, b1) < (chrom, lo) or (c0, b0) >= (chrom, hi)):
-                    continue
-                if leaf:
-                    found.append((where, self.unpack("Q", data, 4 + i * size + 24)[0]))
-                else:
-                    todo.append(where)
-        return sorted(found)
+        usual = min(4 + 32 * self.unpack("I", head, 4)[0], NODE_BYTES)
+        found, level = [], [index_at + INDEX_HEADER_BYTES]
+        while level:
+            below: list[int] = []
+            for k, data in read_many(self.path, [(at, usual) for at in level], short=True):
+                leaf, _, count = self.unpack("BBH", data)
+                size = 32 if leaf else 24
+                if len(data) < 4 + count * size:
+                    data = read_range(self.path, level[k], 4 + count * size)
+                for i in range(count):
+                    c0, b0, c1, b1, where = self.unpack("IIIIQ", data, 4 + i * size)
+                    if chrom is not None and ((c1, b1) < (chrom, lo) or (c0, b0) >= (chrom, hi)):
+                        continue
+                    if leaf:
+                        found.append((c0, b0, c1, b1, where, self.unpack("Q", data, 4 + i * size + 24)[0]))
+                    else:
+                        below.append(where)
+            level = below
+        return found
 
     def inflate(self, block: bytes) -> bytes:
         return zlib.decompress(block) if self.buffer > 0 else block
@@ -200,7 +174,7 @@ def feature_rows(f: BigFile, block: bytes):
 _SIGNAL = "chr string, start int, end int, value float"
 _FEATURE = "chr string, start int, end int, rest string"
 _ZOOM = "chr string, start int, end int, value float, valid_count bigint, min float, max float, sum float, sum_squares float"
-_META = {"chroms": "chrom string, id int, size int", "zooms": "level int, reduction int", "summary": "bases_covered bigint, min_val double, max_val double, sum_data double, sum_squares double"}
+_META = {"chroms": "chrom string, id int, size int", "zooms": "level int, reduction int", "blocks": "chr string, start int, end int, path string, at bigint, size bigint", "summary": "bases_covered bigint, min_val double, max_val double, sum_data double, sum_squares double"}
 
 
 @dataclass
@@ -210,7 +184,7 @@ class Run(InputPartition):
 
 
 class BigReader(DataSourceReader):
-    """Reads one file, of which the driver walks the index, or a folder of files, each of which is a task's, index and all."""
+    """Reads one file, of which the driver walks the index, or a folder of files, each of which is a task's, index and all. Of a folder with a list only files of the range are planned."""
 
     def __init__(self, path: str, magic: int, suffix: str, options: dict):
         self.path, self.magic, self.suffix = path, magic, suffix
@@ -222,6 +196,9 @@ class BigReader(DataSourceReader):
         return f.blocks(f.index_at if self.zoom < 0 else f.zooms[self.zoom][1], chrom, self.lo, self.hi)
 
     def partitions(self):
+        known = listed(self.path)
+        if known is not None:
+            return [Run(f"{self.path.rstrip('/')}/{f['name']}", None) for f in holding(known, self.chrom, self.lo, self.hi)]
         files = files_of(self.path, self.suffix)
         if files != [self.path]:
             return [Run(f, None) for f in files]
@@ -240,19 +217,6 @@ class BigReader(DataSourceReader):
             size += block[1]
         return runs
 
-    def _bytes(self, path, blocks):
-        """The blocks' bytes; those that lie side by side come in one request."""
-        at = 0
-        while at < len(blocks):
-            end = at + 1
-            while end < len(blocks) and blocks[end][0] == sum(blocks[end - 1]):
-                end += 1
-            start = blocks[at][0]
-            data = read_range(path, start, sum(blocks[end - 1]) - start)
-            for offset, size in blocks[at:end]:
-                yield data[offset - start : offset - start + size]
-            at = end
-
     def read(self, partition):
         if partition is None:
             return
@@ -264,12 +228,18 @@ class BigReader(DataSourceReader):
         elif self.view == "summary":
             if f.summary:
                 yield f.summary
+        elif self.view == "blocks":
+            names = {i: (n, size) for n, (i, size) in f.chroms.items()}
+            for c0, b0, c1, b1, at, size in f.entries(f.index_at if self.zoom < 0 else f.zooms[self.zoom][1]):
+                for c in range(c0, c1 + 1):  # a block of several chromosomes is a row of each
+                    if c in names:
+                        yield names[c][0], b0 if c == c0 else 0, b1 if c == c1 else names[c][1], partition.path, at, size
         else:
             names = {i: n for n, (i, _) in f.chroms.items()}
             blocks = partition.blocks
             if blocks is None:
                 blocks = self._blocks(f) if self.chrom in (None, *f.chroms) else []
-            for raw in self._bytes(partition.path, blocks):
+            for _, raw in read_many(partition.path, blocks):
                 yield from self._batch(f, names, f.inflate(raw))
 
     def _batch(self, f, names, block):
@@ -320,6 +290,12 @@ class _BigSource(DataSource):
         made = PushedReader if self.options.get("pushdown", "false") == "true" else BigReader
         return made(self.options["path"], self.magic, self.suffix, dict(self.options))
 
+    def writer(self, schema, overwrite):
+        from . import bigwriter
+
+        made = bigwriter.BigWigWriter if self.magic == SIGNAL_MAGIC else bigwriter.BigBedWriter
+        return made(self.options["path"], self.suffix, overwrite, dict(self.options))
+
 
 class BigWigSource(_BigSource):
     magic, suffix, rows = SIGNAL_MAGIC, ".bw", _SIGNAL

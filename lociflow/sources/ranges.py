@@ -120,10 +120,10 @@ def joined(ranges: list[tuple[int, int]], gap: int = GAP, most: int = MOST) -> l
     return [(a, b - a, held) for a, b, held in out]
 
 
-def read_many(path: str, ranges: list[tuple[int, int]], gap: int = GAP, most: int = MOST):
-    """(place in ranges, bytes) of many ranges of a file, in the order of their offsets."""
+def read_many(path: str, ranges: list[tuple[int, int]], gap: int = GAP, most: int = MOST, short: bool = False):
+    """(place in ranges, bytes) of many ranges of a file, in the order of their offsets; short: those at its end may be cut off."""
     for at, size, held in joined(ranges, gap, most):
-        data = read_range(path, at, size)
+        data = read_range(path, at, size, short)
         for i in held:
             yield i, data[ranges[i][0] - at : ranges[i][0] - at + ranges[i][1]]
 
