@@ -149,7 +149,8 @@ def candidates_of(page: str) -> tuple[list[tuple[str, int, bool]], list[tuple[in
     stack: list[_Open] = [_Open("", "", False, False, 0, 0, 0, False, False, False)]
     blocks: list[tuple[str, int, bool]] = []
     trees: list[tuple[int, int, int, int, bool]] = []
-    opened: dict[str, int] = {}
+    opened: dict[str, list[int]] = {}  # places in the stack of the open elements of each tag, and under "" of all blocks
+    lines = opened.setdefault("", [])
     text: list[str] = []
     aside: list[str] = []
     kept = 0
@@ -175,7 +176,9 @@ def candidates_of(page: str) -> tuple[list[tuple[str, int, bool]], list[tuple[in
         elif at.tag in _BLOCK:
             flush(False)
         stack.pop()
-        opened[at.tag] -= 1
+        opened[at.tag].pop()
+        if at.tag in _BLOCK:
+            lines.pop()
         over = stack[-1]
         over.chars += at.chars
         over.linked += at.linked
@@ -209,10 +212,7 @@ def candidates_of(page: str) -> tuple[list[tuple[str, int, bool]], list[tuple[in
         tag, ends, attributes, closed = token
         if ends:
             if opened.get(tag):
-                i = len(stack) - 1
-                while stack[i].tag != tag:
-                    i -= 1
-                close_to(i)
+                close_to(opened[tag][-1])
             continue
         if tag in _VOID:
             (aside if stack[-1].out else text).append(" ")
@@ -220,21 +220,12 @@ def candidates_of(page: str) -> tuple[list[tuple[str, int, bool]], list[tuple[in
                 flush(stack[-1].out)
             continue
         if tag in _BLOCK:
-            if opened.get("p"):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == "p":
-                        close_to(i)
-                    if len(stack) <= i or stack[i].tag in _BLOCK:
-                        break
+            if lines and stack[lines[-1]].tag == "p":
+                close_to(lines[-1])
             if tag in _ENDS:
-                own, bound = _ENDS[tag]
-                if any(opened.get(t) for t in own):
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i].tag in own:
-                            close_to(i)
-                            break
-                        if stack[i].tag in bound:
-                            break
+                own, bound = (max((opened[t][-1] for t in tags if opened.get(t)), default=0) for tags in _ENDS[tag])
+                if own > bound:
+                    close_to(own)
             flush(stack[-1].out)
         over = stack[-1]
         within = 2 if tag == "article" else max(over.within, int(tag == "main"))
@@ -251,7 +242,9 @@ def candidates_of(page: str) -> tuple[list[tuple[str, int, bool]], list[tuple[in
             out = form and tag in _CONTROLS or _is_dropped(tag, attributes)
             heads, lifts = out and tag == "header" and within > 0, out and tag == "form"
         stack.append(_Open(tag, _shape(tag, attributes), out, heads, len(blocks), kept, within, form, lifts, over.link or tag == "a"))
-        opened[tag] = opened.get(tag, 0) + 1
+        opened.setdefault(tag, []).append(len(stack) - 1)
+        if tag in _BLOCK:
+            lines.append(len(stack) - 1)
         if closed and tag not in _BLOCK:
             close()
     close_to(1)
