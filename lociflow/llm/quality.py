@@ -104,19 +104,25 @@ def normal_line(line: Column) -> Column:
     return F.lower(F.trim(F.when(line.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(line, _RUN, " ")).otherwise(line)))
 
 
+def document_number(text: Column) -> Column:
+    """Sixty bits of a text's checksum, the same in SQL."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def apply_rules(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, share: float = SHARE, left: float = LEFT, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """Statistics, the verdict and the cleaned text of every row.
 
     Lines are compared without case and with runs of white space as one space.
     A line is removed where more than least_documents and more than `share` of
     its host's distinct documents hold it; a document of which there are copies
-    counts once, and the host's first document (smallest doc_id) with the line
-    keeps it. The text is what the other lines, blank ones too, give when joined
+    counts once, and the host's first document with the line keeps it: that of the
+    smallest doc_id, rows without one coming last, then of the smallest checksum
+    of its text. The text is what the other lines, blank ones too, give when joined
     again. A document of which less than `left` of the words are left is
     depleted. A null text has no words; a null host is a host of its own;
     repeated rows get the same verdict each; an empty table gives no rows.
 
-    Each line is counted by its 64-bit hash with the document's, first by
+    Each line is counted by its 64-bit hash with sixty bits of the document's, first by
     (host, line, document) and then by (host, line), so that no line's documents
     meet in one task before they are one row a task. A caller that doesn't read
     the cleaned text shuffles no text.
@@ -127,17 +133,18 @@ def apply_rules(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, share:
     """
     body = F.coalesce(F.col(text), F.lit(""))
     key = F.xxhash64(F.col(doc_id), F.col(host), body)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("")).alias("host"), body.alias("text"), F.xxhash64(body).alias("document"), key.alias("row_key"))
-    lines = rows.select("doc_id", "host", "document", "row_key", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(has_word(F.col("line"))).select(
-        "doc_id", "host", "document", "row_key", "at", F.size(words_of(F.col("line"))).alias("words"), F.xxhash64(normal_line(F.col("line"))).alias("line")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("")).alias("host"), body.alias("text"), document_number(body).alias("document"), key.alias("row_key"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), "document")
+    lines = rows.select(rank.alias("rank"), "host", "document", "row_key", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(has_word(F.col("line"))).select(
+        "rank", "host", "document", "row_key", "at", F.size(words_of(F.col("line"))).alias("words"), F.xxhash64(normal_line(F.col("line"))).alias("line")
     )
-    held = lines.groupBy("host", "line", "document").agg(F.min("doc_id").alias("first"))
+    held = lines.groupBy("host", "line", "document").agg(F.min("rank").alias("first"))
     often = held.groupBy("host", "line").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") > least_documents)
     hosts = rows.groupBy("host", "document").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("documents"))
     limits = often.join(hosts, "host").where(F.col("n") > F.col("documents") * share).select("host", "line", "first")
     gone = (
         lines.join(limits, ["host", "line"])
-        .where(~F.col("doc_id").eqNullSafe(F.col("first")))
+        .where(F.col("rank") != F.col("first"))
         .groupBy("row_key")
         .agg(F.collect_set(F.struct("at", "words")).alias("gone"))
     )
@@ -162,16 +169,17 @@ def op3_quality(spark, sf_dir):
 
 
 SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS text,
+  {'none': doc_id IS NULL, 'id': coalesce(doc_id, 0), 'document': ('0x' || md5(coalesce(text, ''))[:15])::BIGINT} AS rank FROM documents),
 w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
 win AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM (
   SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w))),
 rep AS (SELECT r, count(DISTINCT i + k) AS n FROM win, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY r),
-l AS (SELECT r, doc_id, host, text, line FROM (SELECT *, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+l AS (SELECT r, rank, host, text, line FROM (SELECT *, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 ln AS (SELECT *, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l),
-lim AS (SELECT host, norm, min(doc_id) AS first FROM ln JOIN (SELECT host, count(DISTINCT text) AS documents FROM d GROUP BY host) USING (host)
+lim AS (SELECT host, norm, min(rank) AS first FROM ln JOIN (SELECT host, count(DISTINCT text) AS documents FROM d GROUP BY host) USING (host)
   GROUP BY host, norm, documents HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > documents * 0.02),
-gone AS (SELECT r, sum(words) AS n FROM ln JOIN lim USING (host, norm) WHERE doc_id IS DISTINCT FROM first GROUP BY r),
+gone AS (SELECT r, sum(words) AS n FROM ln JOIN lim USING (host, norm) WHERE rank <> first GROUP BY r),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l GROUP BY r),
 s AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
