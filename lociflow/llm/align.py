@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Sums, answered, batch_of, bucket_of, by_block, by_bucket, counted, dealt, in_blocks, pack_keys, pack_values, rows_of, unpack_keys, unpack_values
 from .bpe import byte_symbols
-from .common import Scratch, parts, read, trimmed
+from .common import Scratch, held, parts, read, trimmed
 from .packing import _PLAIN, TokenIds
 
 _DOCS, _PAIRS, _EXACT, _ANSWER = 7, 6, 5, 1
@@ -89,9 +89,8 @@ class TwoVocabularies:
         return [g or [self.space] if o else g[1:] for g, o in zip(got, own, strict=True)]
 
 
-@functools.lru_cache(maxsize=1)
 def vocabularies(byte_level: str, pieces: str) -> TwoVocabularies:
-    return TwoVocabularies(byte_level, pieces)
+    return held(("vocabularies", byte_level, pieces), lambda: TwoVocabularies(byte_level, pieces))
 
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -179,8 +178,8 @@ def _listed(byte_level: str, pieces: str, buckets: int):
         unit, doc_of = (once % max(len(numbers), 1)).astype(np.int64), (once // max(len(numbers), 1)).astype(np.int64)
         starts, n = np.cumsum(found.n_links) - found.n_links, found.n_links[unit]
         at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[unit], n)
-        held, _ = counted((np.repeat(doc_of, n) * max(len(distinct), 1) + place[at]).astype(np.uint64))
-        rows_with = np.bincount((held % max(len(distinct), 1)).astype(np.int64), minlength=len(distinct))
+        linked, _ = counted((np.repeat(doc_of, n) * max(len(distinct), 1) + place[at]).astype(np.uint64))
+        rows_with = np.bincount((linked % max(len(distinct), 1)).astype(np.int64), minlength=len(distinct))
         exact = np.zeros(len(distinct), bool)
         exact[place] = found.exact
         used = rows_with > 0
@@ -250,17 +249,17 @@ def _documents(exact: np.ndarray, best: np.ndarray):
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, columns), pa.array(digests, pa.string())], names=[x.split()[0] for x in _ALIGNED.split(", ")])
 
     def run(batches):
-        at, held = None, []
+        at, got = None, []
         for block, kind, _, packed, vals in rows_of(batches):
             if at != block:
-                at, held = block, []
+                at, got = block, []
             if kind == _DOCS:
-                keys = np.concatenate([k for k, _ in held]) if held else np.zeros(0, np.uint64)
-                counts = np.concatenate([v for _, v in held]) if held else np.zeros(0)
+                keys = np.concatenate([k for k, _ in got]) if got else np.zeros(0, np.uint64)
+                counts = np.concatenate([v for _, v in got]) if got else np.zeros(0)
                 order = np.argsort(keys, kind="stable")
                 yield of_block(packed, keys[order], counts[order].astype(np.int64))
             else:
-                held.append((unpack_keys(packed), unpack_values(vals)))
+                got.append((unpack_keys(packed), unpack_values(vals)))
 
     return run
 

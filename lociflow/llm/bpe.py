@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import held, read
 
 #: Distinct words, and pairs of tokens, that a Python worker remembers.
 WORDS, PAIRS = 400_000, 1_000_000
@@ -202,13 +202,9 @@ _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa0-\u024f\u2013\u2014\u2018-\u201d\u2
 #: ASCII that they do not: to Python, some of these separate words.
 _CONTROL = regex.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 
-_loaded: dict[str, Bpe] = {}
-
 
 def loaded(path: str) -> Bpe:
-    if path not in _loaded:
-        _loaded[path] = Bpe(path)
-    return _loaded[path]
+    return held(("bpe", path), lambda: Bpe(path))
 
 
 def tokenised(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -52,6 +52,18 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_held: dict = {}
+
+
+def held(name: tuple, make):
+    """The thing of that name, made when it is first asked for. A Python process keeps one: workers live on from stage to stage, and what another stage made goes when the next makes its own."""
+    if name not in _held:
+        _held.clear()
+        gc.collect()
+        _held[name] = make()
+    return _held[name]
+
+
 def trimmed(run):
     """run over a task's batches, handing freed memory back at the end, as Python workers live on to the next stage."""
 

@@ -7,13 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read, trimmed
+from .common import held, read, trimmed
 
 #: The bound of the sample that the automata are made from: texts a language that are looked at, shorter ones than
 #: the second number first, and UTF-8 bytes of whole texts that are learned.
 TEXTS, SHORT, BYTES = 64, 2048, 16_384
-#: Symbols of a lane; lanes that step together.
-LANE, LANES = 512, 2048
+#: The most labels that are learned, those of most labelled rows.
+LANGUAGES = 512
+#: Symbols of a lane; lanes that step together; entries of a table that is spread out at a time.
+LANE, LANES, ENTRIES = 512, 1024, 1 << 24
 _FOREIGN, _SPACE, _PAD = 0, 1, 2
 _BREAK = 1 << 30
 
@@ -80,51 +82,82 @@ class Alphabet:
         return s[keep], not space.all()
 
 
+class Moves:
+    """An automaton's transitions as three arrays (from, symbol, to), the root's moves, and its number of states: some ten bytes a transition."""
+
+    def __init__(self, text: np.ndarray):
+        moves = suffix_automaton(text.tolist())
+        self.states = len(moves)
+        size = [len(m) for m in moves]
+        self.at = np.repeat(np.arange(self.states, dtype=np.int32), size)
+        self.symbol = np.fromiter((c for m in moves for c in m), np.int16, len(self.at))
+        self.to = np.fromiter((t for m in moves for t in m.values()), np.int32, len(self.at))
+        inside = self.symbol != _FOREIGN  # no match goes across the end of a labelled text
+        self.at, self.symbol, self.to = self.at[inside], self.symbol[inside], self.to[inside]
+
+    def table(self, width: int) -> np.ndarray:
+        """Rows of states; missing moves lead on from the root and are marked. The last row is before the first phrase, and after a letter that no phrase holds."""
+        dead = self.states
+        root = np.full(width, dead, np.int32)
+        first = self.at == 0
+        root[self.symbol[first]] = self.to[first]
+        out = np.tile(root | _BREAK, (dead + 1, 1))
+        out[self.at, self.symbol] = self.to
+        out[:, _PAD] = np.arange(dead + 1)
+        return out
+
+
 class CrossParser:
     """Counts the phrases in which each language's automaton reads a text.
 
     A phrase is the longest match that starts where the one before it ended, or
     one byte of a letter that the automaton doesn't know. An automaton becomes a
     table whose missing moves lead on from the root and carry a mark that counts
-    a phrase, so that many lanes of text step together. The table has a column
-    for each byte that letters of the samples hold, so its size is bounded by
-    BYTES and the number of languages, whatever their scripts.
+    a phrase, so that many lanes of text step together. A table has a column
+    for each byte that letters of the samples hold. Languages are parsed in
+    groups whose tables have ENTRIES entries at most; where one group is not
+    enough, automata are kept as lists of transitions and spread out by turns.
     """
 
     def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
         lowered = {lang: [t.lower() for t in samples[lang]] for lang in self.langs}
         self.alphabet = Alphabet([t for texts in lowered.values() for t in texts])
-        a = self.alphabet.size
-        tables, self.roots, sizes, states = [], [], [], 0
+        self.moves, sizes = [], []
         for lang in self.langs:
             text = np.concatenate([np.zeros(0, np.int32), *(np.append(self.alphabet.symbols(t)[0], _FOREIGN) for t in lowered[lang])])
             sizes.append(len(text))
-            moves = suffix_automaton(text.tolist())
-            dead = len(moves)  # before the first phrase, and after a letter that no phrase holds
-            root = np.full(a, dead, np.int32)
-            for c, to in moves[0].items():
-                root[c] = to
-            root[_FOREIGN] = dead  # no match goes across the end of a labelled text
-            own = np.tile(root | _BREAK, (dead + 1, 1))
-            for at, out in enumerate(moves):
-                for c, to in out.items():
-                    if c != _FOREIGN:
-                        own[at, c] = to
-            own[:, _PAD] = np.arange(dead + 1)
-            if (states + dead + 1) * a >= _BREAK:
-                raise ValueError("too many languages for one table")
+            self.moves.append(Moves(text))
+        #: First language of each group, and one beyond the last.
+        self.groups, held = [0], 0
+        for i, m in enumerate(self.moves):
+            own = (m.states + 1) * self.alphabet.size
+            if held and held + own > ENTRIES:
+                self.groups.append(i)
+                held = 0
+            held += own
+        self.groups.append(len(self.langs))
+        self.spread = None
+        #: A phrase of a larger sample says where it stands in more bits.
+        self.bits = np.log2(np.array(sizes, np.float64) + 2)
+
+    def _spread(self, group: int) -> None:
+        """Lays out the tables of a group one after another."""
+        if self.spread == group:
+            return
+        self.table = None
+        a, states, tables, self.roots = self.alphabet.size, 0, [], []
+        for m in self.moves[self.groups[group] : self.groups[group + 1]]:
+            own = m.table(a)
             mark = own & np.int32(_BREAK)
             own ^= mark
             own += np.int32(states)
             own *= np.int32(a)
             own |= mark
             tables.append(own)
-            self.roots.append((states + dead) * a)
-            states += dead + 1
-        self.table = np.concatenate([np.zeros((0, a), np.int32), *tables]).ravel()
-        #: A phrase of a larger sample says where it stands in more bits.
-        self.bits = np.log2(np.array(sizes, np.float64) + 2)
+            self.roots.append((states + m.states) * a)
+            states += m.states + 1
+        self.table, self.spread = np.concatenate([np.zeros((0, a), np.int32), *tables]).ravel(), group
 
     def phrases(self, rows: list[np.ndarray]) -> np.ndarray:
         """Phrases of each whole row (rows x languages).
@@ -139,14 +172,15 @@ class CrossParser:
             return out
         by_size = sorted(range(len(rows)), key=lambda i: len(rows[i]))
         lanes = [(i, rows[i][at : at + LANE]) for i in by_size for at in range(0, len(rows[i]), LANE)]
-        carried = None
-        for at in range(0, len(lanes), LANES):
-            some = lanes[at : at + LANES]
-            owner = np.array([i for i, _ in some])
-            goes_on = at > 0 and lanes[at - 1][0] == owner[0]
-            count, ends = self._lanes([r for _, r in some], owner, carried if goes_on else None)
-            carried = ends
-            np.add.at(out, owner, count.T)
+        for group, (first, last) in enumerate(zip(self.groups[:-1], self.groups[1:], strict=True)):
+            self._spread(group)
+            carried = None
+            for at in range(0, len(lanes), LANES):
+                some = lanes[at : at + LANES]
+                owner = np.array([i for i, _ in some])
+                goes_on = at > 0 and lanes[at - 1][0] == owner[0]
+                count, carried = self._lanes([r for _, r in some], owner, carried if goes_on else None)
+                np.add.at(out[:, first:last], owner, count.T)
         return out
 
     def _lanes(self, some: list[np.ndarray], owner: np.ndarray, carried: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -205,26 +239,22 @@ class CrossParser:
         return out
 
 
-_made: dict[int, CrossParser] = {}
-
-
 def parser_of(samples: dict[str, list[str]]) -> CrossParser:
     key = hash(tuple((k, tuple(v)) for k, v in sorted(samples.items())))
-    if key not in _made:
-        _made.clear()
-        _made[key] = CrossParser(samples)
-    return _made[key]
+    return held(("language", key), lambda: CrossParser(samples))
 
 
-def labelled_sample(labelled: DataFrame, doc_id: str, text: str, lang: str, texts: int = TEXTS, short: int = SHORT, size: int = BYTES) -> dict[str, list[str]]:
-    """For each language whole texts of at most `size` UTF-8 bytes in all, from the `texts` rows that come first: those of up to `short` characters, then by a hash.
+def labelled_sample(labelled: DataFrame, doc_id: str, text: str, lang: str, texts: int = TEXTS, short: int = SHORT, size: int = BYTES, languages: int = LANGUAGES) -> dict[str, list[str]]:
+    """For each language (of at most `languages`, those of most labelled rows, then by name) whole texts of at most `size` UTF-8 bytes in all, from the `texts` rows that come first: those of up to `short` characters, then by a hash.
 
     A text that does not fit into what is left is passed over; where not even one fits, the first is cut.
     """
     h = F.xxhash64(F.col(doc_id), F.col(text))
     first = Window.partitionBy("lang").orderBy("long", "h", "text")
+    usable = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0))
+    known = [r["lang"] for r in usable.groupBy(F.col(lang).alias("lang")).count().orderBy(F.col("count").desc(), "lang").limit(languages).collect()]
     rows = (
-        labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0))
+        usable.where(F.col(lang).isin(known))
         .select(F.col(lang).alias("lang"), F.col(text).alias("text"), h.alias("h"), (F.length(text) > short).alias("long"))
         .withColumn("n", F.row_number().over(first))
         .where(F.col("n") <= texts)
@@ -265,13 +295,11 @@ def identify(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text:
 
     def run(batches):
         parser = parser_of(samples)
-        for batch in batches:
-            got = []
-            texts = batch.column(at).to_pylist()
-            for k in range(0, len(texts), 1024):
-                got += parser.predict(texts[k : k + 1024])
-            lang_pred, score, rate = zip(*got, strict=True) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang_pred, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=schema.names)
+        for whole in batches:
+            for k in range(0, len(whole), 1024):
+                batch = whole.slice(k, 1024)
+                lang_pred, score, rate = zip(*parser.predict(batch.column(at).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang_pred, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=schema.names)
 
     return kept.mapInArrow(trimmed(run), schema)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, read, trimmed
+from .common import Scratch, held, read, trimmed
 from .graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -33,16 +33,16 @@ _rng = np.random.default_rng(20240229)
 _PLACES = _rng.integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 _TIMES = _rng.integers(0, 1 << 31, TREES * LEVELS, np.uint32) * np.uint32(2) + np.uint32(1)
 _PLUS = _rng.integers(0, 1 << 32, TREES * LEVELS, np.uint32)
-_powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(int(base))
+    powers = held(("powers",), dict)
+    have = powers.get(int(base))
     if have is None or len(have) < n:
         size = max(n, _CHUNK + (1 << 16))
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
-        have = _powers[int(base)] = np.multiply.accumulate(steps)
+        have = powers[int(base)] = np.multiply.accumulate(steps)
     return have[:n]
 
 

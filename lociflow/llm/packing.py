@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
-from .common import Scratch, parts, pieces_of, read, trimmed
+from .common import Scratch, held, parts, pieces_of, read, trimmed
 
 #: How the byte-level vocabulary splits a text before its merges (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -64,13 +64,8 @@ class TokenIds:
         return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
 
 
-_loaded: dict[str, TokenIds] = {}
-
-
 def token_ids(path: str) -> TokenIds:
-    if path not in _loaded:
-        _loaded[path] = TokenIds(path)
-    return _loaded[path]
+    return held(("token_ids", path), lambda: TokenIds(path))
 
 
 def cut(n: int, room: int) -> list[tuple[int, int]]:
