@@ -24,14 +24,25 @@ LEAST_PHRASE = 2.0
 ORACLE_SQL = None
 
 
+def keeping(docs: DataFrame, names: set[str], stage) -> DataFrame:
+    """stage(docs) with the columns of docs, of which those that an operator would replace by its own (names) are set aside meanwhile."""
+    aside = {c: fresh(docs, f"{c}_of_caller") for c in docs.columns if c.lower() in names}
+    return stage(docs.withColumnsRenamed(aside)).select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter (null and empty ones too) and texts that no learned language reads.
 
     A row without a lang is not learned from; rows are independent, so repeated
-    ones go or stay alike.
+    ones go or stay alike. Columns of any other name, those of the operator's own
+    results too, stay as they are; so in all stages.
     """
-    got = identify(docs, docs.where(~held_out(F.col("doc_id"))))
-    return got.where((F.col("lang_pred") != "und") & (F.col("phrase_rate") <= 1 / LEAST_PHRASE)).select(*docs.columns)
+
+    def stage(rows: DataFrame) -> DataFrame:
+        got = identify(rows, rows.where(~held_out(F.col("doc_id"))))
+        return got.where((F.col("lang_pred") != "und") & (F.col("phrase_rate") <= 1 / LEAST_PHRASE))
+
+    return keeping(docs, {"lang_pred", "score", "phrase_rate"}, stage)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,9 +77,13 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     left of such a character goes too. A text in which nothing repeats stays as
     it is, a null one too.
     """
-    cut = remove_repeats(docs, as_text=True)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return cut.where((F.col("n_removed") == 0) | (F.length("kept") > 0)).select(*((text if c == "text" else F.length(text).cast("long") if c == "n_chars" else F.col(c)).alias(c) for c in docs.columns))
+
+    def stage(rows: DataFrame) -> DataFrame:
+        cut = remove_repeats(rows, as_text=True)
+        text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+        return cut.where((F.col("n_removed") == 0) | (F.length("kept") > 0)).withColumns({"text": text, "n_chars": F.length(text).cast("long")})
+
+    return keeping(docs, {"n_bytes", "n_removed", "n_spans", "kept"}, stage)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
