@@ -29,6 +29,8 @@ _OTHER_SPACE = re.compile(r"[^\S \n\t]|᠎")
 _UNIT = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+")
 #: Ids of the second vocabulary are below this.
 _B = 1 << 20
+#: UTF-8 bytes of a block's texts: of the distinct units of so many the tokens are held at a time.
+SIZE = 6 << 20
 
 
 class TwoVocabularies:
@@ -60,6 +62,7 @@ class TwoVocabularies:
         real = [p for i, p in enumerate(pieces) if not self.b.is_byte(i) and len(p) > 1]
         self.cuts = not any("▁" in p.lstrip("▁") for p in real) and not any(c in p for p in real for c in _GAPS[1:])
         self.space = self.b.piece_to_id("▁")
+        self.names = list(map(str, range(max(len(self.a_bytes), size))))
 
     @functools.cached_property
     def lib(self):
@@ -110,6 +113,7 @@ class Aligned:
         self.good = np.array([b"".join(map(spell_a, a)) == r and b"".join(map(spell_b, b)) == r for a, b, r in zip(a_lists, b_lists, raw, strict=True)], bool)
         a_lists, b_lists = ([x if g else [] for x, g in zip(own, self.good, strict=True)] for own in (a_lists, b_lists))
         (a, n_a), (b, n_b) = _flat(a_lists), _flat(b_lists)
+        del a_lists, b_lists, raw
         n = len(units)
         a_end, b_end = np.cumsum(both.a_size[a]), np.cumsum(both.b_size[b])
         unit = np.repeat(np.arange(n), n_a)
@@ -127,13 +131,12 @@ class Aligned:
         self.pairs = (self.pair_a * _B + pair_b).astype(np.uint64)
         b_ends = np.zeros(len(b), bool)
         b_ends[meet[ends]] = True
-        self.texts = self._texts(a, b, n_a, n_b, ends.tolist(), b_ends.tolist())
+        self.texts = self._texts(both.names.__getitem__, a.tolist(), b.tolist(), n_a, n_b, ends.tolist(), b_ends.tolist())
 
     @staticmethod
-    def _texts(a, b, n_a, n_b, a_ends, b_ends) -> list[str]:
+    def _texts(name, a, b, n_a, n_b, a_ends, b_ends) -> list[str]:
         """`a1,a2|b1;a3|b2,b3` of each unit."""
         out, i, j = [], 0, 0
-        a, b = list(map(str, a.tolist())), list(map(str, b.tolist()))
         for size_a, size_b in zip(n_a.tolist(), n_b.tolist(), strict=True):
             groups, stop = [], i + size_a
             while i < stop:
@@ -143,7 +146,7 @@ class Aligned:
                 while not b_ends[j]:
                     j += 1
                 i, j = i + 1, j + 1
-                groups.append(f"{a[i0]}|{b[j0]}" if i - i0 == j - j0 == 1 else f"{','.join(a[i0:i])}|{','.join(b[j0:j])}")
+                groups.append(f"{a[i0]}|{b[j0]}" if i - i0 == j - j0 == 1 else f"{','.join(map(name, a[i0:i]))}|{','.join(map(name, b[j0:j]))}")
             out.append(";".join(groups))
         return out
 
@@ -290,7 +293,7 @@ def align(docs: DataFrame, byte_level: str, pieces: str, doc_id: str = "doc_id",
     disk, n = Scratch(spark, "align"), parts(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     order = ["block", "kind", "bucket", "keys", "vals"]
-    listed = disk.write(in_blocks(rows, "text", _listed(byte_level, pieces, n)), "blocks", by="kind").select(order)
+    listed = disk.write(in_blocks(rows, "text", _listed(byte_level, pieces, n), SIZE), "blocks", by="kind").select(order)
     pairs = listed.where(F.col("kind") == _PAIRS)
     answers = disk.write(by_bucket(pairs, _pair_sums(n), n), "pairs").select(order)
     width = len(vocabularies(byte_level, pieces).a_bytes)
