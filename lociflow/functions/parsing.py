@@ -80,3 +80,19 @@ def client_key(forwarded: Column, real_ip: Column, remote: Column) -> Column:
     """The first forwarded address, else the proxy's, else the peer's without its port."""
     present = lambda c: F.coalesce(c, F.lit("")) != ""
     return F.when(present(forwarded), F.trim(F.split(forwarded, ",")[0])).when(present(real_ip), real_ip).otherwise(F.regexp_replace(F.coalesce(remote, F.lit("")), r":[^:]*$", ""))
+
+
+def region_text(chrom: Column, start: Column, end: Column) -> Column:
+    """"chr:start-end", which parse_region reads."""
+    return F.concat(chrom, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"))
+
+
+def track_key(url: Column, chrom: Column, level: Column) -> Column:
+    """The name under which a track's rows of a chromosome are kept: "url-chrom" at full resolution (a level below 0 or null), "url-chrom-zoomN" at level N."""
+    return F.concat_ws("-", url, chrom, F.when(level >= 0, F.concat(F.lit("zoom"), level.cast("string"))))
+
+
+def hex_id(of: Column | None = None) -> Column:
+    """Sixteen hexadecimal digits in four groups: at random, or the same for the same value of a column."""
+    digits = F.md5(of.cast("string").cast("binary")) if of is not None else F.replace(F.expr("uuid()"), F.lit("-"), F.lit(""))
+    return F.concat_ws("-", *(F.substring(digits, i, 4) for i in (1, 5, 9, 13)))

@@ -22,6 +22,9 @@ def _first(rules) -> Column:
     return out
 
 
+# The texts of messages below are what clients of the service match on (fixed values).
+
+
 def region_rules(chrom: Column, start: Column, end: Column) -> list:
     return [
         _rule("chrom", F.coalesce(chrom, F.lit("")) == "", "chrom is required"),

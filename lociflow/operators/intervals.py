@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .cells import WIDTH, join_cells, line, with_cell, within
 
+
 def with_reach(df: DataFrame, keys: list[str], start: str, end: str, width: int) -> DataFrame:
     """df with `__cell` and `__carry`, the largest end of all records of earlier cells (null in the first)."""
     placed = with_cell(df, start, width)
@@ -46,19 +47,40 @@ def merge(df: DataFrame, keys: list[str], start: str = "start", end: str = "end"
     return pieces.where("NOT __open").select(*keys, F.col("__s").alias(start), F.col("__e").alias(end), "n").unionByName(joined)
 
 
-def remainder(requests: DataFrame, covered: DataFrame, keys: list[str], request: str, start: str = "start", end: str = "end") -> DataFrame:
+#: Widths of the bins in which requests and gaps meet.
+WIDTHS = [1 << 6, 1 << 10, 1 << 14, 1 << 18, 1 << 22, 1 << 26]
+
+
+def gaps(covered: DataFrame, keys: list[str], start: str = "start", end: str = "end", width: int = WIDTH) -> DataFrame:
+    """What lies between the covered ranges of each line: keys, start, end. The next range is looked for in a union's cell and then in the next cell that has any."""
+    unions = with_cell(merge(covered.where(F.col(start) < F.col(end)), keys, start, end, width), start, width)
+    firsts = unions.groupBy(*keys, "__cell").agg(F.min(start).alias("__first"))
+    ahead = firsts.select(*keys, "__cell", F.lead("__first").over(line(keys)).alias("__next"))
+    following = F.coalesce(F.lead(start).over(within(keys, start)), "__next")
+    return join_cells(unions, ahead, keys).select(*keys, F.col(end).alias(start), following.alias(end)).where(F.col(end).isNotNull())
+
+
+def remainder(requests: DataFrame, covered: DataFrame, keys: list[str], request: str, start: str = "start", end: str = "end", width: int = WIDTH) -> DataFrame:
     """The parts of each request that no covered range of its keys holds: request, start, end.
 
-    Covered ranges are clipped to the request; two empty ranges stand at its
-    ends; a gap is where a range starts beyond all before it.
+    They are the request's meets with the gaps between the covered ranges, which
+    are found once for all requests, and what of it lies before the first or
+    behind the last range of its line. So a line that many requests ask for and
+    many ranges cover is no group of its own, and no request is paired with
+    ranges that it holds whole. Empty requests and ranges are left out; a request
+    whose keys are null, or have no range, remains whole.
     """
-    asked = requests.select(request, *keys, F.col(start).alias("__lo"), F.col(end).alias("__hi")).where("__lo < __hi")
-    held = asked.join(covered.select(*keys, F.col(start).alias("__s"), F.col(end).alias("__e")), keys).where("__s < __hi AND __e > __lo AND __s < __e")
-    clipped = held.select(request, F.greatest("__s", "__lo").alias("__s"), F.least("__e", "__hi").alias("__e"))
-    ends = asked.select(request, F.explode(F.array("__lo", "__hi")).alias("__s")).withColumn("__e", F.col("__s"))
-    before = Window.partitionBy(request).orderBy("__s", "__e").rowsBetween(Window.unboundedPreceding, -1)
-    gaps = clipped.unionByName(ends).withColumn("__reached", F.max("__e").over(before))
-    return gaps.where(F.col("__s") > F.col("__reached")).select(request, F.col("__reached").alias(start), F.col("__s").alias(end))
+    asked = requests.select(request, *keys, F.col(start).cast("bigint").alias("__lo"), F.col(end).cast("bigint").alias("__hi")).where("__lo < __hi")
+    held = covered.select(*keys, F.col(start).cast("bigint").alias("__s"), F.col(end).cast("bigint").alias("__e")).where("__s < __e")
+    between = gaps(held, keys, "__s", "__e", width)
+    met = interval_join(asked.withColumnsRenamed({"__lo": "lo", "__hi": "hi"}), between.withColumnsRenamed({"__s": "lo", "__e": "hi"}), keys, WIDTHS, "lo", "hi")
+    inner = met.select(request, F.greatest("lo", "r_lo").alias(start), F.least("hi", "r_hi").alias(end))
+    ends = held.groupBy(*keys).agg(F.min("__s").alias("__first"), F.max("__e").alias("__last"))
+    outer = asked.join(ends, keys, "left")
+    pieces = F.when(F.col("__first").isNull(), F.array(F.struct(F.col("__lo").alias("s"), F.col("__hi").alias("e")))).otherwise(
+        F.array(F.struct(F.col("__lo").alias("s"), F.least("__hi", "__first").alias("e")), F.struct(F.greatest("__lo", "__last").alias("s"), F.col("__hi").alias("e")))
+    )
+    return inner.unionByName(outer.select(request, F.explode(pieces).alias("p")).select(request, F.col("p.s").alias(start), F.col("p.e").alias(end)).where(F.col(start) < F.col(end)))
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width: int | list[int], start: str = "start", end: str = "end", prefix: str = "r_") -> DataFrame:

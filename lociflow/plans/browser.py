@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import queue
+import threading
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -15,6 +17,9 @@ from ..functions.parsing import with_ccre_columns
 from ..operators import annotations, layout, pyramid, resample, signal
 from . import errors
 
+#: Rows of a track that may wait until those of the tracks before it are taken.
+AHEAD = 1000
+
 Opener = Callable[[SparkSession, str], DataFrame]
 
 
@@ -89,7 +94,17 @@ class Browser:
         raise errors.RequestError(errors.VALIDATION, f"unknown track type: {kind}", "type")
 
     def browse(self, request: dict | str) -> list[dict]:
-        """All tracks of a request, each as {id, type, data} or {id, type, error}; tracks run as jobs side by side."""
+        """All tracks of a request, each as {id, type, data} or {id, type, error}."""
+        return json.loads("".join(self.stream(request)))
+
+    def stream(self, request: dict | str) -> Iterator[str]:
+        """The same as pieces of JSON text, a row at a time.
+
+        Tracks run as jobs side by side and come in the request's order; of each
+        the driver holds a partition and at most AHEAD rows. A track that fails
+        before its first row has an error in place of data; one that fails later
+        ends the answer.
+        """
         try:
             request = json.loads(request) if isinstance(request, str) else request
         except ValueError as e:
@@ -97,18 +112,59 @@ class Browser:
         tracks = request.get("tracks") or []
         chrom, start, end = request.get("chrom", ""), int(request.get("start", 0)), int(request.get("end", 0))
         self._check(V.browser_error(F.lit(chrom), F.lit(start), F.lit(end), F.array(*(F.lit(i) for i in range(len(tracks)))) if tracks else F.array().cast("array<int>")))
+        waiting = [queue.Queue(AHEAD) for _ in tracks]
+        over = threading.Event()
 
-        def one(t: dict) -> dict:
-            out = {"id": t.get("id"), "type": t.get("type")}
-            config = t.get("config")
+        def put(to: queue.Queue, piece) -> None:
+            while not over.is_set():
+                try:
+                    return to.put(piece, timeout=0.1)
+                except queue.Full:
+                    continue
+
+        def produce(t: dict, to: queue.Queue) -> None:
             try:
-                got = self.track(chrom, start, end, t.get("type", ""), config if isinstance(config, str) else json.dumps(config or {}))
-                return out | {"data": json.loads(got) if isinstance(got, str) else [json.loads(x) for x in got.toJSON().collect()]}
-            except errors.RequestError as e:
-                return out | {"data": None, "error": e.message}
+                for piece in self._pieces(chrom, start, end, t):
+                    put(to, piece)
+                    if over.is_set():
+                        return
+                put(to, None)
+            except Exception as e:  # handed to the one who takes the pieces
+                put(to, e)
 
         with ThreadPoolExecutor(max_workers=min(8, len(tracks))) as pool:
-            return list(pool.map(one, tracks))
+            for t, q in zip(tracks, waiting, strict=True):
+                pool.submit(produce, t, q)
+            try:
+                yield "["
+                for i, q in enumerate(waiting):
+                    if i:
+                        yield ","
+                    while (piece := q.get()) is not None:
+                        if isinstance(piece, Exception):
+                            raise piece
+                        yield piece
+                yield "]"
+            finally:
+                over.set()
+
+    def _pieces(self, chrom: str, start: int, end: int, t: dict) -> Iterator[str]:
+        out = {"id": t.get("id"), "type": t.get("type")}
+        config = t.get("config")
+        try:
+            got = self.track(chrom, start, end, t.get("type", ""), config if isinstance(config, str) else json.dumps(config or {}))
+            if isinstance(got, str):
+                yield json.dumps(out)[:-1] + f', "data": {got}}}'
+                return
+            rows = lines(got)
+            first = next(rows, None)
+        except errors.RequestError as e:
+            yield json.dumps(out | {"data": None, "error": e.message})
+            return
+        yield json.dumps(out)[:-1] + ', "data": [' + (first or "")
+        for row in rows:
+            yield "," + row
+        yield "]}"
 
 
 def lines(answer: DataFrame):

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from . import tables as T
 from .functions import parsing, predicates, validation
+from .functions import requests as asking
 from .operators import annotations, intervals, layout, pyramid, resample
 from .operators import signal as signals
-from .plans.browser import union_tracks
+from .plans import requests
+from .plans.browser import Browser, lines, union_tracks
 from .plans.semantic_cache import cache_stats
 from .sources import bigwriter, folders, gtf, regions, register
 from .streaming import limits
@@ -65,10 +67,10 @@ def block_overlap_strict(spark, sf_dir):
 
 @query(f"""WITH {_SIG}, z AS (SELECT chr, r, unnest(range(s // r, (e - 1) // r + 1)) AS bin, s, e, v::DOUBLE AS v FROM sig, (SELECT unnest({REDUCTIONS}) AS r)),
 w AS (SELECT chr, r, bin, least(e, (bin + 1) * r) - greatest(s, bin * r) AS n, v, v::DECIMAL(18,4) AS d FROM z),
-a AS (SELECT chr, r, bin, sum(n)::BIGINT AS valid_count, min(v) AS min_val, max(v) AS max_val, sum(d * n::DECIMAL(12,0))::DOUBLE AS sum_data, sum((d::DOUBLE * d::DOUBLE) * n) AS sq FROM w GROUP BY ALL)
-SELECT chr, r AS reduction, bin * r AS start_pos, valid_count, min_val, max_val, sum_data, (sum_data / valid_count)::FLOAT::DOUBLE AS value FROM a""")
+a AS (SELECT chr, r, bin, sum(n)::BIGINT AS valid_count, min(v) AS min_val, max(v) AS max_val, sum(d * n::DECIMAL(12,0))::DOUBLE AS sum_data, sum((d * d)::DECIMAL(24,4) * n::DECIMAL(12,0))::DOUBLE AS sum_squares FROM w GROUP BY ALL)
+SELECT chr, r AS reduction, bin * r AS start_pos, valid_count, min_val, max_val, sum_data, sum_squares, (sum_data / valid_count)::FLOAT::DOUBLE AS value FROM a""")
 def signal_zoom_pyramid(spark, sf_dir):
-    return pyramid.build(T.signal(spark, sf_dir), REDUCTIONS).select("chr", "reduction", F.col("start").cast("bigint").alias("start_pos"), "valid_count", "min_val", "max_val", "sum_data", "value")
+    return pyramid.build(T.signal(spark, sf_dir), REDUCTIONS).select("chr", "reduction", F.col("start").cast("bigint").alias("start_pos"), "valid_count", "min_val", "max_val", "sum_data", "sum_squares", "value")
 
 
 @query(f"""WITH q AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS span, o_orderkey % 400 - 5 AS width FROM orders),
@@ -113,10 +115,37 @@ def signal_resample_all_chroms(spark, sf_dir):
     return _pixels(resample.to_width(T.signal(spark, sf_dir), 200, ["chr"]), "chr")
 
 
+_ASKED = """q AS (SELECT o_orderkey AS id, 'chr' || (o_custkey % 22 + 1) AS chr, o_orderkey * 7919 % 1500000 AS lo, o_orderkey * 7919 % 1500000 + 20000 * (1 + o_orderkey % 60) AS hi, 4 + o_orderkey % 12 AS width FROM orders),
+a AS (SELECT *, (hi - lo)::DOUBLE / width AS bpp FROM q)"""
+
+
+@query(f"""WITH {_SIG}, {_ASKED}, l AS (SELECT a.*, CASE WHEN bpp >= 2.0 THEN coalesce((SELECT max(r) FROM (SELECT unnest({REDUCTIONS}) AS r) WHERE r <= bpp), -1) ELSE -1 END AS r FROM a),
+z AS (SELECT chr, r, bin * r AS s, (bin + 1) * r AS e, (sum(v::DOUBLE::DECIMAL(18,4) * n::DECIMAL(12,0))::DOUBLE / sum(n))::FLOAT AS v FROM (
+  SELECT chr, r, v, bin, least(e, (bin + 1) * r) - greatest(s, bin * r) AS n FROM (SELECT chr, r, v, s, e, unnest(range(s // r, (e - 1) // r + 1)) AS bin FROM sig, (SELECT unnest({REDUCTIONS}) AS r))) GROUP BY ALL),
+d AS (SELECT id, width, s, e, v FROM l JOIN sig ON sig.chr = l.chr AND s >= lo AND s < hi WHERE r = -1 UNION ALL SELECT id, width, s, e, v FROM l JOIN z ON z.chr = l.chr AND z.r = l.r AND s >= lo AND s < hi),
+b AS (SELECT id, any_value(width) AS width, min(s) AS lo, arg_max(e, s * 10000000 + e) AS hi FROM d GROUP BY id),
+k AS (SELECT id, width, lo, (hi - lo)::DOUBLE / width AS size FROM b WHERE hi > lo),
+h AS (SELECT d.id, v, greatest(0, least(k.width - 1, floor((s - lo) / size)::BIGINT)) AS a, greatest(0, least(k.width - 1, floor((e - lo) / size)::BIGINT)) AS z FROM d JOIN k USING (id)),
+g AS (SELECT id, x, max(v) AS mx, min(v) AS mn FROM (SELECT id, v, unnest(range(a, z + 1)) AS x FROM h) GROUP BY ALL),
+t AS (SELECT id, unnest(range(width)) AS x FROM k),
+f AS (SELECT t.id, t.x, g.mx, g.mn, coalesce(last_value(g.mx IGNORE NULLS) OVER (PARTITION BY t.id ORDER BY t.x ROWS UNBOUNDED PRECEDING),
+  first_value(g.mx IGNORE NULLS) OVER (PARTITION BY t.id ORDER BY t.x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS fill FROM t LEFT JOIN g ON g.id = t.id AND g.x = t.x)
+SELECT id, x::BIGINT AS x, coalesce(mx, fill)::DOUBLE AS max_val, coalesce(mn, fill)::DOUBLE AS min_val FROM f""")
+def signal_requests(spark, sf_dir):
+    """A request of its own region and width for each order, all answered in one plan: level by row, records of that level, pixels."""
+    k = F.col("o_orderkey")
+    lo = k * 7919 % 1_500_000
+    asked = T.read(spark, sf_dir, "orders").select(k.alias("id"), T.chrom_of("o_custkey").alias("chr"), lo.alias("start"), (lo + 20_000 * (1 + k % 60)).alias("end"), (4 + k % 12).alias("width"))
+    rows = T.signal(spark, sf_dir)
+    path = folders.scratch(spark, "pyramid")
+    pyramid.write(pyramid.build(rows, REDUCTIONS), path)
+    return _pixels(requests.pixels(asked, rows, spark.read.parquet(path), REDUCTIONS), "id")
+
+
 @query(f"""WITH {_SIG} SELECT chr, sum(e - s)::BIGINT AS bases_covered, min(v::DOUBLE) AS min_val, max(v::DOUBLE) AS max_val,
-sum(v::DOUBLE::DECIMAL(18,4) * (e - s)::DECIMAL(12,0))::DOUBLE AS sum_data FROM sig GROUP BY chr""")
+sum(v::DOUBLE::DECIMAL(18,4) * (e - s)::DECIMAL(12,0))::DOUBLE AS sum_data, sum((v::DOUBLE::DECIMAL(18,4) * v::DOUBLE::DECIMAL(18,4))::DECIMAL(24,4) * (e - s)::DECIMAL(12,0))::DOUBLE AS sum_squares FROM sig GROUP BY chr""")
 def file_total_summary(spark, sf_dir):
-    return signals.summary(T.signal(spark, sf_dir), ["chr"]).drop("sum_squares")
+    return signals.summary(T.signal(spark, sf_dir), ["chr"])
 
 
 @query(f"WITH {_FEAT} SELECT chr, s::BIGINT AS start_pos, e::BIGINT AS end_pos, l_orderkey, l_linenumber FROM feat WHERE chr = 'chr7' AND s >= 1500 AND s < 2500")
@@ -213,6 +242,26 @@ def transcript_wire_json(spark, sf_dir):
     )
 
 
+@query(f"""WITH RECURSIVE {_EXON}, o AS (SELECT o_custkey, o_orderkey, o_orderpriority, 'chr' || (o_custkey % 22 + 1) AS k, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) * 10 + 1 AS s FROM orders),
+t AS (SELECT k, o_orderkey, s - 100 AS ls, s + 599 AS le, row_number() OVER (PARTITION BY k ORDER BY s, 'X' || o_orderkey) AS n FROM o),
+r(k, n, o_orderkey, line, ends) AS (SELECT k, n, o_orderkey, 0::BIGINT, [le::BIGINT] FROM t WHERE n = 1
+  UNION ALL SELECT k, n, o_orderkey, coalesce(p - 1, len(ends))::BIGINT, CASE WHEN p IS NULL THEN list_append(ends, le::BIGINT) ELSE list_concat(list_concat(ends[:p - 1], [le::BIGINT]), ends[p + 1:]) END
+  FROM (SELECT t.k, t.n, t.o_orderkey, t.le, r.ends, nullif(list_position(list_transform(r.ends, lambda x: x <= t.ls), true), 0) AS p FROM r JOIN t ON t.k = r.k AND t.n = r.n + 1)),
+u AS (SELECT l_orderkey, l_linenumber, string_agg(a || '-' || (a + q), ',' ORDER BY a, q) AS utrs FROM (SELECT l_orderkey, l_linenumber, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) * 10 AS a, floor(l_quantity)::BIGINT AS q FROM lineitem WHERE l_returnflag = 'R') GROUP BY ALL),
+x AS (SELECT o_orderkey, string_agg(s || '-' || e || '[' || coalesce(utrs, '') || ']', ';' ORDER BY number) AS exons FROM ex LEFT JOIN u ON l_orderkey = o_orderkey AND l_linenumber = number GROUP BY o_orderkey)
+SELECT 'N' || o_custkey AS gene, 'T' || o_orderkey AS transcript, 'X' || o_orderkey AS id, o.s::BIGINT AS start_pos, (o.s + 499)::BIGINT AS end_pos, line AS row_no, CASE WHEN o_orderpriority = '1-URGENT' THEN 'MANE_Select' END AS tag, coalesce(exons, '') AS exons
+FROM o JOIN r USING (o_orderkey) LEFT JOIN x USING (o_orderkey)""")
+def transcript_wire_full(spark, sf_dir):
+    """Every transcript of the genes' JSON: its row in the layout, tag, exons and their UTRs."""
+    spot = "struct<start:bigint,`end`:bigint,__typename:string>"
+    form = f"struct<transcripts:array<struct<coordinates:{spot},name:string,id:string,`row`:bigint,tag:string,exons:array<struct<coordinates:{spot},UTRs:array<struct<coordinates:{spot}>>>>>>>"
+    wire = annotations.wire_genes(annotations.fold_genes(T.records(spark, sf_dir)))
+    told = wire.select(F.col("name").alias("gene"), F.explode(F.from_json("json", form)["transcripts"]).alias("t"))
+    place = lambda c: F.concat(c["start"].cast("string"), F.lit("-"), c["end"].cast("string"))
+    exon = lambda e: F.concat(place(e["coordinates"]), F.lit("["), F.array_join(F.transform(e["UTRs"], lambda u: place(u["coordinates"])), ","), F.lit("]"))
+    return told.select("gene", F.col("t.name").alias("transcript"), "t.id", F.col("t.coordinates.start").alias("start_pos"), F.col("t.coordinates.end").alias("end_pos"), F.col("t.row").alias("row_no"), "t.tag", F.array_join(F.transform("t.exons", exon), ";").alias("exons"))
+
+
 def _customer_transcripts(spark, sf_dir) -> DataFrame:
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")) * 10
     return T.read(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").cast("string").alias("id"), day.alias("start"), (day + 1 + F.col("o_orderkey") % 3000).alias("end"))
@@ -321,6 +370,68 @@ def browser_fan_in(spark, sf_dir):
     return union_tracks(tracks).select("track", "type", of("start").alias("start_pos"), of("end").alias("end_pos"))
 
 
+@query(f"""WITH q AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 27 = 26 THEN '' ELSE 'chr' || (o_custkey % 27) END AS chrom, o_orderkey % 50 AS s, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE o_orderkey % 50 + 7 END AS e, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 11 END AS w, o_orderkey % 13 = 0 AS broken FROM orders)
+SELECT k AS o_orderkey, CASE WHEN NOT broken THEN chrom END AS chrom, CASE WHEN NOT broken THEN s END AS start_pos, CASE WHEN NOT broken THEN e END AS end_pos, CASE WHEN NOT broken THEN w END AS width,
+CASE WHEN broken THEN 'INVALID_JSON' WHEN chrom = '' OR NOT regexp_matches(chrom, '{predicates.CHROM}') OR e <= s THEN 'VALIDATION_ERROR' END AS code FROM q""")
+def request_decode(spark, sf_dir):
+    """A JSON request for each order, some of them broken or without an end or a width, decoded and checked."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    text = F.concat(
+        F.lit('{"url": "/data/a.bw", "chrom": "'), F.when(c % 27 == 26, "").otherwise(F.concat(F.lit("chr"), c % 27)), F.lit('", "start": '), k % 50,
+        F.when(k % 4 == 0, "").otherwise(F.concat(F.lit(', "end": '), k % 50 + 7)), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit(', "preRenderedWidth": '), k % 11)), F.when(k % 13 == 0, ', "x": [').otherwise("}"),
+    )
+    got = T.read(spark, sf_dir, "orders").select("o_orderkey", asking.signal_request(text).alias("r"))
+    return got.select("o_orderkey", "r.request.chrom", F.col("r.request.start").alias("start_pos"), F.col("r.request.end").alias("end_pos"), F.col("r.request.preRenderedWidth").alias("width"), "r.error.code")
+
+
+@query("""SELECT o_orderkey, '/data/' || o_orderpriority || '.bw-chr' || (o_custkey % 22 + 1) || CASE WHEN o_orderkey % 5 > 0 THEN '-zoom' || (o_orderkey % 5 - 1) ELSE '' END AS track_key,
+'chr' || (o_custkey % 22 + 1) || ':' || o_orderkey || '-' || (o_orderkey + 500) AS region, substr(h, 1, 4) || '-' || substr(h, 5, 4) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) AS hex_id
+FROM (SELECT *, md5(o_orderkey::VARCHAR) AS h FROM orders)""")
+def key_formats(spark, sf_dir):
+    k = F.col("o_orderkey")
+    url, chrom = F.concat(F.lit("/data/"), "o_orderpriority", F.lit(".bw")), T.chrom_of("o_custkey")
+    return T.read(spark, sf_dir, "orders").select(k, parsing.track_key(url, chrom, k % 5 - 1).alias("track_key"), parsing.region_text(chrom, k, k + 500).alias("region"), parsing.hex_id(k).alias("hex_id"))
+
+
+_VIEW = ("chr7", 2000, 2300)
+
+
+def _browser(spark, sf_dir) -> Browser:
+    path = folders.scratch(spark, "pyramid")
+    pyramid.write(pyramid.build(T.signal(spark, sf_dir), REDUCTIONS), path)
+    return Browser(spark, "", lambda s, url: T.signal(s, sf_dir), lambda s, url: T.features(s, sf_dir).select("chr", "start", "end", "rest"), lambda s, path: T.records(s, sf_dir), {"/zoomed": (path, REDUCTIONS)})
+
+
+@query(f"""WITH {_FEAT}, {_EXON}, g AS (SELECT * FROM orders WHERE 'chr' || (o_custkey % 22 + 1) = 'chr7' AND date_diff('day', DATE '1992-01-01', o_orderdate::DATE) * 10 < 2300 AND date_diff('day', DATE '1992-01-01', o_orderdate::DATE) * 10 + 500 > 2000)
+SELECT 'features' AS track, 'bigbed' AS type, 'E' || l_orderkey || '_' || l_linenumber AS name, s::BIGINT AS start_pos, e::BIGINT AS end_pos FROM feat WHERE chr = 'chr7' AND s >= 2000 AND s < 2300
+UNION ALL SELECT 'genes', 'transcript', 'T' || o_orderkey, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) * 10 + 1, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) * 10 + 500 FROM g
+UNION ALL SELECT 'other', 'nothing', 'unknown track type: nothing', NULL, NULL""")
+def browser_answer(spark, sf_dir):
+    """A request for several tracks as text that is streamed, taken apart again: typed features, transcripts of the region's genes, and a track that fails."""
+    tracks = [{"id": "features", "type": "bigbed", "config": {"url": "/x", "type": "ccre"}}, {"id": "genes", "type": "transcript"}, {"id": "other", "type": "nothing"}]
+    text = "".join(_browser(spark, sf_dir).stream({"chrom": _VIEW[0], "start": _VIEW[1], "end": _VIEW[2], "tracks": tracks}))
+    told = spark.createDataFrame([(text,)], "text string")  # one answer, which Spark made of the tables
+    each = told.select(F.explode(F.from_json("text", "array<struct<id:string,type:string,data:string,error:string>>")).alias("t")).select("t.*")
+    row = "array<struct<name:string,start:bigint,`end`:bigint>>"
+    features = each.where("type = 'bigbed'").select(F.col("id").alias("track"), "type", F.explode(F.from_json("data", row)).alias("r")).select("track", "type", "r.name", F.col("r.start").alias("start_pos"), F.col("r.end").alias("end_pos"))
+    tree = "struct<gene:array<struct<transcripts:array<struct<name:string,coordinates:struct<start:bigint,`end`:bigint>>>>>>"
+    genes = each.where("type = 'transcript'").select(F.col("id").alias("track"), "type", F.explode(F.flatten(F.from_json("data", tree)["gene"]["transcripts"])).alias("r"))
+    genes = genes.select("track", "type", "r.name", F.col("r.coordinates.start").alias("start_pos"), F.col("r.coordinates.end").alias("end_pos"))
+    failed = each.where("error IS NOT NULL").select(F.col("id").alias("track"), "type", F.col("error").alias("name"), F.lit(None).cast("bigint").alias("start_pos"), F.lit(None).cast("bigint").alias("end_pos"))
+    return features.unionByName(genes).unionByName(failed)
+
+
+@query(_resample_sql("", "chr = 'chr5' AND s >= 0 AND s < 2400000", 30).replace(_SIG, f"""pts AS (SELECT 'chr' || (user_id % 22 + 1) AS chr, date_diff('second', TIMESTAMP '2024-01-01', ts) AS s, value::FLOAT AS v, event_id FROM events),
+raw AS (SELECT chr, s, e, v FROM (SELECT *, lead(s) OVER (PARTITION BY chr ORDER BY s, event_id) AS e FROM pts) WHERE e > s),
+sig AS (SELECT chr, bin * {REDUCTIONS[2]} AS s, (bin + 1) * {REDUCTIONS[2]} AS e, (sum(v::DOUBLE::DECIMAL(18,4) * n::DECIMAL(12,0))::DOUBLE / sum(n))::FLOAT AS v FROM (
+  SELECT chr, v, bin, least(e, (bin + 1) * {REDUCTIONS[2]}) - greatest(s, bin * {REDUCTIONS[2]}) AS n FROM (SELECT *, unnest(range(s // {REDUCTIONS[2]}, (e - 1) // {REDUCTIONS[2]} + 1)) AS bin FROM raw)) GROUP BY ALL)"""))
+def browser_zoomed_signal(spark, sf_dir):
+    """A request with a width, which is answered from the level of the pyramid that fits it, streamed as JSON lines and read again."""
+    answer = _browser(spark, sf_dir).signal("/zoomed", "chr5", 0, 2_400_000, 30)  # 80 000 bases a pixel: the level of 21 600
+    text = spark.createDataFrame([(line,) for line in lines(answer)], "line string")  # a row a pixel
+    return text.select(F.from_json("line", "x bigint, max double, min double").alias("r")).select("r.x", F.col("r.max").cast("float").cast("double").alias("max_val"), F.col("r.min").cast("float").cast("double").alias("min_val"))
+
+
 @query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN '10.0.' || user_id || '.1' WHEN 1 THEN '10.9.' || user_id || '.2' ELSE '192.168.0.' || user_id END AS client FROM events""")
 def client_key_extract(spark, sf_dir):
     k, u = F.col("event_id") % 3, F.col("user_id").cast("string")

@@ -32,12 +32,14 @@ def spend(seconds: list[int], tokens: int, last: int | None, rate: int, burst: i
     return out, tokens, last
 
 
-def token_bucket(events: DataFrame, client: str, seconds: str, order: str, rate: int = RATE, burst: int = BURST, per: int = 1) -> DataFrame:
+def token_bucket(events: DataFrame, client: str, seconds: str, order: str, rate: int | None = None, burst: int | None = None, per: int = 1) -> DataFrame:
     """events' (client, order, allowed): whether each request found a token. rate tokens flow in every `per` seconds.
 
-    A client's requests depend on each other, so they are one group; clients are
+    rate and burst are the session's settings where they are not given. A client's requests depend on each other, so they are one group; clients are
     independent.
     """
+    told = settings(events.sparkSession)
+    rate, burst = rate or told["rate"], burst or told["burst"]
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([seconds, order], ignore_index=True)
@@ -48,8 +50,10 @@ def token_bucket(events: DataFrame, client: str, seconds: str, order: str, rate:
     return events.select(client, seconds, order).groupBy(client).applyInPandas(decide, f"{client} {kind[client]}, {order} {kind[order]}, allowed boolean")
 
 
-def limit_stream(events: DataFrame, client: str, seconds: str, order: str, rate: int = RATE, burst: int = BURST, per: int = 1, idle: int = IDLE) -> DataFrame:
+def limit_stream(events: DataFrame, client: str, seconds: str, order: str, rate: int | None = None, burst: int | None = None, per: int = 1, idle: int | None = None) -> DataFrame:
     """The same over a stream. A client that is idle that long is forgotten and starts with a full bucket."""
+    told = settings(events.sparkSession)
+    rate, burst, idle = rate or told["rate"], burst or told["burst"], idle or told["idle"]
     kind = dict(events.dtypes)
 
     def decide(key, frames, state):
