@@ -126,3 +126,44 @@ def test_limits_come_from_the_session(spark):
     finally:
         spark.conf.unset("lociflow.limit.burst")
     assert limits.token_bucket(events, "client", "at", "n", burst=3).where("allowed").count() == 3
+
+
+def sequential(rows, rate, burst, per):
+    out = {}
+    for c in {r[0] for r in rows}:
+        own = sorted((at, n) for k, at, n in rows if k == c)
+        allowed, _, _ = limits.spend([at for at, _ in own], 0, None, rate, burst, per)
+        out |= {(c, n): ok for (_, n), ok in zip(own, allowed, strict=True)}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_a_stretch_of_requests_is_a_function_of_tokens(seed):
+    r = random.Random(seed)
+    burst, per, rate = r.randrange(1, 6), r.choice([1, 2, 7, 50]), r.randrange(1, 5)
+    gaps = [r.choice([0, 0, 1, 2, r.randrange(60)]) for _ in range(r.randrange(1, 60))]
+    made = limits.Transition(burst, per)
+    for g in gaps:
+        made.request(g * rate)
+    for x in range(burst * per + 1):
+        tokens = x
+        for g in gaps:
+            tokens = min(burst * per, tokens + g * rate)
+            tokens -= per if tokens >= per else 0
+        assert made.after(x) == tokens
+    assert len(made.pieces) <= 4 * burst + 4
+
+
+def test_one_clients_requests_are_many_tasks(spark):
+    r = random.Random(9)
+    rows, at = [], 0
+    for i in range(6000):
+        at += r.choice([0, 0, 0, 1, 2, 30 if i % 500 == 0 else 0])
+        rows.append(("hot" if i % 10 else None, at, i))
+    rows += [(f"c{i}", i, 10_000 + i) for i in range(50)]
+    df = spark.createDataFrame(rows, "client string, at int, n int").repartition(4)
+    for rate, burst, per in ((1, 3, 4), (2, 40, 1)):
+        got = limits.token_bucket(df, "client", "at", "n", rate, burst, per)
+        assert {(x["client"], x["n"]): x["allowed"] for x in got.collect()} == sequential(rows, rate, burst, per)
+    assert df.where("client = 'hot'").repartitionByRange(8, "client", "at", "n").select(F.spark_partition_id()).distinct().count() > 3
+    assert limits.token_bucket(df.limit(0), "client", "at", "n").count() == 0
