@@ -7,7 +7,7 @@ import bisect
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..sources.folders import scratch
 
@@ -15,6 +15,10 @@ from ..sources.folders import scratch
 RATE, BURST, IDLE = 15, 40, 600
 
 
+#: The session's state store, and the one that keeps state with a time to live.
+STORE, ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def settings(spark) -> dict[str, int]:
     """rate, burst and idle of a session: what its configuration says under lociflow.limit, else the fixed values. Not a positive number counts as unset."""
     out = {}
@@ -130,25 +134,43 @@ def token_bucket(events: DataFrame, client: str, seconds: str, order: str, rate:
     return decided.select(F.col("client").alias(client), F.col("n").alias(order), "allowed")
 
 
-def limit_stream(events: DataFrame, client: str, seconds: str, order: str, rate: int | None = None, burst: int | None = None, per: int = 1, idle: int | None = None) -> DataFrame:
-    """The same over a stream. A client that is idle that long is forgotten and starts with a full bucket."""
-    told = settings(events.sparkSession)
-    rate, burst, idle = rate or told["rate"], burst or told["burst"], idle or told["idle"]
-    kind = dict(events.dtypes)
+class Bucket(StatefulProcessor):
+    """A client's tokens and the second of its last request, which are forgotten when it is idle."""
+
+    def __init__(self, columns: list[str], rate: int, burst: int, per: int, idle: int):
+        self.columns, self.rate, self.burst, self.per, self.idle = columns, rate, burst, per, idle
+
+    def init(self, handle) -> None:
+        self.held = handle.getValueState("bucket", "tokens bigint, last bigint", ttlDurationMs=self.idle * 1000)
 
-    def decide(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        tokens, last = state.get if state.exists else (0, None)
-        pdf = pd.concat(list(frames)).sort_values([seconds, order], ignore_index=True)
-        allowed, tokens, last = spend(pdf[seconds].tolist(), tokens, last, rate, burst, per)
-        state.update((tokens, last))
-        state.setTimeoutDuration(idle * 1000)
+    def handleInputRows(self, key, rows, timerValues):
+        client, seconds, order = self.columns
+        pdf = pd.concat(list(rows)).sort_values([seconds, order], ignore_index=True)
+        tokens, last = self.held.get() if self.held.exists() else (0, None)
+        allowed, tokens, last = spend(pdf[seconds].tolist(), tokens, last, self.rate, self.burst, self.per)
+        self.held.update((int(tokens), int(last)))
         yield pdf.assign(allowed=allowed)[[client, order, "allowed"]]
 
+    def close(self) -> None:
+        pass
+
+
+def limit_stream(events: DataFrame, client: str, seconds: str, order: str, rate: int | None = None, burst: int | None = None, per: int = 1, idle: int | None = None) -> DataFrame:
+    """The same over a stream. A client that is idle that long is forgotten and starts with a full bucket.
+
+    State has a time to live, so nothing wakes up for clients that are gone. It
+    needs the RocksDB state store, which the session is given if it has the
+    usual one.
+    """
+    spark = events.sparkSession
+    told = settings(spark)
+    rate, burst, idle = rate or told["rate"], burst or told["burst"], idle or told["idle"]
+    if "RocksDB" not in spark.conf.get(STORE):
+        spark.conf.set(STORE, ROCKSDB)
+    kind = dict(events.dtypes)
     grouped = events.select(client, seconds, order).groupBy(client)
-    return grouped.applyInPandasWithState(decide, f"{client} {kind[client]}, {order} {kind[order]}, allowed boolean", "tokens bigint, last bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    bucket = Bucket([client, seconds, order], rate, burst, per, idle)
+    return grouped.transformWithStateInPandas(bucket, f"{client} {kind[client]}, {order} {kind[order]}, allowed boolean", "Append", "ProcessingTime")
 
 
 def sessions(events: DataFrame, client: str, time: str, idle: str = "10 minutes") -> DataFrame:
