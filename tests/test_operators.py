@@ -262,9 +262,30 @@ def test_cells_give_what_whole_lines_give(spark, reach, seed):
         assert sorted(map(str, got)) == sorted(map(str, expected))
         assert {r["key"]: r["depth"] for r in intervals.depth(df, ["key"], width=width).collect()} == deepest
         named = df.withColumn("id", F.concat_ws("-", F.coalesce("key", F.lit("x")), "start", "end"))
-        packed_rows = {(r["key"], r["id"]): r["row"] for r in layout.pack_rows(named, ["key"], padding=1, width=width).collect()}
-        whole = {(r["key"], r["id"]): r["row"] for r in layout.pack_rows(named, ["key"], padding=1, width=1 << 30).collect()}
-        assert packed_rows == whole
+    for pieces in (1, 3, 9):
+        got = {(r["key"], r["id"]): r["row"] for r in layout.pack_rows(named, ["key"], padding=1, pieces=pieces).collect()}
+        assert got == packed_in_turn(rows)
+
+
+def packed_in_turn(rows):
+    """Rows of first fit, line by line; an id's last interval counts."""
+    out = {}
+    for key in {k for k, _, _ in rows}:
+        ends = []
+        for s, e in sorted((s - 1, e + 1) for k, s, e in rows if k == key):
+            row = next((i for i, x in enumerate(ends) if x <= s), len(ends))
+            ends[row : row + 1] = [e]
+            out[key, f"{key or 'x'}-{s + 1}-{e - 1}"] = row
+    return out
+
+
+def test_a_line_without_gaps_is_packed_in_pieces(spark):
+    r = random.Random(6)
+    rows = [("a", at, at + r.choice([5, 50, 300])) for at in (r.randrange(4000) for _ in range(900))] + [("a", 700, 5000), ("b", 1, 9)]
+    named = spark.createDataFrame(rows, "key string, start int, end int").withColumn("id", F.concat_ws("-", "key", "start", "end")).repartition(5)
+    got = {(x["key"], x["id"]): x["row"] for x in layout.pack_rows(named, ["key"], padding=1, pieces=8).collect()}
+    assert got == packed_in_turn(rows)
+    assert layout.pack_rows(named.limit(0), ["key"]).count() == 0
 
 
 def test_nearest_looks_beyond_its_cell(spark):
