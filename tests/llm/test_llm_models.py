@@ -255,7 +255,7 @@ def test_alignment(spark):
     r = random.Random(2)
     letters = "abcdeéßñ  ,.'\n\t123\r\xa0"
     texts = [*ODD_TEXTS, *("".join(r.choice(letters) for _ in range(r.randrange(80))) for _ in range(60)), *("".join(chr(r.randrange(1, 0x2FF)) for _ in range(40)) for _ in range(30))]
-    texts += [x["text"] for x in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(15).collect()] + ODD_TEXTS[10:14]
+    texts += [x["text"] for x in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(4).collect()] + ODD_TEXTS[10:14]
     rows = [(i if i % 7 else None, t, 1.0, "x", 5) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
     got = collections.Counter(tuple(x) for x in align.align(docs, BYTE_BPE, PIECES).collect())
