@@ -167,3 +167,17 @@ def test_one_clients_requests_are_many_tasks(spark):
         assert {(x["client"], x["n"]): x["allowed"] for x in got.collect()} == sequential(rows, rate, burst, per)
     assert df.where("client = 'hot'").repartitionByRange(8, "client", "at", "n").select(F.spark_partition_id()).distinct().count() > 3
     assert limits.token_bucket(df.limit(0), "client", "at", "n").count() == 0
+
+
+@pytest.mark.parametrize("levels", [[10, 20, 100], [10, 15, 30], [7]])
+def test_levels_from_the_finest(spark, levels):
+    r = random.Random(5)
+    rows = [("c", at, at + r.choice([0, 1, 9, 300]), r.randrange(99) / 4) for at in (r.randrange(2000) for _ in range(80))]
+    got = {(x["reduction"], x["start"]): (x["valid_count"], x["min_val"], x["max_val"], x["sum_data"], x["sum_squares"]) for x in pyramid.build(spark.createDataFrame(rows, SIGNAL), levels).collect()}
+    expected = {}
+    for w in levels:
+        for b in range(0, 2400, w):
+            held = [(min(e, b + w) - max(s, b), v) for _, s, e, v in rows if max(s, b) < min(e, b + w)]
+            if held:
+                expected[w, b] = (sum(n for n, _ in held), min(v for _, v in held), max(v for _, v in held), sum(n * v for n, v in held), sum(n * v * v for n, v in held))
+    assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k]) for k in expected)
