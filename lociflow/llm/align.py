@@ -8,6 +8,7 @@ import json
 import pickle
 import re
 from array import array
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ _UNIT = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+")
 _B = 1 << 20
 #: UTF-8 bytes of a block's texts: of the distinct units of so many the tokens are held at a time.
 SIZE = 6 << 20
+#: Characters from which on a text's units are taken one by one.
+LONG = 1 << 22
 
 
 class TwoVocabularies:
@@ -72,12 +75,14 @@ class TwoVocabularies:
         lib.encode_special_tokens = True
         return lib
 
-    def units(self, text: str) -> list[str]:
+    def units(self, text: str) -> Iterable[str]:
         """The units of a space and a text; one if the vocabularies can't be cut."""
         if not self.cuts:
             return [" " + text]
         if _OTHER_SPACE.search(text):
             return _SOLID.split(" " + text)
+        if len(text) > LONG:
+            return (m[0] for m in _UNIT.finditer(" " + text))
         return _UNIT.findall(" " + text)
 
     def encode_a(self, unit: str) -> list[int]:

@@ -106,28 +106,44 @@ def bit_scores(carry: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 
 def grams(texts: list[bytes], depth: int):
-    """Keys of all bytes of the texts and of their ends, in steps: (keys, first key of each text). Before its start a text has `depth` zero bytes."""
-    pad = b"\0" * depth
-    at = 0
-    while at < len(texts):
-        size, to = 0, at
-        while to < len(texts) and (to == at or size + len(texts[to]) < _STEP):
-            size += len(texts[to]) + depth + 1
-            to += 1
-        some = texts[at:to]
-        lengths = np.array([len(t) + 1 for t in some])
-        starts = np.cumsum(lengths) - lengths
-        whole = np.frombuffer(b"".join([pad + t + bytes([_END]) for t in some]), np.uint8)
-        inside = np.ones(len(whole), bool)
-        pads = starts + depth * np.arange(len(some))
-        for d in range(depth):
-            inside[pads + d] = False
-        places = np.flatnonzero(inside)
-        keys = whole[places].astype(np.uint64)
-        for d in range(1, depth + 1):
-            keys |= whole[places - d].astype(np.uint64) << np.uint64(8 * (depth + 1 - d))
-        yield keys, starts
-        at = to
+    """Keys of all bytes of the texts and of their ends, in steps: (keys, first key of each piece, text of each piece).
+
+    Before its start a text has `depth` zero bytes. A text longer than a step is
+    several pieces, each of which sees the bytes before it.
+    """
+    pieces: list[tuple[int, bytes, bytes]] = []
+    size = 0
+    for i, t in enumerate(texts):
+        at = 0
+        while True:
+            body = t[at : at + _STEP]
+            last = at + len(body) == len(t)
+            before = t[max(0, at - depth) : at]
+            pieces.append((i, before.rjust(depth, b"\0"), body + bytes([_END]) if last else body))
+            size += len(body)
+            at += len(body)
+            if size >= _STEP:
+                yield _keys(pieces, depth)
+                pieces, size = [], 0
+            if last:
+                break
+    if pieces:
+        yield _keys(pieces, depth)
+
+
+def _keys(pieces: list[tuple[int, bytes, bytes]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lengths = np.array([len(body) for _, _, body in pieces])
+    starts = np.cumsum(lengths) - lengths
+    whole = np.frombuffer(b"".join([before + body for _, before, body in pieces]), np.uint8)
+    inside = np.ones(len(whole), bool)
+    pads = starts + depth * np.arange(len(pieces))
+    for d in range(depth):
+        inside[pads + d] = False
+    places = np.flatnonzero(inside)
+    keys = whole[places].astype(np.uint64)
+    for d in range(1, depth + 1):
+        keys |= whole[places - d].astype(np.uint64) << np.uint64(8 * (depth + 1 - d))
+    return keys, starts, np.array([i for i, _, _ in pieces])
 
 
 def word_key(word: bytes) -> int:
@@ -148,7 +164,7 @@ def _listed(depth: int, buckets: int):
         words: dict[bytes, int] = {}
         for use in (True, False):
             own = [t for t, k in zip(texts, learn, strict=True) if k == use]
-            for keys, _ in grams(own, depth):
+            for keys, _, _ in grams(own, depth):
                 got, n = counted(keys)
                 sums.add(got, n * use)
             for t in own:
@@ -288,10 +304,9 @@ def _documents(depth: int, train_tokens: int, distinct: int, ends: int):
 
     def of_block(rows: pa.Table, keys: np.ndarray, scores: np.ndarray, word_keys: np.ndarray, counts: np.ndarray):
         texts = _lower(rows.column(1).to_pylist())
-        lookup, sums, done = Lookup(keys), np.zeros(len(texts)), 0
-        for own, starts in grams(texts, depth):
-            sums[done : done + len(starts)] = np.add.reduceat(scores[lookup.places(own)], starts, dtype=np.float64)
-            done += len(starts)
+        lookup, sums = Lookup(keys), np.zeros(len(texts))
+        for own, starts, of in grams(texts, depth):
+            np.add.at(sums, of, np.add.reduceat(scores[lookup.places(own)], starts, dtype=np.float64))
         logs = np.log10((counts + 0.1) / 0.1 * floor)
         known: dict[bytes, tuple[float, bool]] = {}
         n_tokens, n_known, base = [], [], []

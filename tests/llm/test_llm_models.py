@@ -268,3 +268,22 @@ def test_identity_map():
     both = align.vocabularies(BYTE_BPE, PIECES)
     known = np.flatnonzero(both.same >= 0)
     assert both.cuts and len(known) > 10_000 and all(both.a_bytes[i] == both.b_bytes[both.same[i]] for i in known)
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    texts = [b"", b"abc" * 50, b"x", b"y" * 64, b"zz" * 99]
+    whole = list(lm.grams(texts, 4))
+    monkeypatch.setattr(lm, "_STEP", 16)
+    cut = list(lm.grams(texts, 4))
+    assert len(whole) == 1 and len(cut) > 20
+    assert (np.concatenate([k for k, _, _ in cut]) == whole[0][0]).all()
+    sums = np.zeros(len(texts))
+    for keys, starts, of in cut:
+        np.add.at(sums, of, np.add.reduceat(np.ones(len(keys)), starts))
+    assert sums.tolist() == [len(t) + 1 for t in texts]
+    both = align.vocabularies(BYTE_BPE, PIECES)
+    text = "some words\n and more  of them " * 5
+    monkeypatch.setattr(align, "LONG", 10)
+    one_by_one = list(both.units(text))
+    monkeypatch.undo()
+    assert one_by_one == both.units(text)
