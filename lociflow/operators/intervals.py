@@ -16,15 +16,6 @@ def with_reach(df: DataFrame, keys: list[str], start: str, end: str, width: int)
     return join_cells(placed, carried, keys)
 
 
-def with_stretch(df: DataFrame, keys: list[str], start: str, end: str, width: int = WIDTH) -> DataFrame:
-    """df with `stretch`: cells that records reach across are one stretch, and no record reaches from one into another."""
-    placed = with_cell(df, start, width)
-    cells = placed.groupBy(*keys, "__cell").agg(F.min(start).alias("__start"), F.max(end).alias("__end"))
-    reached = cells.withColumn("__carry", F.max("__end").over(line(keys).rowsBetween(Window.unboundedPreceding, -1)))
-    new = (F.col("__carry").isNull() | (F.col("__start") >= F.col("__carry"))).cast("int")
-    return join_cells(placed, reached.select(*keys, "__cell", F.sum(new).over(line(keys)).alias("stretch")), keys).drop("__cell")
-
-
 def merge(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", width: int = WIDTH) -> DataFrame:
     """Unions of ranges that overlap or touch: keys, start, end, n (ranges in it).
 
