@@ -18,8 +18,6 @@ WORDS, THRESHOLD = 5, 0.8
 TREES, LEVELS, RECALL = 32, 8, 0.999
 #: Texts of a candidate component that one task compares.
 BLOCK = 512
-#: Candidate pairs on which the recall is measured, about.
-MEASURED = 200_000
 #: Stands for a null doc_id, after all others.
 _NO_ID = (1 << 63) - 1
 #: Bytes of text that are hashed at a time.
@@ -158,11 +156,9 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def measured_recall(pairs: DataFrame, ways: DataFrame, level: int, threshold: float) -> float:
-    """The part of the pairs at or above the threshold that is found at a level, by the pairs that are: one of chance p stands for 1/p of its kind."""
-    few = max(1, pairs.count() // MEASURED)
-    some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(few)) == 0)
+    """The part of the pairs at or above the threshold that is found at a level, by all the pairs that are: one of chance p stands for 1/p of its kind."""
     sides = [ways.select(F.col("key").alias(c), F.col("way").alias("w" + c)) for c in ("a", "b")]
-    alike = some.join(sides[0], "a").join(sides[1], "b").select(F.pandas_udf(agreement, "double")("wa", "wb").alias("s")).where(F.col("s") >= threshold)
+    alike = pairs.join(sides[0], "a").join(sides[1], "b").select(F.pandas_udf(agreement, "double")("wa", "wb").alias("s")).where(F.col("s") >= threshold)
     found, all_ = alike.agg(F.count("*"), F.sum(1 / (1 - F.pow(1 - F.pow("s", F.lit(level)), F.lit(TREES))))).first()
     return found / all_ if found else 1.0
 
@@ -171,7 +167,7 @@ def candidates(walked: DataFrame, threshold: float, recall: float, disk: Scratch
     """Pairs (a, b) of texts that share a node of some trie, each text with the smallest of its node.
 
     Prefixes start at full depth, where nodes are smallest, and are shortened
-    level by level until the recall that is measured on the pairs so found, or
+    level by level until the recall that is measured on all pairs so found, or
     that of pairs at the threshold itself, is as wanted.
     """
     ways = disk.write(walked.where("key IS NOT NULL").groupBy("key").agg(F.first("way").alias("way")), "ways")

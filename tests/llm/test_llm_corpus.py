@@ -116,6 +116,18 @@ def test_the_measured_recall_is_that_of_all_pairs(spark):
     assert 0.97 < neardup.measured_recall(pairs, walked.select("key", "way"), neardup.LEVELS, 0.8) <= 1
 
 
+def test_no_pair_is_left_out_of_the_measure_however_many_there_are(spark):
+    r = np.random.default_rng(5)
+    n, base = 900, r.integers(0, 1 << 16, neardup.TREES * neardup.LEVELS, np.uint16)
+    ways = np.where(r.random((n, len(base))) < r.uniform(0.85, 0.99, (n, 1)), base, r.integers(0, 1 << 16, (n, len(base)), np.uint16))
+    alike = np.concatenate([(ways[i] == ways[i + 1 :]).mean(1) for i in range(n - 1)])
+    alike = alike[alike >= 0.8]
+    expected = len(alike) / (1 / neardup.chance(alike, neardup.LEVELS)).sum()
+    pairs = spark.range(n).toDF("a").join(spark.range(n).toDF("b"), F.col("a") < F.col("b"))  # 404 550
+    held = spark.createDataFrame([(i, w.astype(">u2").tobytes()) for i, w in enumerate(ways)], "key long, way binary")
+    assert neardup.measured_recall(pairs, held, neardup.LEVELS, 0.8) == pytest.approx(expected, rel=1e-9)
+
+
 def test_texts_of_the_same_words_in_another_order_have_other_keys():
     a, b = ["x"], ["y"]
     for _ in range(11):
