@@ -10,7 +10,7 @@ import corpus_pipeline  # noqa: E402
 from test_llm_corpus import brute_classes, brute_repeats  # noqa: E402
 from test_llm_text import brute_phrases, brute_rules  # noqa: E402
 
-from lociflow.llm import language  # noqa: E402
+from lociflow.llm import language, neardup  # noqa: E402
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -49,6 +49,21 @@ def test_run_is_its_stages_one_by_one_and_decisions_take_effect(spark):
     assert all(d["text"] == texts[i] for i, d in final.items() if i != 103)
 
 
+def near_pair(seed):
+    r = random.Random(seed)
+    a = [f"w{r.randrange(10**6)}" for _ in range(50)]
+    return " ".join(a), " ".join([*a[:20], f"v{r.randrange(10**6)}", *a[21:]])
+
+
+def test_near_copies_do_not_hang_on_which_pairs_the_recall_is_measured(spark, monkeypatch):
+    """The texts of seed 136 share prefixes of 7 and none of 8, to which only the measure on all pairs leads."""
+    monkeypatch.setattr(neardup, "MEASURED", 1, raising=False)  # once the size of a sample of pairs
+    texts = [t for seed in [136, *range(40)] for t in near_pair(seed)]
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in enumerate(texts)], COLUMNS)
+    kept = {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, "").collect()}
+    assert kept == {i for i, (first, _) in brute_classes(list(enumerate(texts))).items() if i == first} == set(range(0, 82, 2))
+
+
 def test_packed_rows_hold_every_kept_token(spark, tmp_path):
     from tokenizers import Tokenizer
 
