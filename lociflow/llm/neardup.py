@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, held, read, trimmed
+from .common import Scratch, held, read, small, trimmed
 from .graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -134,7 +134,7 @@ def forest(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, body (hash of the whole text), key (null without words) and the path through all tries, one after another."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             ids, bodies, texts = batch.column(0), batch.column(2), [t or "" for t in batch.column(1).to_pylist()]
             for at, some in chunked(texts):
                 words, counts = word_hashes(some)
@@ -155,11 +155,20 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).mean(axis=1))
 
 
+def alike(pairs: DataFrame, ways: DataFrame, threshold: float) -> DataFrame:
+    """The agreement s of all pairs in which it is at or above the threshold.
+
+    Spark would push the filter through the selection and work out s twice, in
+    two Python workers a task that live on, were it not told that s may change.
+    """
+    sides = [ways.select(F.col("key").alias(c), F.col("way").alias("w" + c)) for c in ("a", "b")]
+    s = F.pandas_udf(agreement, "double").asNondeterministic()("wa", "wb")
+    return pairs.join(sides[0], "a").join(sides[1], "b").select(s.alias("s")).where(F.col("s") >= threshold)
+
+
 def measured_recall(pairs: DataFrame, ways: DataFrame, level: int, threshold: float) -> float:
     """The part of the pairs at or above the threshold that is found at a level, by all the pairs that are: one of chance p stands for 1/p of its kind."""
-    sides = [ways.select(F.col("key").alias(c), F.col("way").alias("w" + c)) for c in ("a", "b")]
-    alike = pairs.join(sides[0], "a").join(sides[1], "b").select(F.pandas_udf(agreement, "double")("wa", "wb").alias("s")).where(F.col("s") >= threshold)
-    found, all_ = alike.agg(F.count("*"), F.sum(1 / (1 - F.pow(1 - F.pow("s", F.lit(level)), F.lit(TREES))))).first()
+    found, all_ = alike(pairs, ways, threshold).agg(F.count("*"), F.sum(1 / (1 - F.pow(1 - F.pow("s", F.lit(level)), F.lit(TREES))))).first()
     return found / all_ if found else 1.0
 
 
@@ -295,7 +304,7 @@ def _shingled(bodies: DataFrame) -> DataFrame:
     """(key, shingles) of texts with words: the hashes of their different shingles, sorted, 64 bits each."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             for _, some in chunked([t or "" for t in batch.column(1).to_pylist()]):
                 words, counts = word_hashes(some)
                 counts = counts[counts > 0]

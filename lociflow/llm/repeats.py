@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, pieces_of, read, trimmed
+from .common import Scratch, pieces_of, read, small, trimmed
 from .neardup import _BASE, _UNBASE, _mixed, _power, chunked
 
 #: Bytes of a repeated string, and of the short strings whose smallest hash anchors it.
@@ -76,6 +76,7 @@ def _anchored(docs: DataFrame, length: int, kernel: int) -> DataFrame:
 
     def combine(found: list) -> pa.RecordBatch:
         doc, body, pos, key, context, tail = (np.concatenate(c) for c in zip(*found, strict=True))
+        found.clear()
         order = np.lexsort((pos, body, doc, context, key))
         doc, body, pos, key, context, tail = (c[order] for c in (doc, body, pos, key, context, tail))
         new = np.ones(len(key), bool)
@@ -99,7 +100,7 @@ def _anchored(docs: DataFrame, length: int, kernel: int) -> DataFrame:
 
     def run(batches):
         held, size = [], 0
-        for batch in batches:
+        for batch in small(batches):
             ids, bodies = (np.array(batch.column(i).to_pylist(), np.int64) for i in (0, 1))
             parts = [(i, *part) for i, t in enumerate(batch.column(2).to_pylist()) for part in pieces((t or "").encode("utf-8", "surrogatepass"), length)]
             for at, some in chunked([p[2] for p in parts]):
@@ -272,7 +273,7 @@ def repeated_spans(docs: DataFrame, disk: Scratch, length: int = LENGTH, kernel:
     wanted = open_.groupBy("doc", "body").agg(F.collect_set(F.struct("hash", "pos")).alias("at"))
 
     def cut(batches):
-        for batch in batches:
+        for batch in small(batches):
             rows = {name: [] for name in _CONTEXTS.names}
             for doc, body, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
@@ -332,7 +333,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kernel: int = KERNEL,
     schema = kept.withColumns({"n_bytes": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept": F.lit("" if as_text else b"")}).schema
 
     def cut(batches):
-        for batch in batches:
+        for batch in small(batches):
             *columns, spans_of = batch.columns
             out = []
             for text, spans in zip(columns[at].to_pylist(), spans_of.to_pylist(), strict=True):

@@ -1,14 +1,17 @@
 import random
 import resource
 import time
+import tracemalloc
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from lociflow.llm import language, pagetext, quality  # noqa: E402
+from lociflow.llm import common, language, neardup, pagetext, quality, repeats  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -75,3 +78,48 @@ def test_the_callers_columns_stay(spark, tmp_path):
         assert docs.count() > 20
         assert docs.where("score <> 7 OR kept <> 'mine' OR n_bytes <> doc_id * 2 OR lang_pred <> '?' OR phrase_rate <> 1 OR n_removed <> 'r' OR n_spans IS NOT NULL OR cleaned <> 3 OR row_key <> 'k' OR body <> 1.5 OR kept_of_caller <> 4").count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= docs.count()
+
+
+def test_each_pair_is_looked_at_once_when_the_recall_is_measured(spark, tmp_path, monkeypatch):
+    """The filter on the agreement once made Spark work it out twice, in two Python workers a task."""
+    looked, agreement = tmp_path / "looked", neardup.agreement
+
+    def noted(a: pd.Series, b: pd.Series) -> pd.Series:
+        with open(looked, "a") as f:
+            f.write(f"{len(a)}\n")
+        return agreement(a, b)
+
+    monkeypatch.setattr(neardup, "agreement", noted)
+    n = 2 * neardup.TREES * neardup.LEVELS
+    ways = spark.createDataFrame([(k, bytearray([k // 3] * n)) for k in range(30)], "key long, way binary")
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(29)], "a long, b long")
+    assert neardup.measured_recall(pairs, ways, neardup.LEVELS, 0.8) == 1.0
+    assert sum(map(int, looked.read_text().split())) == 29
+
+
+class Tasks:
+    """Stands for a DataFrame; what its map tasks would run is run here."""
+
+    def __init__(self, batch):
+        self.batch = batch
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in run(iter([self.batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return rows, peak
+
+
+def test_workers_hold_a_small_part_of_what_spark_sends_at_once():
+    """Tables of 10 000 rows of 4 KB are sent at once; lists of their texts and bytes took another 35 to 55 MB of each worker."""
+    r = random.Random(5)
+    texts = ["".join(r.choices("abcdefgh ", k=4000)) for _ in range(100)]
+    rows = [f"{i} {texts[i % 100]}" for i in range(10_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(range(len(rows))), pa.array(rows)], names=["doc", "body", "text"])
+    for (rows_out, peak), most in ((repeats._anchored(Tasks(batch), 100, 20), 100), (neardup._shingled(Tasks(batch.select(["doc", "text", "body"]))), 30)):
+        assert rows_out >= len(rows) and peak < most << 20
+    assert [len(b) for b in common.small([batch, batch.slice(0, 0), batch.slice(0, 5)], 4000)] == [4000, 4000, 2000, 5]
