@@ -74,6 +74,27 @@ def remainder(requests: DataFrame, covered: DataFrame, keys: list[str], request:
     return inner.unionByName(outer.select(request, F.explode(pieces).alias("p")).select(request, F.col("p.s").alias(start), F.col("p.e").alias(end)).where(F.col(start) < F.col(end)))
 
 
+def _binned(df: DataFrame, widths: list[int], s: str, e: str, first: str, sides: tuple[list[int], int]) -> DataFrame:
+    """A row for each bin that a record meets others in: __level, __side, __bin, and its first bin of that level."""
+    long = F.greatest(F.col(e), F.col(s) + 1) - F.col(s)
+    own = F.lit(len(widths) - 1)
+    for i, w in reversed(list(enumerate(widths[:-1]))):
+        own = F.when(long <= w, i).otherwise(own)
+    cell = lambda c, w: F.floor(c / w)
+
+    def at_level(i: int, w: int, side: int):
+        return F.transform(F.sequence(cell(F.col(s), w), cell(F.greatest(F.col(s), F.col(e) - 1), w)), lambda b: F.struct(F.lit(i).alias("i"), b.alias("b"), cell(F.col(s), w).alias("f"), F.lit(side).alias("t")))
+
+    def reached(i: int, w: int):
+        """Of its own width a record meets all; where it comes from a narrower one, those whose own width it is."""
+        at_own, above = (at_level(i, w, t) for t in sides[0]), at_level(i, w, sides[1])
+        return F.when(F.col("__own") == i, F.concat(*at_own) if i else at_level(0, w, 0)).when(F.col("__own") < i, above).otherwise(F.slice(above, 1, 0))
+
+    bins = F.concat(*(reached(i, w) for i, w in enumerate(widths))) if len(widths) > 1 else at_level(0, widths[0], 0)
+    placed = df.withColumn("__own", own).withColumn("__b", F.explode(bins))
+    return placed.withColumns({"__level": F.col("__b.i"), "__bin": F.col("__b.b"), "__side": F.col("__b.t"), first: F.col("__b.f")}).drop("__b", "__own")
+
+
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width: int | list[int], start: str = "start", end: str = "end", prefix: str = "r_") -> DataFrame:
     """Pairs of records of equal keys that share a base. right's columns get the prefix; columns of both sides must differ then, and names that begin with two low lines are kept for this.
 
@@ -82,30 +103,17 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width: int
     first bins only, so it comes once. Where lengths differ much, give several
     widths, each a multiple of the one before: a record goes to the bins of the
     first width that is not below its length, two at most, and to those above,
-    and a pair meets at the wider of its two. width near a high quantile of the
-    lengths keeps both the copies and the candidates few.
+    and a pair meets at the wider of its two: `__side` keeps records that come
+    from narrower widths on both sides from meeting there again. width near a
+    high quantile of the lengths keeps both the copies and the candidates few.
     """
     widths = sorted([width] if isinstance(width, int) else width)
 
-    def binned(df: DataFrame, s: str, e: str, first: str, level: str) -> DataFrame:
-        long = F.greatest(F.col(e), F.col(s) + 1) - F.col(s)
-        own = F.lit(len(widths) - 1)
-        for i, w in reversed(list(enumerate(widths[:-1]))):
-            own = F.when(long <= w, i).otherwise(own)
-        cell = lambda c, w: F.floor(c / w)
-
-        def at_level(i: int, w: int):
-            return F.transform(F.sequence(cell(F.col(s), w), cell(F.greatest(F.col(s), F.col(e) - 1), w)), lambda b: F.struct(F.lit(i).alias("i"), b.alias("b"), cell(F.col(s), w).alias("f")))
-
-        bins = [at_level(i, w) for i, w in enumerate(widths)]
-        reached = F.concat(*(F.when(F.col(level) <= i, b).otherwise(F.slice(b, 1, 0)) for i, b in enumerate(bins))) if len(bins) > 1 else bins[0]
-        placed = df.withColumn(level, own) if len(bins) > 1 else df.withColumn(level, F.lit(0))
-        return placed.withColumn("__b", F.explode(reached)).withColumns({"__level": F.col("__b.i"), "__bin": F.col("__b.b"), first: F.col("__b.f")}).drop("__b")
-
     renamed = right.select(*(F.col(c).alias(c if c in keys else prefix + c) for c in right.columns))
-    a, b = binned(left, start, end, "__first", "__own"), binned(renamed, prefix + start, prefix + end, "__first_r", "__own_r")
-    met = a.join(b, [*keys, "__level", "__bin"]).where((F.col("__bin") == F.greatest("__first", "__first_r")) & (F.col("__level") == F.greatest("__own", "__own_r")))
-    return met.where((F.col(start) < F.col(prefix + end)) & (F.col(end) > F.col(prefix + start))).drop("__bin", "__level", "__first", "__first_r", "__own", "__own_r")
+    # sides: 0 both of their own width, 1 the left's own, 2 the right's own
+    a, b = _binned(left, widths, start, end, "__first", ([0, 1], 2)), _binned(renamed, widths, prefix + start, prefix + end, "__first_r", ([0, 2], 1))
+    met = a.join(b, [*keys, "__level", "__bin", "__side"]).where(F.col("__bin") == F.greatest("__first", "__first_r"))
+    return met.where((F.col(start) < F.col(prefix + end)) & (F.col(end) > F.col(prefix + start))).drop("__bin", "__level", "__side", "__first", "__first_r")
 
 
 def nearest(points: DataFrame, targets: DataFrame, keys: list[str], at: str, target_at: str, target_id: str, value: str, width: int = WIDTH) -> DataFrame:

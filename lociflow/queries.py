@@ -513,14 +513,13 @@ def bigbed_round_trip(spark, sf_dir):
 @query(f"""WITH {_SIG}, q AS (SELECT o_orderkey, 'chr' || (o_custkey % 22 + 1) AS chr, o_orderkey * 7919 % 2000000 AS lo, o_orderkey * 7919 % 2000000 + 500 + o_orderkey % 2000 AS hi FROM orders)
 SELECT o_orderkey, count(*) AS n, min(s)::BIGINT AS first_start, max(v)::DOUBLE AS max_val FROM q JOIN sig ON sig.chr = q.chr AND s < hi AND e >= lo GROUP BY o_orderkey""")
 def bigwig_many_regions(spark, sf_dir):
-    """A region for each order against the files of the signal: indexes as a table, each block that any region needs fetched once."""
+    """A region for each order against the files of the signal: indexes as a table, each block that any region needs fetched once, no region paired with its records."""
     register(spark)
     path = folders.scratch(spark, "bigwig")
     bigwriter.write_bigwig(T.signal(spark, sf_dir), path)
     lo = F.col("o_orderkey") * 7919 % 2_000_000
     asked = T.read(spark, sf_dir, "orders").select("o_orderkey", T.chrom_of("o_custkey").alias("chr"), lo.alias("start"), (lo + 500 + F.col("o_orderkey") % 2000).alias("end"))
-    got = regions.records_of_regions(asked, "bigwig", path)
-    return got.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.min("r_start").cast("bigint").alias("first_start"), F.max("r_value").cast("double").alias("max_val"))
+    return regions.sums_of_regions(asked, path, ["o_orderkey"]).withColumnRenamed("max_value", "max_val")
 
 
 @query(f"WITH {_SIG} SELECT chr, s AS start_pos, e AS end_pos, v::DOUBLE AS value FROM sig")

@@ -4,6 +4,7 @@ import random
 import threading
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,44 @@ def test_many_regions_read_each_block_once(spark, tmp_path):
     assert sorted((x["id"], x["r_rest"]) for x in found.collect()) == [(1, "a"), (1, "b"), (3, "é")]
 
 
+def test_sums_of_many_regions(spark, tmp_path):
+    r = random.Random(7)
+    # records overlap, some reach over many bins, and one place is in very many records and regions
+    rows = [("chr%d" % (i % 2), s, s + r.choice([1, 20, 3000, 400_000]), float(r.randrange(-50, 50))) for i in range(3000) for s in [r.choice([1 << 17, r.randrange(600_000)])]]
+    W.write_bigwig(spark.createDataFrame(rows, SIGNAL), str(tmp_path / "f"), partitions=3)
+    asked = [(i % 500, f"chr{i % 3}", at, at + r.choice([1, 10, 300, 300_000, 5_000_000])) for i in range(900) for at in [r.choice([1 << 17, r.randrange(700_000)])]]
+    asked += [(None, "chr0", 0, 1000), (900, None, 1, 2), (901, "chr1", 5, 5), (902, "chr1", None, 7), *asked[:3]]
+    regions_df = spark.createDataFrame(asked, "id long, chr string, start long, end long")
+    expected = {}
+    for i, c, lo, hi in asked:
+        for chrom, s, e, v in rows:
+            if c == chrom and lo is not None and lo < hi and s < hi and e >= lo:
+                n, first, most = expected.get(i, (0, s, v))
+                expected[i] = (n + 1, min(first, s), max(most, v))
+    assert {x["id"]: (x["n"], x["first_start"], x["max_value"]) for x in regions.sums_of_regions(regions_df, str(tmp_path / "f"), ["id"]).collect()} == expected
+    assert regions.sums_of_regions(regions_df.limit(0), str(tmp_path / "f"), ["id"]).count() == 0
+
+
+def test_sums_do_not_depend_on_how_many_regions_a_task_holds(monkeypatch):
+    monkeypatch.setattr(regions, "AT_ONCE", 7)
+    r = np.random.default_rng(1)
+    start = r.integers(0, 5000, 200)
+    end = start + r.integers(1, 30, 200)
+    batches = [pa.RecordBatch.from_arrays([pa.array(["a"] * 20), pa.array(start[k : k + 20]), pa.array(end[k : k + 20])], names=["chr", "start", "end"]) for k in range(0, 200, 20)]
+    told = [x for b in regions._unions(iter(batches)) for x in b.to_pylist()]
+    bases = lambda ranges: {x for s, e in ranges for x in range(s, e)}
+    assert bases((x["start"], x["end"]) for x in told) == bases(zip(start.tolist(), end.tolist(), strict=True))
+    value = r.integers(-9, 9, 200).astype(float)
+    value[5] = np.nan
+    lo = r.integers(-10, 5100, 300)
+    hi = lo + r.integers(1, 900, 300)
+    for a, b, n, first, most in zip(lo, hi, *regions._summed(start, end, value, lo, hi), strict=True):
+        met = (start < b) & (end >= a)
+        assert n == met.sum()
+        if n:
+            assert first == start[met].min() and np.array_equal(most, value[met].max(), equal_nan=True)
+
+
 class Counting(http.server.BaseHTTPRequestHandler):
     protocol_version = "HTTP/1.1"
     data, connections, requests, broken = b"", 0, 0, 0

@@ -310,6 +310,14 @@ def test_interval_join_with_several_widths(spark):
     assert got == sorted((i, j) for i, s, e in a for j, u, v in b if s < v and u < e)
 
 
+def test_narrow_records_meet_in_narrow_bins_only(spark):
+    df = spark.range(1000).select(F.lit("c").alias("chr"), (F.col("id") * 100).alias("start"), (F.col("id") * 100 + 90).alias("end"))
+    left, right = (intervals._binned(df, [128, 1 << 12, 1 << 20], "start", "end", "first", sides) for sides in (([0, 1], 2), ([0, 2], 1)))
+    key = ["__level", "__side", "__bin"]
+    candidates = left.groupBy(key).count().join(right.groupBy(key).agg(F.count("*").alias("other")), key).agg(F.sum(F.col("count") * F.col("other"))).first()[0]
+    assert candidates < 10 * 1000  # every record with every other, if they met in the widest bin
+
+
 def test_rows_in_input_order_with_totals(spark):
     df = spark.createDataFrame([(0, "t3", 900, 950), (1, "t2", 150, 250), (2, "t1", 100, 200)], "at int, id string, start int, end int")
     got = [tuple(r) for r in layout.in_order(df, [], "at").orderBy("at").select("id", "row", "total_rows").collect()]
