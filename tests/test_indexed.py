@@ -111,6 +111,54 @@ def test_bytes_do_not_depend_on_partitions(spark, tmp_path, folder):
     assert max(r for r, *_ in bytes_of(path)) < 2000  # a third of all records share a position
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for a shuffle."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_text_is_not_shuffled(spark, tmp_path):
+    text = F.concat_ws("", *(F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"-{k}")), 512) for k in range(16)))
+    records = spark.range(4000).select(F.lit("chr1").alias("chrom"), F.lit("s").alias("source"), F.lit("exon").alias("feature"), (F.col("id") % 100 + 1).cast("int").alias("start"), (F.col("id") % 100 + 9).cast("int").alias("end"), *(F.lit(".").alias(c) for c in ("score", "strand", "frame")), F.create_map(F.lit("k"), text).alias("attributes"), F.col("id").alias("ord"))
+    before = shuffled(spark)
+    gtf.write_indexed(records, str(tmp_path / "f"), unit=1 << 20)
+    assert shuffled(spark) - before < 100_000  # of 8 MB, which hardly compress
+    assert gtf.read_indexed(spark, str(tmp_path / "f")).select(F.sum(F.length(F.col("attributes")["k"]))).first()[0] == 4000 * 16 * 128
+
+
+def test_bytes_do_not_depend_on_runs_and_ranges(spark, tmp_path, folder, monkeypatch):
+    path, records = folder
+    bytes_of = lambda where: [(f["records"], f["zones"], open(f"{where}/{f['name']}", "rb").read()) for f in commit.listed(where)]
+    for held, one, group, unit in ((4000, 1500, 6000, 40_000), (1 << 20, 90_000, 360_000, 40_000)):
+        monkeypatch.setattr(gtf, "HELD", held)
+        monkeypatch.setattr(gtf, "RANGE", one)
+        monkeypatch.setattr(gtf, "GROUP", group)
+        where = str(tmp_path / f"r{one}")
+        gtf.write_indexed(records.repartition(3), where, unit=unit, partitions=2)
+        assert bytes_of(where) == bytes_of(path) and not [x for x in os.listdir(where) if x.startswith("_runs")]
+    sizes = [0, 5, 0, 17, 40, 1, 0, 9, 30, 0]
+    base = [sum(sizes[:i]) for i in range(11)]
+    for unit in (1, 7, 10, 45, 1000):
+        for tasks in (1, 2, 5, 40):
+            told = gtf._tasks(gtf.np.array(sizes), unit, tasks)
+            units = sorted({(first, last) for *_, first, last in told})
+            assert [u for first, last in units for u in range(first, last + 1)] == list(range(-(-102 // unit)))
+            for first, last in units:
+                held = [(r, before) for _, r, before, a, _ in told if a == first]
+                assert {r for r, _ in held} == {r for r in range(10) if sizes[r] and base[r + 1] > first * unit and base[r] < (last + 1) * unit}
+                assert {before for _, before in held} == {base[held[0][0]]}
+
+
+def test_lines_of_a_run_come_back(spark, tmp_path):
+    import pyarrow as pa
+
+    rows = sorted((r.choice(["a", "b\u00e9"]), r.randrange(-5, 1 << 31), r.randrange(-(1 << 31), 1 << 31), r.choice([-(1 << 63), i, (1 << 63) - 1]), "x\n\u00e9" * r.randrange(4)) for r in [random.Random(3)] for i in range(500))
+    t = pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string()), strict=True)], names=gtf._KEY)
+    for some in (t, t.slice(7, 1), t.slice(100, 300)):
+        assert gtf._unpacked(gtf._packed(some)).to_pylist() == some.to_pylist()
+
+
 def test_what_does_not_count_is_ignored_and_deleted(spark, tmp_path):
     path = str(tmp_path / "f")
     writer = gtf.IndexedWriter(path, ".gtf.gz", True)
